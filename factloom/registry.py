@@ -22,11 +22,25 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    """Import every module of factloom.plans whose name ends in _queries; they register themselves."""
+    import importlib
+    import pkgutil
+
+    from factloom import plans
+
+    for m in pkgutil.iter_modules(plans.__path__):
+        if m.name.endswith("_queries"):
+            importlib.import_module(f"factloom.plans.{m.name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
