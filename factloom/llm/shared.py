@@ -64,7 +64,7 @@ _models: dict[str, tuple[str, object]] = {}
 
 def once(kind: str, key: str, build):
     """A worker process keeps one built object of each kind, the one that was asked for last."""
-    if _models.get(kind, ("",))[0] != key:
+    if _models.get(kind, (None,))[0] != key:
         _models[kind] = (key, build())
     return _models[kind][1]
 

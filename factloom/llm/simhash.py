@@ -2,9 +2,12 @@
 
 Fingerprints link when they differ in `radius` bits or fewer. With radius r, two linked fingerprints agree in at least one
 of r + 1 blocks of bits. So the trie is cut r + 1 times, each time with another block of bits as its top: below one value of
-the block lies one sub-trie, which one task joins with itself. The join walks pairs of nodes downwards together, adds up the
-bits in which they differ, and drops a pair when the budget is exceeded. A sub-trie gives links of a spanning forest only,
-never all pairs of a group; the connected components of these links are those of all links.
+the block lies one sub-trie, and a task joins the sub-tries of a stretch of values, each with itself. The join walks pairs
+of nodes downwards together, adds up the bits in which they differ, and drops a pair when the budget is exceeded. A sub-trie
+gives links of a spanning forest only, never all pairs of a group; the components of these links are those of all links.
+
+near_duplicates() links by one 64-bit fingerprint. similar_documents() finds texts by the similarity of their word shingles:
+several shorter fingerprints, each with its own tries, propose pairs, and an exact Jaccard similarity decides.
 
 Rules for input: null text is the empty text; texts without words have fingerprint zero and link like any other; repeated
 rows and equal texts share a fingerprint; null ids are kept and get the component of their fingerprint; component_id is the
@@ -13,8 +16,8 @@ smallest non-null doc_id of the component; an empty table gives an empty one; ot
 
 from __future__ import annotations
 
+import math
 import re
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,10 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut, ready
+from .decontaminate import Hasher, words_of
+from .shared import cut, mix64, once, ready
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
+#: Fingerprints that a task joins, about.
+STRETCH = 20_000
 LEAF = 12  # node pairs with at most so many fingerprints on a side are compared outright
 
 
@@ -42,11 +48,22 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     k = min(shingle, len(words))
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
     h = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())), "<u8", len(words) - k + 1)
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(h), 65_536):  # bounded memory for very long texts
-        part = h[at : at + 65_536]
-        votes += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0])
+    return int(np.packbits(bit_votes(h) * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def bit_votes(h: np.ndarray) -> np.ndarray:
+    """How many of the numbers have each of the 64 bits set, lowest bit first.
+
+    Every eighth bit has a byte of a word to itself, in which up to 255 numbers add up at once.
+    """
+    out = np.zeros((8, 8), np.int64)
+    lanes = np.uint64(0x0101010101010101)
+    full = np.zeros(-(-len(h) // 255) * 255, np.uint64)
+    full[: len(h)] = h
+    for k in range(8):
+        sums = ((full >> np.uint64(k)) & lanes).reshape(-1, 255).sum(axis=1, dtype=np.uint64)
+        out[k] = sums.view(np.uint8).reshape(-1, 8).sum(axis=0)
+    return out.T.ravel()
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> Column:
@@ -74,34 +91,43 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def trie_links(keys: np.ndarray, top: int, radius: int, budget_pairs: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among distinct, sorted 64-bit keys that all agree in their `top` highest bits.
+def trie_links(keys: np.ndarray, top: int, radius: int, bits: int = 64, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Links among distinct, sorted keys of `bits` bits (left-aligned) that agree in their `top` highest bits.
 
     Nodes of the binary trie are ranges of the sorted keys. A frontier holds node pairs (x, y) with x <= y and the bits in
-    which their prefixes differ. It is worked off depth first in blocks, so that memory stays bounded.
+    which their prefixes differ; it starts with every sub-trie below the top paired with itself, and is worked off depth
+    first in blocks, so that memory stays bounded. Gives a spanning forest, and each key's link to its first close key.
     """
     n = len(keys)
-    root = np.arange(n)
-    stack = [(top, np.array([[0, n, 0, n, 0]], np.int64))]
+    root, first = np.arange(n), np.arange(n)
+    head = keys >> np.uint64(64 - top) if top else np.zeros(n, np.uint64)
+    edges = np.concatenate(([0], np.flatnonzero(head[1:] != head[:-1]) + 1, [n]))
+    runs = np.stack((edges[:-1], edges[1:], edges[:-1], edges[1:], np.zeros(len(edges) - 1, np.int64)), 1)
+    stack = [(top, runs[runs[:, 1] - runs[:, 0] > 1])]
+    ones = {}
     while stack:
         depth, f = stack.pop()
-        if len(f) > budget_pairs // 16:
+        if len(f) > most:
             half = len(f) // 2
             stack += [(depth, f[:half]), (depth, f[half:])]
             continue
-        small = ((f[:, 1] - f[:, 0] <= LEAF) & (f[:, 3] - f[:, 2] <= LEAF)) | (depth >= 64)
+        small = ((f[:, 1] - f[:, 0] <= LEAF) & (f[:, 3] - f[:, 2] <= LEAF)) | (depth >= bits)
         if small.any():
             a, b = _close(keys, f[small], radius)
             if len(a):
-                root = _roots(n, np.concatenate((a, np.arange(n))), np.concatenate((b, root)))
+                np.minimum.at(first, b, a)
+                new = root[a] != root[b]
+                if new.any():
+                    root = _roots(n, np.concatenate((a[new], np.arange(n))), np.concatenate((b[new], root)))
         f = f[~small]
         if not len(f):
             continue
-        bit = np.uint64(63 - depth)
-        ones = np.concatenate(([0], np.cumsum((keys >> bit) & np.uint64(1)))).astype(np.int64)
-        mx = f[:, 1] - (ones[f[:, 1]] - ones[f[:, 0]])  # below a node the keys with a zero bit come first
-        my = f[:, 3] - (ones[f[:, 3]] - ones[f[:, 2]])
-        same = (f[:, 0] == f[:, 2])
+        if depth not in ones:
+            ones[depth] = np.concatenate(([0], np.cumsum((keys >> np.uint64(63 - depth)) & np.uint64(1)))).astype(np.int64)
+        up = ones[depth]
+        mx = f[:, 1] - (up[f[:, 1]] - up[f[:, 0]])  # below a node the keys with a zero bit come first
+        my = f[:, 3] - (up[f[:, 3]] - up[f[:, 2]])
+        same = f[:, 0] == f[:, 2]
         kids = [
             np.stack((f[:, 0], mx, f[:, 2], my, f[:, 4]), 1),
             np.stack((mx, f[:, 1], my, f[:, 3], f[:, 4]), 1),
@@ -113,8 +139,8 @@ def trie_links(keys: np.ndarray, top: int, radius: int, budget_pairs: int = 2_00
         f = f[~((f[:, 0] == f[:, 2]) & (f[:, 1] - f[:, 0] == 1))]
         if len(f):
             stack.append((depth + 1, f))
-    linked = np.flatnonzero(root != np.arange(n))
-    return linked, root[linked]
+    at = np.arange(n)
+    return np.concatenate((at[root != at], at[first != at])), np.concatenate((root[root != at], first[first != at]))
 
 
 def _close(keys: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,47 +156,99 @@ def _close(keys: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np
     return i[near], j[near]
 
 
-def rotated(fp: np.ndarray, block: int, blocks: int) -> tuple[np.ndarray, int]:
-    """Fingerprints turned so that block `block` of `blocks` is on top, and that block's width."""
-    lo, hi = 64 * block // blocks, 64 * (block + 1) // blocks
-    up = np.uint64(lo)
-    return (fp << up | fp >> (np.uint64(64) - up) if lo else fp), hi - lo
+def links(prints: DataFrame, n: int, radius: int, bits: int = 64) -> DataFrame:
+    """(a, b): links among the nodes of (band, node, fp); n is about the number of nodes.
 
-
-def links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """(a, b): spanning links among the distinct fingerprints in column fp. Each sub-trie is one group of the shuffle."""
+    Each band and block of bits is dealt out by the first bits of the block, into stretches of about STRETCH fingerprints.
+    """
     blocks = radius + 1
+    width = min(bits * (k + 1) // blocks - bits * k // blocks for k in range(blocks))
+    cut_bits = min(width, max(0, math.ceil(math.log2(max(1, n) / STRETCH))))
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, top = rotated(np.unique(pdf["fp"].to_numpy(np.int64).view(np.uint64)), key[0], blocks)
-        back = np.argsort(keys, kind="stable")
-        keys = keys[back]
-        if len(keys) < 2:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        a, b = trie_links(keys, top, radius)
-        lo = np.uint64(64 * key[0] // blocks)
-        turn = (lambda x: x >> lo | x << (np.uint64(64) - lo)) if lo else (lambda x: x)
-        return pd.DataFrame({"a": turn(keys[a]).view(np.int64), "b": turn(keys[b]).view(np.int64)})
-
-    def value(k: int) -> Column:
-        lo, hi = 64 * k // blocks, 64 * (k + 1) // blocks
-        return F.shiftrightunsigned(F.shiftleft(F.col("fp"), lo), 64 - (hi - lo))
-
-    tops = F.array(*[F.struct(F.lit(k).alias("block"), value(k).alias("value")) for k in range(blocks)])
-    cells = prints.select("fp", F.inline(tops))
-    # a value of a block that only one fingerprint has links nothing; the others meet in one group
-    lone = cells.groupBy("block", "value").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x != y").select("block", "value")
-    return cells.join(lone, ["block", "value"], "left_semi").groupBy("block", "value").applyInPandas(join, "a long, b long")
+        lo, hi = bits * key[1] // blocks, bits * (key[1] + 1) // blocks
+        x = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+        left = x << np.uint64(64 - bits)  # turned so that the block is on top
+        keys = left << np.uint64(lo) | left >> np.uint64(bits - lo) if lo else left
+        if bits < 64:
+            keys &= ~np.uint64((1 << (64 - bits)) - 1)
+        node = pdf["node"].to_numpy(np.int64)
+        order = np.lexsort((node, keys))
+        keys, node = keys[order], node[order]
+        own, at, of = np.unique(keys, return_index=True, return_inverse=True)
+        a, b = trie_links(own, hi - lo, radius, bits)
+        twin = node != node[at][of]  # nodes with one fingerprint
+        return pd.DataFrame({"a": np.concatenate((node[at][a], node[twin])), "b": np.concatenate((node[at][b], node[at][of][twin]))})
+
+    def stretch(k: int) -> Column:
+        return F.shiftrightunsigned(F.shiftleft(F.col("fp"), 64 - bits + bits * k // blocks), 64 - cut_bits) if cut_bits else F.lit(0).cast("long")
+
+    tops = F.array(*[F.struct(F.lit(k).alias("block"), stretch(k).alias("stretch")) for k in range(blocks)])
+    cells = prints.select("band", "node", "fp", F.inline(tops))
+    return cells.groupBy("band", "block", "stretch").applyInPandas(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id, n_members) for every row of docs."""
     marked = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprints(docs, text_col, shingle).alias("fp")), "simhash-fp")
     # copies share a fingerprint: from here on there is one row for each
-    prints = marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    found = cut(links(prints.select("fp"), radius), "simhash-links")
+    prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-prints")
+    found = links(prints.select(F.lit(0).alias("band"), F.col("fp").alias("node"), "fp"), prints.count(), radius)
     part = connected_components(found, "a", "b")  # (node, root)
     of = prints.join(part, prints["fp"] == part["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     low = of.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("n_members"))
     of = cut(of.select("fp", "root").join(low, "root").select("fp", "component_id", "n_members"), "simhash-of")
     return marked.join(of, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_members")
+
+
+def shingle_hashes(text: str | None, hasher: Hasher, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text; fewer words are one shingle, none give none."""
+    words = words_of(text)
+    return np.unique(hasher.shingles(words, min(shingle, len(words)))) if words else np.zeros(0, np.uint64)
+
+
+def band_prints(h: np.ndarray, bands: int, bits: int) -> np.ndarray:
+    """`bands` SimHash fingerprints of `bits` bits each; every 64 bits come from another mixing of the shingle hashes."""
+    votes = [bit_votes(mix64(h + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64)))) for i in range(-(-bands * bits // 64))]
+    on = (np.concatenate(votes) * 2 > len(h))[: bands * bits].reshape(bands, bits)
+    return on @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 16, bits: int = 40, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) for every row: documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
+
+    A pair at similarity s agrees in a fingerprint bit with probability 1 - acos(2s / (1 + s)) / pi. With the defaults a
+    pair at 0.8 is proposed with probability 0.88, one at 0.85 with 0.98 and one at 0.9 with 0.999; what is proposed is
+    checked on whole texts. Rows with equal texts are one node, named by their smallest id.
+    """
+    spark = docs.sparkSession
+    ready(spark)
+
+    @F.pandas_udf("array<long>")
+    def mark(texts: pd.Series) -> pd.Series:
+        hasher = once("shingle-hasher", "", Hasher)
+        return pd.Series([band_prints(shingle_hashes(t, hasher, shingle), bands, bits).view(np.int64) for t in texts])
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        hasher = once("shingle-hasher", "", Hasher)
+        return pd.Series([shingle_hashes(t, hasher, shingle).view(np.int64) for t in texts])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("sha"), mark(text).alias("prints")), "similar-prints")
+    nodes = marked.groupBy("sha").agg(F.min("doc_id").alias("low"), F.first("prints").alias("prints"))
+    nodes = cut(nodes.select("sha", F.coalesce("low", F.xxhash64("sha")).alias("node"), "prints"), "similar-nodes")
+    cells = nodes.select("node", F.posexplode("prints").alias("band", "fp"))
+    pairs = links(cells.select("band", "node", "fp"), nodes.count(), radius, bits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = cut(pairs, "similar-pairs")
+    # shingle sets of the texts that stand in a pair, one text for each node
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "sha"), "node")
+    keyed = docs.select(F.sha2(text, 256).alias("sha"), text.alias("text"))
+    sets = cut(keyed.join(wanted, "sha").groupBy("node").agg(F.min("text").alias("text")).select("node", shingles(F.col("text")).alias("s")), "similar-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - shared
+    checked = both.filter((union == 0) | (shared >= F.lit(similarity) * union)).select("a", "b")
+    part = connected_components(checked, "a", "b")
+    of = nodes.join(part, "node", "left").select("sha", F.coalesce("root", "node").alias("component_id"))
+    return marked.join(of, "sha").select(F.col("doc_id").alias(id_col), "component_id")
