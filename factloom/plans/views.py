@@ -41,6 +41,9 @@ VIEWS = {
     "candidates": """
         select l_orderkey * 8 + l_linenumber as claim_id, l_partkey % 50 as table_id, case l_returnflag when 'A' then 'keyword' when 'N' then 'vector' else 'index' end as source, max(l_quantity) as score
         from lineitem group by l_orderkey * 8 + l_linenumber, l_partkey % 50, l_returnflag""",
+    # claims that name a statistic: one for each supplier
+    "topics": """
+        select s_suppkey as claim_id, concat('The ', p_name, ' market grew') as sentence, s_acctbal as balance, s_nationkey as nation from supplier join part on p_partkey = s_suppkey""",
     # finished verification records: one for each order
     "records": """
         select o_orderkey as result_id, concat('Customer ', cast(o_custkey as string)) as article_title, case o_orderstatus when 'F' then 'match' when 'O' then 'mismatch' else 'undecidable' end as verdict,
@@ -73,7 +76,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
-    tables = {b: spark.read.parquet(f"{sf_dir}/{b}.parquet") for b in BASE if re.search(rf"from {b}\b", sql)}
+    tables = {b: spark.read.parquet(f"{sf_dir}/{b}.parquet") for b in BASE if re.search(rf"(from|join) {b}\b", sql)}
     for b in tables:
-        sql = re.sub(rf"from {b}\b", f"from {{{b}}}", sql)
+        sql = re.sub(rf"(from|join) {b}\b", rf"\1 {{{b}}}", sql)
     return spark.sql(sql, **tables)
