@@ -75,10 +75,11 @@ def fit(docs: DataFrame, learn_from: Column, lang_col: str = "lang", text_col: s
     from pyspark.sql import Window as W
 
     ready(docs.sparkSession)
-    # ranks go by a hash, kept down to `rows` a language in each task before the shuffle
     keyed = docs.filter(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    few = keyed.select("lang", "h").distinct().withColumn("r", place).filter(F.col("r") <= rows).select("lang", "h")
+    # about 2 x `rows` candidates of each language by hash, so that what is ranked doesn't grow with the table
+    sizes = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    few = keyed.select("lang", "h").join(F.broadcast(sizes), "lang").filter(F.pmod("h", "n") < 2 * rows).select("lang", "h").distinct()
+    few = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= rows).select("lang", "h")
     chosen = keyed.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
