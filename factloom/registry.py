@@ -45,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Claims, what was computed for them, and the rule's verdict."""
+    return queries()["j7_rule_verdict"](spark, sf_dir)
