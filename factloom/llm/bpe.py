@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from itertools import chain
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -155,11 +155,11 @@ class Bpe:
             ok = self.fits[a, b] = self._apart(a, b, 1 << 40, False)
         return ok
 
-    def encode_word(self, word: str) -> tuple:
-        """Ids of one piece that the splitting pattern gave."""
+    def encode_word(self, word: str) -> bytes:
+        """Ids, as bytes, of one piece that the splitting pattern gave."""
         sym = "".join(map(self.of_byte.__getitem__, word.encode("utf-8", "replace")))
         if not sym:
-            return ()
+            return b""
         if self.suffix:
             sym = sym[:-1] + self._mark(sym[-1])
         sam, fits, follows = self.automaton, self.fits, self._follows
@@ -179,37 +179,35 @@ class Bpe:
         while i:
             ids.append(last[i - 1])
             i = back[i - 1]
-        return tuple(ids[::-1])
+        return array("I", ids[::-1]).tobytes()
 
-    def _chunk(self, chunk: str) -> tuple:
+    def _chunk(self, chunk: str) -> bytes:
         """Ids of a piece of text with no white space to its left and right that matters."""
-        ids: list[int] = []
-        at = 0
+        found, at = [], 0
         for m in self.special_at.finditer(chunk) if self.special_at and "<" in chunk else ():
-            ids += self._plain(chunk[at : m.start()])
-            ids.append(self.special[m.group()])
+            found += self._plain(chunk[at : m.start()]), np.array([self.special[m.group()]], "<u4").tobytes()
             at = m.end()
-        return tuple(ids) + self._plain(chunk[at:]) if ids else self._plain(chunk[at:])
+        return b"".join((*found, self._plain(chunk[at:])))
 
-    def _plain(self, text: str) -> tuple:
+    def _plain(self, text: str) -> bytes:
         if not text:
-            return ()
+            return b""
         if "NFC" in self.kinds and not text.isascii():
             text = unicodedata.normalize("NFC", text)
         if "Replace" in self.kinds:
             text = _SPACE.sub(" ", text)
         if "Lowercase" in self.kinds:
             text = text.replace("Σ", "σ").lower()
-        return tuple(chain.from_iterable(map(self.known.__getitem__, self.pattern.findall(text))))
+        return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return np.zeros(0, "<u4")
         if "Replace" not in self.kinds or self.pattern.fullmatch(" "):
-            return np.array(self._chunk(text), "<u4")
+            return np.frombuffer(self._chunk(text), "<u4")
         chunks = text.split() if not _NOT_SPACE.search(text) else _SPACE.split(text)
-        return np.fromiter(chain.from_iterable(map(self.chunks.__getitem__, chunks)), "<u4")
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks)), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; special tokens keep their strings."""

@@ -16,16 +16,18 @@ import json
 import re
 import struct
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pandas as pd
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import byte_chars
 from .shared import Recent, cut, once, ready, shared_dir
 
 MAGIC = b"FLTOK01\n"
@@ -153,19 +155,35 @@ class FastEncoder:
         pre = json.loads(spec)["pre_tokenizer"]
         self.cuts = pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not json.loads(spec)["normalizer"]
         self.size = self.whole.get_vocab_size()
-        self.first = Recent(self._ids)
-        self.later = Recent(lambda x: self._ids(" " + x))
-
-    def _ids(self, piece: str) -> tuple:
-        return tuple(self.whole.encode(piece, add_special_tokens=False).ids)
+        self.special = [t["content"] for t in json.loads(spec)["added_tokens"]]
+        self.model = self.whole.model
+        self.chars = byte_chars()
+        self.space = self.chars[32]
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.tokens = Recent(self._token, 200_000)
+        self.later = Recent(lambda x: self._ids(" " + x), 300_000)
+
+    def _token(self, piece: str) -> bytes:
+        """Ids, as bytes, of a piece that the splitting pattern leaves whole: only the library's merges are run."""
+        # ASCII letters stand for themselves in the byte-level alphabet, and a space for the same letter everywhere
+        mapped = self.space + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalpha() else piece.encode("utf-8").decode("latin-1").translate(self.chars)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _ids(self, piece: str) -> bytes:
+        """Ids as bytes. Letters and marks up to U+024F are split here; anything else goes through the library whole."""
+        if piece[:1] == " " and piece[1:].isalpha() and (piece.isascii() or max(piece) < "\u0250"):
+            return self.tokens[piece]
+        if piece and max(piece) < "\u0250" and not any(x in piece for x in self.special):
+            return b"".join(map(self.tokens.__getitem__, self.split.findall(piece)))
+        return np.array(self.whole.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not self.cuts or not text:
-            return np.array(self._ids(text), np.int64)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
         pieces = text.split(" ")
         if "" in pieces or "\n " in text or " \n" in text or self._ODD.search(text):
             pieces = self._CUT.split(text)
-        return np.fromiter(chain(self.first[pieces[0]], chain.from_iterable(map(self.later.__getitem__, pieces[1:]))), np.int64)
+        return np.frombuffer(self._ids(pieces[0]) + b"".join(map(self.later.__getitem__, pieces[1:])), "<u4")
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, bits: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
