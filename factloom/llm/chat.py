@@ -96,12 +96,12 @@ def json_paths(record: Column) -> Column:
 
 #: Mappings: field paths -> SQL over the parsed record r that gives array<struct<role,text>>. A mapping is data.
 LAYOUTS: list[tuple[list[str], str]] = [
-    (["prompt", "response"], "array(struct('user' as role, r.prompt as text), struct('assistant', r.response))"),
-    (["completion", "prompt"], "array(struct('user' as role, r.prompt as text), struct('assistant', r.completion))"),
-    (["question", "answer"], "array(struct('user' as role, r.question as text), struct('assistant', r.answer))"),
-    (["instruction", "output"], "array(struct('user' as role, r.instruction as text), struct('assistant', r.output))"),
-    (["input", "instruction", "output"], "array(struct('user' as role, concat_ws('\n\n', r.instruction, nullif(r.input, '')) as text), struct('assistant', r.output))"),
-    (["instruction", "output", "system"], "array(struct('system' as role, r.system as text), struct('user', r.instruction), struct('assistant', r.output))"),
+    (["prompt", "response"], "array(struct('user' as role, r.prompt as text), struct('assistant' as role, r.response as text))"),
+    (["completion", "prompt"], "array(struct('user' as role, r.prompt as text), struct('assistant' as role, r.completion as text))"),
+    (["question", "answer"], "array(struct('user' as role, r.question as text), struct('assistant' as role, r.answer as text))"),
+    (["instruction", "output"], "array(struct('user' as role, r.instruction as text), struct('assistant' as role, r.output as text))"),
+    (["input", "instruction", "output"], "array(struct('user' as role, concat_ws('\n\n', r.instruction, nullif(r.input, '')) as text), struct('assistant' as role, r.output as text))"),
+    (["instruction", "output", "system"], "array(struct('system' as role, r.system as text), struct('user' as role, r.instruction as text), struct('assistant' as role, r.output as text))"),
     (["messages[].content", "messages[].role"], "transform(r.messages, m -> struct(m.role as role, m.content as text))"),
     (["conversations[].from", "conversations[].value"], "transform(r.conversations, m -> struct(case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else m.`from` end as role, m.value as text))"),
 ]
