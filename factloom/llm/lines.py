@@ -36,7 +36,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     spread = spread.select("a", "b", "first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites * (1 - BAND) - 1)
     spread = cut(spread, "line-spread")
     near = spread.filter(F.col("sites") <= min_sites * (1 + BAND) + 1)
-    exact = lines.join(near.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count_distinct("site").alias("sites"))
+    # distinct first: a line that a third of all rows hold is then a row for each site
+    exact = lines.select("a", "b", "site").distinct().join(near.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("site").alias("sites"))
     far = spread.filter(F.col("sites") > min_sites * (1 + BAND) + 1)
     return far.unionByName(near.drop("sites").join(exact, ["a", "b"])).filter(F.col("sites") >= min_sites)
 
