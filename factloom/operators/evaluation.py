@@ -98,24 +98,36 @@ def extract_recall(gold: DataFrame, extracted: DataFrame) -> DataFrame:
 
 def rematch_numbers(missed: DataFrame, extracted: DataFrame) -> DataFrame:
     """(article_id, gold_id, claim_id): missed gold sentences matched one to one, in order, with the first unused extracted
-    claim that shares a number of two digits or more. Greedy and so sequential: one small group for each article."""
+    claim that shares a number of two digits or more. Greedy and so sequential: one pass over each article's rows, in order."""
     numbers = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.regexp_replace(c, ",", ""), F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda x: F.length(x) >= 2))
     g = missed.select("article_id", F.lit(0).alias("kind"), F.col("gold_id").alias("id"), F.col("gold_id").alias("pos"), numbers(F.col("sentence")).alias("n"))
     x = extracted.select("article_id", F.lit(1).alias("kind"), F.col("claim_id").alias("id"), F.col("pos").cast("long").alias("pos"), numbers(F.col("sentence")).alias("n"))
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kind", "pos", "id"])
-        free = [(i, set(n)) for i, n in zip(pdf["id"][pdf["kind"] == 1], pdf["n"][pdf["kind"] == 1])]
-        out = []
-        for i, n in zip(pdf["id"][pdf["kind"] == 0], pdf["n"][pdf["kind"] == 0]):
-            k = next((k for k, (_, m) in enumerate(free) if m & set(n)), None)
-            if k is not None:
-                out.append((pdf["article_id"].iloc[0], i, free.pop(k)[0]))
-        return pd.DataFrame(out, columns=["article_id", "gold_id", "claim_id"])
-
-    # only articles that miss something are grouped
+    def greedy(batches):
+        # rows come by article, gold sentences first: one pass, an article in memory at a time
+        article, golds, free = None, [], []
+
+        def match():
+            out = []
+            for i, n in golds:
+                k = next((k for k, (_, m) in enumerate(free) if m & n), None)
+                if k is not None:
+                    out.append((article, i, free.pop(k)[0]))
+            return out
+
+        for pdf in batches:
+            out = []
+            for a, kind, i, n in zip(pdf["article_id"], pdf["kind"], pdf["id"], pdf["n"]):
+                if a != article:
+                    out += match()
+                    article, golds, free = a, [], []
+                (free if kind else golds).append((i, set(n)))
+            yield pd.DataFrame(out, columns=["article_id", "gold_id", "claim_id"])
+        yield pd.DataFrame(match(), columns=["article_id", "gold_id", "claim_id"])
+
+    # only articles that miss something are passed on
     both = g.unionByName(x.join(g.select("article_id").distinct(), "article_id", "left_semi"))
-    return both.groupBy("article_id").applyInPandas(greedy, "article_id long, gold_id long, claim_id long")
+    return both.repartition("article_id").sortWithinPartitions("article_id", "kind", "pos", "id").mapInPandas(greedy, "article_id long, gold_id long, claim_id long")
 
 
 def extract_report(recall: DataFrame, rematched: DataFrame, extracted: DataFrame) -> DataFrame:
