@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.locale import Pack
 
+from .joins import small
 from .text import no_space, number_variants, straight_quotes
 
 
@@ -20,7 +21,7 @@ def classify_source(df: DataFrame, orgs: DataFrame, drop: str = r"\(추정\)") -
     name = F.trim(F.regexp_replace("source_org", drop, ""))
     names = df.select(name.alias("_n")).filter("_n is not null and _n != ''").distinct()
     inside = (F.col("_n") == F.col("org")) | F.contains("_n", "org")
-    hit = names.join(F.broadcast(orgs), inside).groupBy("_n").agg(F.min(F.when(F.col("_n") == F.col("org"), F.when(F.col("verified"), 1).otherwise(2)).otherwise(F.when(F.col("verified"), 3).otherwise(4))).alias("_k"))
+    hit = names.join(small(orgs), inside).groupBy("_n").agg(F.min(F.when(F.col("_n") == F.col("org"), F.when(F.col("verified"), 1).otherwise(2)).otherwise(F.when(F.col("verified"), 3).otherwise(4))).alias("_k"))
     kind = F.when(F.col("_k").isin(1, 3), "verified").when(F.col("_k").isin(2, 4), "known_not").otherwise("uncertain")
     return df.withColumn("_n0", name).join(hit, F.col("_n0") == F.col("_n"), "left").withColumn("source_class", kind).drop("_n0", "_n", "_k")
 
@@ -34,7 +35,7 @@ def infer_org(labels: DataFrame, orgs: DataFrame, publication: str) -> DataFrame
     """(article_id, org): the longest org name in a reason that speaks of a publication; ties go to the smaller name."""
     reasons = labels.filter(F.col("reason").rlike(publication)).select("article_id", no_space(F.col("reason")).alias("_r"))
     texts = reasons.select("_r").distinct()
-    best = texts.join(F.broadcast(orgs.select("org")), standalone(F.col("org"), F.col("_r"))).groupBy("_r").agg(F.min(F.struct((-F.length("org")).alias("n"), "org")).alias("b"))
+    best = texts.join(small(orgs.select("org")), standalone(F.col("org"), F.col("_r"))).groupBy("_r").agg(F.min(F.struct((-F.length("org")).alias("n"), "org")).alias("b"))
     return reasons.join(best, "_r").select("article_id", "b.org")
 
 
@@ -107,5 +108,5 @@ def wants_comparison(pack: Pack, text: str = "sentence") -> Column:
 def normalize_stat(df: DataFrame, synonyms: DataFrame, col: str) -> DataFrame:
     """df plus normalized: the target of the first synonym(ord, term, target) inside col, else col."""
     texts = df.select(F.col(col).alias("_t")).distinct()
-    hit = texts.join(F.broadcast(synonyms), F.contains("_t", "term")).groupBy("_t").agg(F.min(F.struct("ord", "target")).alias("_b"))
+    hit = texts.join(small(synonyms), F.contains("_t", "term")).groupBy("_t").agg(F.min(F.struct("ord", "target")).alias("_b"))
     return df.join(hit, F.col(col) == F.col("_t"), "left").withColumn("normalized", F.coalesce("_b.target", col)).drop("_t", "_b")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import small
 from .ranking import topk
 from .text import no_space
 
@@ -21,7 +22,7 @@ SIGNALS = ("population", "institution", "gender", "region")
 
 def expand_terms(texts: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(t, terms): for distinct texts t the targets of the synonyms (term, target) that occur in them."""
-    return texts.join(F.broadcast(synonyms), F.contains("t", "term")).groupBy("t").agg(F.array_sort(F.collect_set("target")).alias("terms"))
+    return texts.join(small(synonyms), F.contains("t", "term")).groupBy("t").agg(F.array_sort(F.collect_set("target")).alias("terms"))
 
 
 def stem_match(keyword: Column, text: Column, least: int = 5) -> Column:
@@ -59,10 +60,10 @@ def keyword_scores(claims: DataFrame, catalog: DataFrame, synonyms: DataFrame, c
     norm = no_space(F.col("kw"))
     direct = F.contains("n", norm) & ~false_friend_only(norm, F.col("n"), compounds or {})
     weight = F.when(direct, 1.0).when(F.coalesce(F.array_contains("terms", F.col("kw")), F.lit(False)), 0.5).when(stem_match(norm, F.col("n")) & ~false_friend_only(norm, F.col("n"), compounds or {}), 1.0)
-    hits = texts.join(F.broadcast(words.select("kw").distinct()), weight.isNotNull()).select("t", "kw", weight.alias("w"))
+    hits = texts.join(small(words.select("kw").distinct()), weight.isNotNull()).select("t", "kw", weight.alias("w"))
     by_word = hits.join(words, "kw").select("t", "table_id", "w")
     heads = catalog.select("table_id", F.substring("title", 1, 6).alias("head")).filter("head != ''")
-    by_title = texts.join(F.broadcast(heads.select("head").distinct()), F.contains("t", "head")).select("t", "head").join(heads, "head").select("t", "table_id", F.lit(1.0).alias("w"))
+    by_title = texts.join(small(heads.select("head").distinct()), F.contains("t", "head")).select("t", "head").join(heads, "head").select("t", "table_id", F.lit(1.0).alias("w"))
     score = by_word.unionByName(by_title).groupBy("t", "table_id").agg(F.least(F.lit(1.0), F.sum("w") / 3).alias("score"))
     return spoken.join(score, "t").select("claim_id", "table_id", "score")
 

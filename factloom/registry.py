@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.session import ship
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -14,7 +16,11 @@ def query(name: str, sql: str | None = None):
     """Register a function (spark, folder) -> DataFrame under a name; sql gives the same rows in DuckDB."""
 
     def keep(f):
-        _QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[name] = run
         if sql:
             _SQL[name] = sql
         return f

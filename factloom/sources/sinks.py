@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .readers import parsed_dims
-
+from factloom.session import shared_folder as staging_dir
 
-def staging_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from .readers import parsed_dims
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: str, created: Column | None = None) -> DataFrame:
