@@ -2,46 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.session import shared_folder as shared_dir
+from factloom.session import ship
+
 #: Rows that one Arrow batch carries to Python; texts can be long, so batches are small.
 ARROW_ROWS = "1000"
 
-_shipped: set[str] = set()
-_own_shared: dict[str, str] = {}
-
 
 def ready(spark: SparkSession) -> None:
-    """Make Python workers able to import this package, and keep their batches small. Once per application."""
+    """Make Python workers able to import this package, and keep their batches small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    out = os.path.join(tempfile.mkdtemp(prefix="factloom-"), f"{top.name}.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(out)
-    _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own_shared.setdefault(app, "file://" + tempfile.mkdtemp(prefix="factloom-shared-"))
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    ship(spark)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
