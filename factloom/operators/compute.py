@@ -22,11 +22,14 @@ def parse_value(c: Column) -> Column:
 
 
 def lookup_cell(requests: DataFrame, obs: DataFrame) -> DataFrame:
-    """(claim_id, status, value, unit): ok with exactly one cell that has a number; else none, many, other_period, no_value."""
-    cells = obs.select(*CELL, F.col("period").alias("_p"), F.col("value").alias("_v"), F.col("unit").alias("_u"))
-    here = F.col("_p") == F.col("period")
-    got = requests.join(cells, CELL, "left").groupBy("claim_id").agg(F.count(F.when(here, 1)).alias("n"), F.count("_p").alias("any"), F.min(F.when(here, F.col("_v"))).alias("v"), F.min(F.when(here, F.col("_u"))).alias("u"))
-    status = F.when(F.col("n") == 1, F.when(F.col("v").isNull(), "no_value").otherwise("ok")).when(F.col("n") > 1, "many").when(F.col("any") > 0, "other_period").otherwise("none")
+    """(claim_id, status, value, unit): ok with exactly one cell that has a number; else none, many, other_period, no_value.
+
+    Cells are counted by key and period first, so a request meets one row and not a whole series.
+    """
+    at = obs.groupBy(*CELL, "period").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("v"), F.min("unit").alias("u"))
+    series = obs.select(*CELL).distinct().withColumn("any", F.lit(True))
+    got = requests.select("claim_id", *CELL, "period").join(at, [*CELL, "period"], "left").join(series, CELL, "left")
+    status = F.when(F.col("n") == 1, F.when(F.col("v").isNull(), "no_value").otherwise("ok")).when(F.col("n") > 1, "many").when(F.col("any"), "other_period").otherwise("none")
     return got.select("claim_id", status.alias("status"), F.when(status == "ok", F.col("v")).alias("value"), F.when(status == "ok", F.col("u")).alias("unit"))
 
 
