@@ -33,14 +33,15 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-_models: dict[str, tuple[str, object]] = {}
+_models: dict[tuple[str, str], object] = {}
 
 
 def once(kind: str, key: str, build):
-    """A worker process keeps one built object of each kind, the one that was asked for last."""
-    if _models.get(kind, (None,))[0] != key:
-        _models[kind] = (key, build())
-    return _models[kind][1]
+    """A worker process keeps one built object, the one that was asked for last: workers live on from stage to stage."""
+    if (kind, key) not in _models:
+        _models.clear()
+        _models[kind, key] = build()
+    return _models[kind, key]
 
 
 class Recent(dict):
@@ -63,7 +64,7 @@ class Recent(dict):
 class WordRows(dict):
     """Word -> row number; rows hold what `make(words)` gives for words not seen before. Bounded: forgets all when full."""
 
-    def __init__(self, make, width: int, dtype, limit: int = 250_000):
+    def __init__(self, make, width: int, dtype, limit: int = 150_000):
         super().__init__()
         self.make, self.limit, self.new = make, limit, []
         self.rows = np.zeros((4096, width), dtype)
