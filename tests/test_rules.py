@@ -117,3 +117,50 @@ def test_empty_tables(spark):
     assert text.chunks(none).count() == 0
     cells = spark.createDataFrame([], "claim_id int, value double, unit string, period string")
     assert compute.agg_sum(cells).count() == 0 and compute.extreme_check(cells).count() == 0
+
+
+def test_rematching_is_greedy_and_one_to_one(spark):
+    from factloom.operators.evaluation import rematch_numbers
+
+    gold = spark.createDataFrame([(1, 10, "up 25 percent"), (1, 11, "25 again"), (1, 12, "only 7"), (2, 20, "1,200 people")], "article_id long, gold_id long, sentence string")
+    claims_ = spark.createDataFrame([(1, 100, 0, "it rose 25"), (1, 101, 1, "7 days"), (2, 200, 0, "1200 came"), (3, 300, 0, "25")], "article_id long, claim_id long, pos int, sentence string")
+    assert sorted(map(tuple, rematch_numbers(gold, claims_).collect())) == [(1, 10, 100), (2, 20, 200)]
+
+
+def test_tiebreak_reorders_runs_only(spark):
+    from factloom.operators.matching import simplicity_tiebreak
+
+    rows = [(1, 1, 7, 0.0300, "a/b/c"), (1, 2, 8, 0.0290, "a"), (1, 3, 9, 0.0280, "a/b"), (1, 4, 6, 0.0200, "a/b"), (2, 1, 5, 0.1, "a/b")]
+    got = simplicity_tiebreak(spark.createDataFrame(rows, "claim_id long, place int, table_id long, score double, title string")).orderBy("claim_id", "place").collect()
+    assert [(r["claim_id"], r["table_id"]) for r in got] == [(1, 8), (1, 7), (1, 9), (1, 6), (2, 5)]
+
+
+def test_pages_give_their_text(spark):
+    from factloom.sources.readers import extract_articles
+
+    body = 'x<script>Fusion.globalContent={"content_elements":[{"type":"text","content":"<b>A &amp; {B}</b>"},{"type":"image"},{"type":"text","content":"second"}]};more</script><p>no</p>'
+    rows = [(1, body), (2, "<p>one &lt;</p><p> </p><p>two</p>"), (3, 'Fusion.globalContent={"broken'), (4, None)]
+    got = {r["page_id"]: r["text"] for r in extract_articles(spark.createDataFrame(rows, "page_id int, html string")).collect()}
+    assert got == {1: "A & {B}\n\nsecond", 2: "one <\n\ntwo", 3: None, 4: None}
+
+
+def test_display_text_joins_repeats_and_groups_sentences(spark):
+    from factloom.functions.locale import ENGLISH
+
+    lead = "This block of text comes twice here. "
+    df = spark.createDataFrame([(1, f"{lead}{lead}One. Two. Three. All rights reserved"), (2, None)], "article_id int, text string")
+    got = [(r["paragraph"], r["text"]) for r in text.display_text(df, ENGLISH).orderBy("paragraph").collect()]
+    assert got == [(0, "This block of text comes twice here. One. Two."), (1, "Three.")]
+
+
+def test_slot_state_across_batches(spark):
+    from factloom.sources.sinks import staging_dir
+    from factloom.streaming.verify import slot_state
+
+    path, out, ck = (staging_dir(spark, n) for n in ("turns", "slots", "ck"))
+    for rows in ([(1, 0, None, "a")], [(1, 1, "2024", "b"), (2, 0, None, None)], [(1, 2, "2025", None)]):
+        spark.createDataFrame(rows, "conv_id long, turn long, period string, region string").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("conv_id long, turn long, period string, region string").parquet(path)
+        slot_state(stream, ["period", "region"]).writeStream.format("parquet").option("checkpointLocation", ck).option("path", out).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["conv_id"], r["turn"]): (r["period"], r["region"]) for r in spark.read.parquet(out).collect()}
+    assert got == {(1, 0): (None, "a"), (1, 1): ("2024", "a"), (1, 2): ("2024", "a"), (2, 0): (None, None)}
