@@ -215,7 +215,7 @@ def band_prints(h: np.ndarray, bands: int, bits: int) -> np.ndarray:
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 16, bits: int = 40, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) for every row: documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
+    """(id, sha, component_id) for every row, sha being of its text: documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
 
     A pair at similarity s agrees in a fingerprint bit with probability 1 - acos(2s / (1 + s)) / pi. With the defaults a
     pair at 0.8 is proposed with probability 0.88, one at 0.85 with 0.98 and one at 0.9 with 0.999; what is proposed is
@@ -251,4 +251,4 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     checked = both.filter((union == 0) | (shared >= F.lit(similarity) * union)).select("a", "b")
     part = connected_components(checked, "a", "b")
     of = nodes.join(part, "node", "left").select("sha", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(of, "sha").select(F.col("doc_id").alias(id_col), "component_id")
+    return marked.join(of, "sha").select(F.col("doc_id").alias(id_col), "sha", "component_id")

@@ -167,3 +167,18 @@ def test_pipeline(spark, con):
     assert set(ids) == set(clean)
     for i, r in ids.items():
         assert np.frombuffer(r["ids"], "<u4").tolist() == lib.encode(clean[i]["text"], add_special_tokens=False).ids
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    words = " ".join(f"word{i}" for i in range(100))
+    rows = [(1, words), (1, words), (None, words), (None, "no id but text of its own here"), (2, "one text of two under this id"), (2, "the other text that id two has"), (3, None), (4, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, sha int")
+    got = corpus_pipeline.drop_near_copies(spark, df, SF)
+    assert got.columns == df.columns
+    # rows of one id are one document: of its two texts the one with the smaller hash stays
+    two = min(rows[4:6], key=lambda r: sha(r[1].encode()))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(1, words), rows[3], two, (3, None)], key=repr)
+    kept = corpus_pipeline.drop_contaminated(spark, df, SF)
+    assert kept.count() == df.count() and kept.columns == df.columns
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), SF).count() == 0
