@@ -75,7 +75,7 @@ def trained_text(turns: Column, mask: Column) -> Column:
     return F.array_join(runs, "")
 
 
-# Layouts of JSON records.
+# Layouts: of tables with a row for each turn, and of JSON records. Each is known by the hash of its field paths.
 
 
 def paths_of(kind: T.DataType, at: str = "") -> list[str]:
@@ -107,6 +107,27 @@ LAYOUTS: list[tuple[list[str], str]] = [
 ]
 
 
+#: Mappings of tables: field paths -> SQL for conversation, turn, role and text. The first that a table has all paths of counts.
+TABLE_LAYOUTS: list[tuple[list[str], dict[str, str]]] = [
+    (["conv_id", "role", "text", "turn"], {"conv_id": "conv_id", "turn": "turn", "role": "role", "text": "text"}),
+    (["conversation_id", "content", "index", "role"], {"conv_id": "conversation_id", "turn": "index", "role": "role", "text": "content"}),
+    (["message.content", "message.role", "position", "thread"], {"conv_id": "thread", "turn": "position", "role": "message.role", "text": "message.content"}),
+]
+
+
+def canonical_rows(table: DataFrame, layouts: list[tuple[list[str], dict[str, str]]] | None = None) -> DataFrame:
+    """(conv_id, turn, role, text, layout): the table's turns under the mapping that its fingerprint selects.
+
+    Extra columns don't matter. A table of no known layout raises ValueError, before any job runs.
+    """
+    have = set(paths_of(table.schema))
+    known = {fingerprint(paths): (paths, how) for paths, how in layouts or TABLE_LAYOUTS}
+    found = next((mark for mark, (paths, _) in known.items() if fingerprint([p for p in paths if p in have]) == mark), None)
+    if found is None:
+        raise ValueError(f"no mapping for a table with the fields {sorted(have)}")
+    return table.select(*[F.expr(sql).alias(name) for name, sql in known[found][1].items()], F.lit(found).alias("layout"))
+
+
 def _record_type(paths: list[str]) -> T.StructType:
     fields: dict[str, list[str]] = {}
     for p in paths:

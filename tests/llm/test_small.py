@@ -236,6 +236,15 @@ def test_chat_layouts(spark):
     assert {i: t and [tuple(x) for x in t] for i, t in got.items()} == {i: w for i, (_, w) in enumerate(rows)}
 
 
+def test_chat_tables(spark):
+    nested = spark.createDataFrame([(1, 0, ("user", "a"), "x")], "thread long, position long, message struct<role:string,content:string>, layout string")
+    assert tuple(chat.canonical_rows(nested).first())[:4] == (1, 0, "user", "a")
+    flat = spark.createDataFrame([(1, 0, "user", "a", 5)], "conv_id long, turn long, role string, text string, extra int")
+    assert tuple(chat.canonical_rows(flat).first())[:4] == (1, 0, "user", "a")
+    with pytest.raises(ValueError):
+        chat.canonical_rows(nested.select("thread"))
+
+
 def test_decontamination(spark, none):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
