@@ -7,7 +7,8 @@ of nodes downwards together, adds up the bits in which they differ, and drops a
 gives links of a spanning forest only, never all pairs of a group; the components of these links are those of all links.
 
 near_duplicates() links by one 64-bit fingerprint. similar_documents() finds texts by the similarity of their word shingles:
-several shorter fingerprints, each with its own tries, propose pairs, and an exact Jaccard similarity decides.
+several shorter fingerprints, each with its own tries, propose a spanning forest, and an exact Jaccard similarity decides.
+The forest leaves out pairs, so close_sets() then proposes every pair of unlinked texts that can reach the similarity.
 
 Rules for input: null text is the empty text; texts without words have fingerprint zero and link like any other; repeated
 rows and equal texts share a fingerprint; null ids are kept and get the component of their fingerprint; component_id is the
@@ -33,6 +34,10 @@ _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
 #: Fingerprints that a task joins, about.
 STRETCH = 20_000
+#: Texts on a side of a cell that close_sets() compares at a time, rows of a task's group, pairs held at a time.
+CELL, GROUP_ROWS, HELD = 300, 20_000, 1_000_000
+#: Counters of shingle frequency, and documents that are counted, about; both only order the shingles of a set.
+COUNTERS_BITS, COUNTED = 20, 50_000
 LEAF = 12  # node pairs with at most so many fingerprints on a side are compared outright
 
 
@@ -145,15 +150,20 @@ def trie_links(keys: np.ndarray, top: int, radius: int, bits: int = 64, most: in
 
 def _close(keys: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs i < j within the node pairs f whose keys differ in at most radius bits."""
+    i, j = _pairs(f)
+    near = np.bitwise_count(keys[i] ^ keys[j]) <= radius
+    return i[near], j[near]
+
+
+def _pairs(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j with i in f[:, 0] : f[:, 1] and j in f[:, 2] : f[:, 3] of one row of f."""
     nx, ny = f[:, 1] - f[:, 0], f[:, 3] - f[:, 2]
     many = nx * ny
     of = np.repeat(np.arange(len(f)), many)
     k = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
     i, j = f[of, 0] + k // ny[of], f[of, 2] + k % ny[of]
     keep = i < j
-    i, j = i[keep], j[keep]
-    near = np.bitwise_count(keys[i] ^ keys[j]) <= radius
-    return i[near], j[near]
+    return i[keep], j[keep]
 
 
 def links(prints: DataFrame, n: int, radius: int, bits: int = 64) -> DataFrame:
@@ -214,12 +224,55 @@ def band_prints(h: np.ndarray, bands: int, bits: int) -> np.ndarray:
     return on @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
 
 
+def rare_first(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The prefix of a set in the order of (counter, hash): two sets of that similarity have a hash of their prefixes in common."""
+    order = np.lexsort((h, counts[(h >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64)]))
+    return h[order[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]] if len(h) else np.zeros(1, np.uint64)
+
+
+def close_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of nodes in different parts whose sets can reach the similarity; none that reaches it is left out.
+
+    sets: (node, part, n, s), n being the size of a set and s its prefix. In the cell of the first hash that two prefixes
+    share, what comes after it bounds their overlap. Cells within one part make no pairs; large cells are cut into blocks,
+    and each two blocks meet in one place.
+    """
+    rows = sets.select("node", "part", "n", F.posexplode("s").alias("pos", "s")).select("node", "part", "n", "s", (F.col("n") - F.col("pos") - 1).alias("left"))
+    hot = rows.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo != hi")
+    hot = cut(hot.select("s", F.ceil(F.col("m") / CELL).cast("long").alias("blocks"), "m"), "similar-hot")
+    groups = max(1, math.ceil((hot.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0) / GROUP_ROWS))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    cells = rows.join(hot, "s").distinct().withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "part", "n", "left")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["s", "i", "j", "side"])
+        s, i, j, side, node, part, n, left = (pdf[c].to_numpy(np.int64) for c in ("s", "i", "j", "side", "node", "part", "n", "left"))
+        new = (s[1:] != s[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        start = np.concatenate(([0], np.flatnonzero(new) + 1)) if len(s) else np.zeros(0, np.int64)
+        end = np.append(start[1:], len(s))[: len(start)]
+        before = np.concatenate(([0], np.cumsum(side)))
+        middle = end - (before[end] - before[start])
+        alone = i[start] == j[start]
+        f = np.stack((start, middle, np.where(alone, start, middle), end), 1)
+        step = np.cumsum((f[:, 1] - f[:, 0]) * (f[:, 3] - f[:, 2])) // HELD
+        got = np.zeros((0, 2), np.int64)
+        for part_of in np.split(f, np.flatnonzero(np.diff(step)) + 1) if len(f) else []:
+            x, y = _pairs(part_of)
+            can = (part[x] != part[y]) & ((1 + np.minimum(left[x], left[y])) * (1 + similarity) >= similarity * (n[x] + n[y]) - 1e-9)
+            x, y = node[x[can]], node[y[can]]
+            got = np.unique(np.concatenate((got, np.stack((np.maximum(x, y), np.minimum(x, y)), 1))), axis=0)
+        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+
+    return cells.groupBy(F.pmod(F.xxhash64("s", "i", "j"), F.lit(groups))).applyInPandas(meet, "a long, b long").distinct()
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 16, bits: int = 40, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, sha, component_id) for every row, sha being of its text: documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
 
-    A pair at similarity s agrees in a fingerprint bit with probability 1 - acos(2s / (1 + s)) / pi. With the defaults a
-    pair at 0.8 is proposed with probability 0.88, one at 0.85 with 0.98 and one at 0.9 with 0.999; what is proposed is
-    checked on whole texts. Rows with equal texts are one node, named by their smallest id.
+    The fingerprints' tries give a spanning forest of close texts, whose links are checked on whole texts; that settles most
+    copies. Texts that are still apart meet in close_sets(), which misses no pair, and are checked likewise: so no link
+    depends on chance, on the forest or on a group's size. Rows with equal texts are one node, named by their smallest id.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -240,15 +293,44 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     nodes = cut(nodes.select("sha", F.coalesce("low", F.xxhash64("sha")).alias("node"), "prints"), "similar-nodes")
     cells = nodes.select("node", F.posexplode("prints").alias("band", "fp"))
     pairs = links(cells.select("band", "node", "fp"), nodes.count(), radius, bits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = cut(pairs, "similar-pairs")
-    # shingle sets of the texts that stand in a pair, one text for each node
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "sha"), "node")
     keyed = docs.select(F.sha2(text, 256).alias("sha"), text.alias("text"))
-    sets = cut(keyed.join(wanted, "sha").groupBy("node").agg(F.min("text").alias("text")).select("node", shingles(F.col("text")).alias("s")), "similar-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - shared
-    checked = both.filter((union == 0) | (shared >= F.lit(similarity) * union)).select("a", "b")
-    part = connected_components(checked, "a", "b")
-    of = nodes.join(part, "node", "left").select("sha", F.coalesce("root", "node").alias("component_id"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs, "similar-pairs")
+        # shingle sets of the texts that stand in a pair, one text for each node
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "sha"), "node")
+        sets = cut(keyed.join(wanted, "sha").groupBy("node").agg(F.min("text").alias("text")).select("node", shingles(F.col("text")).alias("s")), "similar-sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        union = F.size("sa") + F.size("sb") - shared
+        return both.filter((union == 0) | (shared >= F.lit(similarity) * union)).select("a", "b")
+
+    part = connected_components(check(pairs), "a", "b")
+    of = cut(nodes.join(part, "node", "left").select("sha", "node", F.coalesce("root", "node").alias("part")), "similar-parts")
+
+    # how often shingles occur, by counter, in every so many documents
+    every = min(64, math.ceil(max(1, nodes.count()) / COUNTED))
+    counted = docs.filter(F.pmod(F.xxhash64(text), F.lit(every)) == 0).select(F.explode(shingles(text)).alias("s"))
+    counted = counted.groupBy(F.shiftrightunsigned("s", 64 - COUNTERS_BITS).alias("k")).count()
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        full = np.zeros(1 << COUNTERS_BITS, "<u2")
+        full[pdf["k"].to_numpy(np.int64)] = np.minimum(pdf["count"].to_numpy(np.int64), 65535)
+        return pd.DataFrame({"counts": [full.tobytes()]})
+
+    packed = counted.groupBy().applyInPandas(pack, "counts binary").collect()
+    sent = spark.sparkContext.broadcast(bytes(packed[0]["counts"]) if packed else bytes(2 << COUNTERS_BITS))
+
+    @F.pandas_udf("struct<n:int,s:array<long>>")
+    def prefix(texts: pd.Series) -> pd.DataFrame:
+        hasher, counts = once("shingle-hasher", "", Hasher), np.frombuffer(sent.value, "<u2")
+        sets = [shingle_hashes(t, hasher, shingle) for t in texts]
+        return pd.DataFrame({"n": [len(h) for h in sets], "s": [rare_first(h, counts, similarity).view(np.int64) for h in sets]})
+
+    sets = keyed.select("sha", prefix("text").alias("p")).join(of, "sha").select("node", "part", "p.n", "p.s")
+    more = check(close_sets(cut(sets, "similar-prefixes"), similarity))
+    name = of.select("node", "part")
+    more = more.join(name.toDF("a", "pa"), "a").join(name.toDF("b", "pb"), "b").select("pa", "pb")
+    whole = connected_components(more, "pa", "pb").select(F.col("node").alias("part"), "root")
+    of = of.join(whole, "part", "left").select("sha", F.coalesce("root", "part").alias("component_id"))
     return marked.join(of, "sha").select(F.col("doc_id").alias(id_col), "sha", "component_id")

@@ -192,6 +192,35 @@ def test_similar_documents(spark, odd, none):
     assert simhash.similar_documents(none).count() == 0
 
 
+def test_similar_documents_in_a_family_of_half_similar_texts(spark):
+    """Copies of one original, each edited too far to be linked with it, and for each a close copy of its own."""
+    rng = random.Random(12)
+    base, rows, want = [f"w{i}" for i in range(200)], [], {}
+    for i in range(1200):
+        own = list(base)
+        for at in rng.sample(range(200), 6):
+            own[at] = f"e{i}x{at}"
+        near = list(own)
+        near[rng.randrange(200)] = f"n{i}"
+        near[rng.randrange(200)] = f"m{i}"
+        rows += [(2 * i, " ".join(own), "a"), (2 * i + 1, " ".join(near), "a")]
+    rows.append((9999, " ".join(base), "a"))
+    cut_of = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t, _ in rows}
+    by = {}
+    for i, s in cut_of.items():
+        for x in s:
+            by.setdefault(x, []).append(i)
+    ids, full = sorted(cut_of), np.zeros((len(cut_of), len(by)), np.float32)
+    for k, x in enumerate(by):
+        full[np.searchsorted(ids, by[x]), k] = 1
+    shared, size = full @ full.T, full.sum(axis=1)
+    i, j = np.nonzero(np.triu(shared * 10 >= 8 * (size[:, None] + size[None, :] - shared), 1))
+    want = groups_of([(ids[a], ids[b]) for a, b in zip(i, j)], ids)
+    assert len(set(want.values())) > 500
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs(spark, rows)).collect()}
+    assert got == want
+
+
 def test_lines(spark, none):
     menu, other = "Home | About | Contact us today", "seen on two sites only, not more"
     rows = [(i, f"own line {i}\n{menu}\n\nlast", f"s{i % 4}") for i in range(8)] + [(20, menu, "s1"), (21, other, "s1"), (22, other, "s2"), (23, None, "s3"), (24, "", None), (25, f"  {menu} ", "s2"), (0, f"own line 0\n{menu}\n\nlast", "s0")]
