@@ -268,11 +268,13 @@ def close_sets(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 16, bits: int = 40, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sha, component_id) for every row, sha being of its text: documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
+    """(id, sha, component_id, root) for every row, sha being of its text: documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
 
     The fingerprints' tries give a spanning forest of close texts, whose links are checked on whole texts; that settles most
     copies. Texts that are still apart meet in close_sets(), which misses no pair, and are checked likewise: so no link
-    depends on chance, on the forest or on a group's size. Rows with equal texts are one node, named by their smallest id.
+    depends on chance, on the forest or on a group's size. Rows with equal texts are one node, named by a hash of the text;
+    component_id is the smallest id of the component, or its root if all ids are null. Components of unlike texts that
+    share an id can have the same component_id, but never the same root.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -290,7 +292,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("sha"), mark(text).alias("prints")), "similar-prints")
     nodes = marked.groupBy("sha").agg(F.min("doc_id").alias("low"), F.first("prints").alias("prints"))
-    nodes = cut(nodes.select("sha", F.coalesce("low", F.xxhash64("sha")).alias("node"), "prints"), "similar-nodes")
+    nodes = cut(nodes.select("sha", F.xxhash64("sha").alias("node"), "low", "prints"), "similar-nodes")
     cells = nodes.select("node", F.posexplode("prints").alias("band", "fp"))
     pairs = links(cells.select("band", "node", "fp"), nodes.count(), radius, bits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     keyed = docs.select(F.sha2(text, 256).alias("sha"), text.alias("text"))
@@ -306,7 +308,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
         return both.filter((union == 0) | (shared >= F.lit(similarity) * union)).select("a", "b")
 
     part = connected_components(check(pairs), "a", "b")
-    of = cut(nodes.join(part, "node", "left").select("sha", "node", F.coalesce("root", "node").alias("part")), "similar-parts")
+    of = cut(nodes.join(part, "node", "left").select("sha", "node", "low", F.coalesce("root", "node").alias("part")), "similar-parts")
 
     # how often shingles occur, by counter, in every so many documents
     every = min(64, math.ceil(max(1, nodes.count()) / COUNTED))
@@ -332,5 +334,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     name = of.select("node", "part")
     more = more.join(name.toDF("a", "pa"), "a").join(name.toDF("b", "pb"), "b").select("pa", "pb")
     whole = connected_components(more, "pa", "pb").select(F.col("node").alias("part"), "root")
-    of = of.join(whole, "part", "left").select("sha", F.coalesce("root", "part").alias("component_id"))
-    return marked.join(of, "sha").select(F.col("doc_id").alias(id_col), "sha", "component_id")
+    of = cut(of.join(whole, "part", "left").select("sha", "low", F.coalesce("root", "part").alias("root")), "similar-roots")
+    low = of.groupBy("root").agg(F.coalesce(F.min("low"), F.col("root")).alias("component_id"))
+    of = of.select("sha", "root").join(low, "root")
+    return marked.join(of, "sha").select(F.col("doc_id").alias(id_col), "sha", "component_id", "root")

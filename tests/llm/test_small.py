@@ -221,6 +221,28 @@ def test_similar_documents_in_a_family_of_half_similar_texts(spark):
     assert got == want
 
 
+def test_similar_documents_under_one_id(spark):
+    """Two unlike texts share an id; each has a close copy under another id, and the copies are not linked through the id."""
+    a, b = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(200)]
+    rows = [(2, " ".join(a), "x"), (2, " ".join(b), "x"), (5, " ".join(a[:190]), "x"), (6, " ".join(b[:190]), "x"), (7, "text of its own", "x"), (None, "without an id", "x")]
+    root = {r["sha"]: r["root"] for r in simhash.similar_documents(docs(spark, rows)).collect()}
+    of = [root[hashlib.sha256(t.encode()).hexdigest()] for _, t, _ in rows]
+    assert of[0] == of[2] and of[1] == of[3] and len(set(of)) == 4
+
+
+def test_near_copies_of_a_text_under_a_repeated_id(spark):
+    """The texts of a repeated id give way without taking their components along."""
+    import corpus_pipeline
+
+    text = {k: [f"{k}{i}" for i in range(200)] for k in "abc"}
+    full = lambda k, n=200: " ".join(text[k][:n])
+    rows = [(2, full("a"), "x"), (2, full("b"), "x"), (1, full("a", 190), "x"), (6, full("b", 190), "x"), (7, full("c"), "x")]
+    got = corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "")
+    kept = {(r["doc_id"], r["text"]) for r in got.collect()}
+    assert (1, full("a", 190)) in kept and (7, full("c")) in kept
+    assert len(kept) == 3 and sum(t in (full("b"), full("b", 190)) for _, t in kept) == 1
+
+
 def test_lines(spark, none):
     menu, other = "Home | About | Contact us today", "seen on two sites only, not more"
     rows = [(i, f"own line {i}\n{menu}\n\nlast", f"s{i % 4}") for i in range(8)] + [(20, menu, "s1"), (21, other, "s1"), (22, other, "s2"), (23, None, "s3"), (24, "", None), (25, f"  {menu} ", "s2"), (0, f"own line 0\n{menu}\n\nlast", "s0")]
