@@ -1,10 +1,10 @@
-"""Benchmark decontamination: SimHash fingerprints of item-sized windows, blocks that index them, and an exact check.
+"""Benchmark decontamination: an index of item shingles finds item-sized windows, and an exact check decides.
 
 Texts and items are lower-cased word sequences, cut into overlapping shingles of five words; an item with fewer words is
-one shingle. A window of an item's size has the fingerprint of its shingles. Two fingerprints within `radius` bits differ
-by at most radius // blocks bits in some block, so looking every block up with that many bits changed finds all of them.
-What is found is checked exactly: the weighted Jaccard similarity of the two multisets of shingles. Windows without any
-shingle of an item have similarity zero with it; no fingerprint is made for them.
+one shingle. Windows without any shingle of an item have similarity zero with it, so looking up a text's shingles among
+those of the items finds every window that counts. A window with as many of them as the similarity takes is checked
+exactly: the weighted Jaccard similarity of the two multisets of shingles. SimHash fingerprints decide nothing, as two
+similar windows can lie any number of bits apart; the distance of the best window's is reported.
 
 Rules for input: a null or empty text matches nothing, nor does an item without words; a text shorter than an item is one
 window; texts of any length are read whole; repeated rows and ids give one row for each pair of ids, with the best match;
@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 from .shared import WordRows, mix64, once, ready
 
 SHINGLE, SIMILARITY_TENTHS = 5, 8
-BLOCKS, RADIUS = 8, 23
 #: Bytes of item texts that are sent to the executors at a time.
 ITEM_BYTES = 4_000_000
 _WORD = re.compile(r"\w+")
@@ -65,7 +63,7 @@ def window_prints(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 class Items:
-    """The fingerprints of one block of items, indexed by bit blocks, and their shingles."""
+    """The shingles of one block of items, indexed by hash, and the items' fingerprints."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.hasher = Hasher()
@@ -87,20 +85,6 @@ class Items:
             order = np.argsort(h, kind="stable")
             self.anchors[k] = (h[order], of[order])
         self.prints = np.array([window_prints(s, np.array([0]), len(s))[0] for s in self.shingles], np.uint64)
-        # for each block and each of its 256 values, the items whose value lies within RADIUS // BLOCKS bits
-        near = [sum(1 << b for b in c) for d in range(RADIUS // BLOCKS + 1) for c in combinations(range(8), d)]
-        self.near = np.zeros((BLOCKS, 256, len(self.ids)), bool)
-        for b in range(BLOCKS):
-            value = ((self.prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)
-            for x in near:
-                self.near[b, value ^ x, np.arange(len(value))] = True
-
-    def found(self, prints: np.ndarray, item: int) -> np.ndarray:
-        """Which of the window fingerprints the index finds near the item, by a block and then by all bits."""
-        near = np.zeros(len(prints), bool)
-        for b in range(BLOCKS):
-            near |= self.near[b, ((prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64), item]
-        return near & (np.bitwise_count(prints ^ self.prints[item]) <= RADIUS)
 
     def matches(self, text: str | None) -> list[tuple]:
         """(item id, shared, union, first word, bits apart) of the best window for each item that the text holds."""
@@ -142,17 +126,17 @@ class Items:
         if not len(starts):
             return None
         best = None
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
-            prints = window_prints(h, run, n)
-            for s, p in zip(run[keep := self.found(prints, item)], prints[keep]):
-                got, times = np.unique(h[s : s + n], return_counts=True)
-                j = np.searchsorted(own, got)
-                ok = (j < len(own)) & (own[np.minimum(j, len(own) - 1)] == got)
-                shared = int(np.minimum(times[ok], want[j[ok]]).sum())
-                union = n + int(self.n[item]) - shared
-                if shared * 10 >= SIMILARITY_TENTHS * union and (best is None or shared * best[1] > best[0] * union):
-                    best = (shared, union, int(s), int(np.bitwise_count(p ^ self.prints[item])))
-        return best
+        for s in starts:
+            got, times = np.unique(h[s : s + n], return_counts=True)
+            j = np.searchsorted(own, got)
+            ok = (j < len(own)) & (own[np.minimum(j, len(own) - 1)] == got)
+            shared = int(np.minimum(times[ok], want[j[ok]]).sum())
+            union = n + int(self.n[item]) - shared
+            if shared * 10 >= SIMILARITY_TENTHS * union and (best is None or shared * best[1] > best[0] * union):
+                best = (shared, union, int(s))
+        if best is None:
+            return None
+        return (*best, int(np.bitwise_count(window_prints(h, np.array([best[2]]), n)[0] ^ self.prints[item])))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

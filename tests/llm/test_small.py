@@ -326,6 +326,19 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_windows_with_distant_fingerprints():
+    rng, tried = random.Random(13), 0
+    for _ in range(3000):
+        x, y = ("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2))
+        item, window = " ".join([x] * 20 + [y] * 20), " ".join([x] * 23 + [y] * 17)
+        index = decontaminate.Items([(1, item)])
+        h = index.hasher.shingles(window.split(), 5)
+        if int(decontaminate.window_prints(h, np.array([0]), len(h))[0] ^ index.prints[0]).bit_count() > 23:
+            tried += 1
+            assert [m[:3] for m in index.matches(window)] == [(1, 33, 39)]
+    assert tried
+
+
 def test_sharding(spark, odd, none, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_GROUPS", 10)
     monkeypatch.setattr(sharding, "FAN", 3)
