@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordRows, once, ready, word_grams
+from .shared import WordRows, cut, once, ready, word_grams
 
 BUCKETS = 1 << 16
 #: Texts of a language that the model learns from at most; the choice goes by a hash.
@@ -76,9 +76,11 @@ def fit(docs: DataFrame, learn_from: Column, lang_col: str = "lang", text_col: s
 
     ready(docs.sparkSession)
     keyed = docs.filter(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    # about 2 x `rows` candidates of each language by hash, so that what is ranked doesn't grow with the table
-    sizes = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    few = keyed.select("lang", "h").join(F.broadcast(sizes), "lang").filter(F.pmod("h", "n") < 2 * rows).select("lang", "h").distinct()
+    # about 2 x `rows` candidates of each language by hash, so that what is ranked doesn't grow with the table; copies of a
+    # text count once
+    texts = cut(keyed.select("lang", "h").distinct(), "langid-texts")
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    few = texts.join(F.broadcast(sizes), "lang").filter(F.pmod("h", "n") < 2 * rows).select("lang", "h")
     few = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= rows).select("lang", "h")
     chosen = keyed.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 

@@ -417,5 +417,14 @@ def test_langid(spark, none):
     assert [r[0]["lang"] for r in df.limit(2).select(langid.language_column(df, empty)).collect()] == ["und", "und"]
 
 
+def test_langid_learns_from_texts_with_many_copies(spark):
+    said = [(f"l{k}", f"{chr(97 + k) * 3}{chr(97 + j) * 4} {chr(97 + k) * 5}") for k in range(10) for j in range(3)]
+    df = spark.createDataFrame(said, "lang string, text string").crossJoin(spark.range(2000))
+    model = langid.fit(df, F.lit(True))
+    assert model["langs"] == sorted({k for k, _ in said})
+    few = spark.createDataFrame(said, "lang string, text string")
+    assert (langid.fit(few, F.lit(True))["logs"] == model["logs"]).all()
+
+
 def test_digest_of_ids_is_little_endian():
     assert hashlib.sha256(np.array([1, 70000], "<u4").tobytes()).hexdigest() == hashlib.sha256(bytes([1, 0, 0, 0, 0x70, 0x11, 1, 0])).hexdigest()
