@@ -18,12 +18,19 @@ def ready(spark: SparkSession) -> None:
     ship(spark)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs restart from there when executors are lost."""
+def cut(df: DataFrame, name: str, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write df to the shared folder and read it back: later jobs restart from there when executors are lost.
+
+    `spent` are earlier cuts that nothing but df reads; their folders go. A caller's last cuts stay as long as its result.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for x in spent:
+        delete(spark, x.cut_path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.cut_path = path
+    return back
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -33,6 +40,14 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """`name`, or with as many underscores behind it as it takes to be none of df's columns (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _models: dict[tuple[str, str], object] = {}
 
 
@@ -44,14 +59,20 @@ def once(kind: str, key: str, build):
     return _models[kind, key]
 
 
+#: Characters of a piece of text that is remembered; longer ones (texts without spaces) are worked out each time.
+LONGEST = 48
+
+
 class Recent(dict):
-    """make(key), remembered for about the last 2 x `limit` distinct keys, so that frequent ones are never made twice."""
+    """make(key), remembered for about the last 2 x `limit` distinct keys of up to LONGEST characters: bounded in bytes too."""
 
     def __init__(self, make, limit: int = 150_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         if (found := self.old.get(key)) is None:
             found = self.make(key)
         if len(self) >= self.limit:
@@ -62,22 +83,27 @@ class Recent(dict):
 
 
 class WordRows(dict):
-    """Word -> row number; rows hold what `make(words)` gives for words not seen before. Bounded: forgets all when full."""
+    """Word -> row number; rows hold what `make(words)` gives for words not seen before.
+
+    Bounded: forgets all when `limit` words or `chars` characters are held; one text's words are always held together.
+    """
 
-    def __init__(self, make, width: int, dtype, limit: int = 150_000):
+    def __init__(self, make, width: int, dtype, limit: int = 150_000, chars: int = 4_000_000):
         super().__init__()
-        self.make, self.limit, self.new = make, limit, []
+        self.make, self.limit, self.chars, self.held, self.new = make, limit, chars, 0, []
         self.rows = np.zeros((4096, width), dtype)
 
     def __missing__(self, word):
         at = self[word] = len(self)
+        self.held += len(word)
         self.new.append(word)
         return at
 
     def look_up(self, words: list) -> np.ndarray:
         """The row numbers of words; self.rows then holds all of them."""
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.held > self.chars:
             self.clear()
+            self.held = 0
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:
             n, k = len(self), len(self.new)
@@ -129,3 +155,53 @@ def word_grams(words: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[
     order = np.argsort(owners, kind="stable")
     found = (mix64(np.concatenate(ids)[order]) % np.uint64(buckets)).astype(np.int64)
     return found, np.searchsorted(owners[order], np.arange(len(words)))
+
+
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_WORD_CHARS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[i] = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(n, 1 << 16) - 1, b, np.uint64))))
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def word_hashes(text: str | None, stretch: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of the lower-cased words of a text in order; words are what the pattern \\w+ finds.
+
+    All characters are hashed together, as polynomials; a text of many characters in stretches that end between words.
+    """
+    text = (text or "").lower()
+    if not _WORD_CHARS:
+        _WORD_CHARS.append(np.array([c == "_" or c.isalnum() for c in map(chr, range(0x110000))]))
+    codes = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = _WORD_CHARS[0][codes]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    if len(codes) <= stretch:
+        return hash_spans(codes, starts, ends)
+    cuts = np.append(np.arange(0, len(codes), stretch), len(codes))
+    at = np.searchsorted(starts, cuts)
+    return np.concatenate([hash_spans(codes[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in zip(at, at[1:]) if b > a] or [np.zeros(0, np.uint64)])
+
+
+def hash_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of codes[start:end] for each span."""
+    up, down = _powers(len(codes) + 1)
+    run = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=run[1:])
+    return mix64((run[ends] - run[starts]) * down[starts])
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k words in a row, repeats included; fewer than k words give none."""
+    if len(words) < k:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(len(words) - k + 1, np.uint64)
+    for i in range(k):
+        h = h * np.uint64(_BASE) + words[i : i + len(h)]
+    return mix64(h)
