@@ -97,15 +97,19 @@ def fit(docs: DataFrame, learn_from: Column, lang_col: str = "lang", text_col: s
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
-    """The best label of every word. scores: words x labels, text after text; all texts advance together, longest first."""
+    """The best label of every word. scores: words x labels, text after text; all texts advance together, longest first.
+
+    Labels are kept in as few bytes as their number takes; there may be any number of them.
+    """
+    kind = np.min_scalar_type(max(0, scores.shape[1] - 1))
     order = np.argsort(-lengths, kind="stable")
     n, starts = lengths[order], (np.cumsum(lengths) - lengths)[order]
-    best_of = np.empty(scores.shape, np.uint8)
-    labels = np.zeros(len(scores), np.uint8)
-    own = np.arange(scores.shape[1], dtype=np.uint8)
+    best_of = np.empty(scores.shape, kind)
+    labels = np.zeros(len(scores), kind)
+    own = np.arange(scores.shape[1], dtype=kind)
     active = np.searchsorted(-n, -np.arange(1, (n[0] if len(n) else 0) + 1), side="right")
     v = np.zeros((len(n), scores.shape[1]), np.float32)
-    last = np.zeros(len(n), np.uint8)
+    last = np.zeros(len(n), kind)
     for t, a in enumerate(active):
         v = v[:a]
         at = starts[:a] + t
@@ -113,7 +117,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
             top = v.argmax(axis=1)
             high = v[np.arange(a), top]
             stay = v >= (high - switch)[:, None]
-            best_of[at] = np.where(stay, own, top[:, None].astype(np.uint8))
+            best_of[at] = np.where(stay, own, top[:, None].astype(kind))
             v = np.where(stay, v, (high - switch)[:, None]) - high[:, None]
         v = v + scores[at]
         done = active[t + 1] if t + 1 < len(active) else 0
@@ -180,7 +184,7 @@ class Labeller:
         out, at = [], 0
         for n in lengths:
             mine = labels[at : at + n]
-            cuts = np.flatnonzero(np.diff(mine.astype(np.int16))) + 1
+            cuts = np.flatnonzero(np.diff(mine.astype(np.int64))) + 1
             edges = [0, *cuts.tolist(), int(n)] if n and letters[at : at + n].any() else []
             out.append([{"lang": self.m["langs"][mine[a]], "first": a, "pieces": b - a} for a, b in zip(edges, edges[1:])])
             at += n
