@@ -89,74 +89,108 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
+#: What the text of a variant's schema consists of: quoted or plain names, type heads and ends, commas, scalar types.
+_PIECES = r"`(?:[^`]|``)*`: |\w+: |OBJECT<|ARRAY<|>|, |[A-Z]+(?:\([0-9,]+\))?"
+
+
 def json_paths(record: Column) -> Column:
-    """The same paths from a JSON record's own schema text, e.g. OBJECT<messages: ARRAY<OBJECT<content: STRING, ...>>>."""
-    return F.schema_of_variant(F.try_parse_json(record))
+    """The same paths of one JSON record: a fold over the pieces of its schema text, with a stack of open objects and lists.
+
+    An empty list is the path of its elements, an empty object none; null or broken JSON gives no paths.
+    """
+    pieces = F.regexp_extract_all(F.schema_of_variant(F.try_parse_json(record)), F.lit(_PIECES), F.lit(0))
+    text = F.lit("").cast("string")
+    start = F.struct(F.array().cast("array<string>").alias("open"), text.alias("at"), F.array().cast("array<string>").alias("paths"))
+
+    def step(acc: Column, x: Column) -> Column:
+        top = F.coalesce(F.try_element_at(acc["open"], F.lit(-1)), text)
+        name = F.replace(F.regexp_replace(F.regexp_replace(x, ": $", ""), "^`|`$", ""), F.lit("``"), F.lit("`"))
+        opens, closes, named = x.isin("OBJECT<", "ARRAY<"), x == ">", F.endswith(x, F.lit(": "))
+        at = F.when(named, F.concat(top, F.when(top != "", ".").otherwise(""), name)).when(x == "ARRAY<", F.concat(acc["at"], F.lit("[]"))).when(closes | (x == ", "), top).otherwise(acc["at"])
+        stack = F.when(opens, F.concat(acc["open"], F.array(acc["at"]))).when(closes, F.slice(acc["open"], 1, F.greatest(F.size(acc["open"]) - 1, F.lit(0)))).otherwise(acc["open"])
+        scalar = ~(opens | closes | named | (x == ", ") | (acc["at"] == ""))
+        return F.struct(stack.alias("open"), at.alias("at"), F.when(scalar, F.concat(acc["paths"], F.array(acc["at"]))).otherwise(acc["paths"]).alias("paths"))
+
+    return F.array_sort(F.array_distinct(F.aggregate(F.coalesce(pieces, F.array().cast("array<string>")), start, step, lambda acc: acc["paths"])))
+
+
+def fingerprint_column(paths: Column) -> Column:
+    """fingerprint() of an array of paths that is sorted."""
+    return F.left(F.sha2(F.array_join(paths, "\n"), 256), F.lit(16))
 
 
 #: Mappings: field paths -> SQL over the parsed record r that gives array<struct<role,text>>. A mapping is data.
 LAYOUTS: list[tuple[list[str], str]] = [
     (["prompt", "response"], "array(struct('user' as role, r.prompt as text), struct('assistant' as role, r.response as text))"),
     (["completion", "prompt"], "array(struct('user' as role, r.prompt as text), struct('assistant' as role, r.completion as text))"),
-    (["question", "answer"], "array(struct('user' as role, r.question as text), struct('assistant' as role, r.answer as text))"),
+    (["answer", "question"], "array(struct('user' as role, r.question as text), struct('assistant' as role, r.answer as text))"),
     (["instruction", "output"], "array(struct('user' as role, r.instruction as text), struct('assistant' as role, r.output as text))"),
     (["input", "instruction", "output"], "array(struct('user' as role, concat_ws('\n\n', r.instruction, nullif(r.input, '')) as text), struct('assistant' as role, r.output as text))"),
     (["instruction", "output", "system"], "array(struct('system' as role, r.system as text), struct('user' as role, r.instruction as text), struct('assistant' as role, r.output as text))"),
     (["messages[].content", "messages[].role"], "transform(r.messages, m -> struct(m.role as role, m.content as text))"),
+    (["messages[]"], "array()"),
     (["conversations[].from", "conversations[].value"], "transform(r.conversations, m -> struct(case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else m.`from` end as role, m.value as text))"),
+    (["conversations[]"], "array()"),
+    (["role", "text"], "array(struct(r.role as role, r.text as text))"),
+    (["content", "role"], "array(struct(r.role as role, r.content as text))"),
+    (["message.content", "message.role"], "array(struct(r.message.role as role, r.message.content as text))"),
 ]
 
 
-#: Mappings of tables: field paths -> SQL for conversation, turn, role and text. The first that a table has all paths of counts.
+#: Mappings of tables: field paths -> SQL for conversation, turn, role and text.
 TABLE_LAYOUTS: list[tuple[list[str], dict[str, str]]] = [
     (["conv_id", "role", "text", "turn"], {"conv_id": "conv_id", "turn": "turn", "role": "role", "text": "text"}),
-    (["conversation_id", "content", "index", "role"], {"conv_id": "conversation_id", "turn": "index", "role": "role", "text": "content"}),
+    (["content", "conversation_id", "index", "role"], {"conv_id": "conversation_id", "turn": "index", "role": "role", "text": "content"}),
     (["message.content", "message.role", "position", "thread"], {"conv_id": "thread", "turn": "position", "role": "message.role", "text": "message.content"}),
 ]
 
 
+def _filters(layouts: list[tuple[list[str], object]]) -> list[list[str]]:
+    """Which paths to keep before hashing, in turn: those of any layout, then those of one layout, of many paths first."""
+    return [sorted({p for paths, _ in layouts for p in paths}), *sorted((sorted(paths) for paths, _ in layouts), key=lambda x: (-len(x), x))]
+
+
 def canonical_rows(table: DataFrame, layouts: list[tuple[list[str], dict[str, str]]] | None = None) -> DataFrame:
     """(conv_id, turn, role, text, layout): the table's turns under the mapping that its fingerprint selects.
 
-    Extra columns don't matter. A table of no known layout raises ValueError, before any job runs.
+    The fingerprint is the hash of the table's field paths without those that no layout has; should columns of two layouts
+    be mixed, those of one layout alone are tried. A table of no known layout raises ValueError, before any job runs.
     """
-    have = set(paths_of(table.schema))
-    known = {fingerprint(paths): (paths, how) for paths, how in layouts or TABLE_LAYOUTS}
-    found = next((mark for mark, (paths, _) in known.items() if fingerprint([p for p in paths if p in have]) == mark), None)
+    layouts = layouts or TABLE_LAYOUTS
+    have, known = paths_of(table.schema), {fingerprint(paths): how for paths, how in layouts}
+    marks = [fingerprint([p for p in have if p in keep]) for keep in _filters(layouts)]
+    found = next((mark for mark in marks if mark in known), None)
     if found is None:
-        raise ValueError(f"no mapping for a table with the fields {sorted(have)}")
-    return table.select(*[F.expr(sql).alias(name) for name, sql in known[found][1].items()], F.lit(found).alias("layout"))
+        raise ValueError(f"no mapping for a table with the fields {have}")
+    return table.select(*[F.expr(sql).alias(name) for name, sql in known[found].items()], F.lit(found).alias("layout"))
 
 
 def _record_type(paths: list[str]) -> T.StructType:
-    fields: dict[str, list[str]] = {}
+    """The type that holds strings at these paths, of one level of objects or lists below the top."""
+    fields: dict[tuple[str, str], list[str]] = {}
     for p in paths:
-        top, _, below = p.partition("[].")
-        fields.setdefault(top, []).extend([below] if below else [])
+        top, mark, below = p.partition("[]" if "[]" in p else ".")
+        fields.setdefault((top, mark), []).extend([below.lstrip(".")] if below else [])
     s = T.StringType()
-    return T.StructType([T.StructField(k, T.ArrayType(T.StructType([T.StructField(b, s) for b in v])) if v else s) for k, v in fields.items()])
 
+    def kind(mark: str, below: list[str]) -> T.DataType:
+        inner = T.StructType([T.StructField(b, s) for b in below]) if below else s
+        return T.ArrayType(inner) if mark == "[]" else inner
 
-def _variant_text(paths: list[str]) -> str:
-    """The pattern of schema_of_variant's text for these paths, whatever the scalar types."""
-
-    def obj(fields: dict) -> str:
-        return "OBJECT<" + ", ".join(f"{k}: " + (f"ARRAY<{obj(v)}>" if v else r"[A-Z0-9(),]+") for k, v in sorted(fields.items())) + ">"
-
-    tree: dict[str, dict] = {}
-    for p in paths:
-        top, _, below = p.partition("[].")
-        tree.setdefault(top, {}).update({below: {}} if below else {})
-    return "^" + obj(tree) + "$"
+    return T.StructType([T.StructField(top, kind(mark, below)) for (top, mark), below in fields.items()])
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: list[tuple[list[str], str]] | None = None) -> DataFrame:
-    """records plus layout (fingerprint, null if unknown) and turns array<struct<role,text>>."""
+    """records plus layout (fingerprint, null if unknown) and turns array<struct<role,text>>; the same names are overwritten.
+
+    A record's fingerprint is the hash of its field paths without those that no layout has; it is looked up among those of
+    the layouts. Should fields of two layouts be mixed, those of one layout alone are hashed and looked up.
+    """
     layouts = layouts or LAYOUTS
-    schema = json_paths(F.col(record_col))
-    known = F.lit(None).cast("string")
-    for paths, _ in layouts:
-        known = F.coalesce(known, F.when(schema.rlike(_variant_text(paths)), F.lit(fingerprint(paths))))
-    out = records.withColumn("layout", known)
-    cases = " ".join(f"when '{fingerprint(paths)}' then element_at(transform(array(from_json(`{record_col}`, '{_record_type(paths).simpleString()}')), r -> {how}), 1)" for paths, how in layouts)
-    return out.withColumn("turns", F.expr(f"cast(case layout {cases} end as array<{TURN}>)"))
+    known = F.create_map(*[F.lit(x) for paths, _ in layouts for x in (fingerprint(paths),) * 2])
+    marks = lambda paths: F.coalesce(*[F.try_element_at(known, fingerprint_column(F.array_intersect(paths, F.array(*map(F.lit, keep))))) for keep in _filters(layouts)])
+    # the paths are worked out once for each record
+    out = records.withColumn("layout", F.get(F.transform(F.array(json_paths(F.col(record_col))), marks), 0))
+    quoted = "`" + record_col.replace("`", "``") + "`"
+    cases = " ".join(f"when '{fingerprint(paths)}' then element_at(transform(array(from_json({quoted}, '{_record_type(paths).simpleString()}')), r -> cast({how} as array<{TURN}>)), 1)" for paths, how in layouts)
+    return out.withColumn("turns", F.expr(f"case layout {cases} end"))
