@@ -1,8 +1,10 @@
 """A supervised quality classifier: hashed vectors of words and their character n-grams, averaged over a document, softmax.
 
-Every word adds its own vector and those of its character n-grams; a word that repeats the one before it adds a marker.
-The vectors, like the output weights, are learned by stochastic gradient descent in numpy on a bounded sample of labelled
-rows, in one task; scoring covers every whole text. A worker looks a word up once and then adds its summed row.
+Every word adds its own vector and those of its character n-grams, every two words in a row that of their pair. A pair's
+bucket is the exclusive or of its words' buckets, so all immediate repeats share one. The vectors, like the output weights,
+are learned by stochastic gradient descent in numpy on a bounded sample of labelled rows, in one task; scoring covers every
+whole text. A worker looks a word up once and then adds its summed row. The task's memory goes by the distinct features of
+its rows: texts are turned into features one at a time, but as rows they are held together, SAMPLE_ROWS whole texts.
 
 Rules for input: a null or empty text has no features and gets the score of the bias; texts of any length are read whole;
 labels that are null or not 0 or 1, or that contradict each other for an id, teach nothing; without two classes to learn
@@ -13,7 +15,6 @@ empty one; labels, language, source and id are never inputs of a score.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from .shared import WordRows, once, ready, word_grams
 
 BUCKETS, WIDTH = 1 << 16, 8
-REPEAT, REPEAT_WEIGHT = 0, 8
 #: Labelled rows that the classifier learns from at most; the choice goes by a hash of the id.
 SAMPLE_ROWS = 2000
 EPOCHS, RATE = 5, 0.5
@@ -34,16 +34,19 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    kinds = Counter(words)
+    kinds: dict[str, int] = {}
+    of = np.array([kinds.setdefault(w, len(kinds)) for w in words])
     ids, starts = features_of(list(kinds))
-    w = np.bincount(ids, np.repeat(np.fromiter(kinds.values(), np.int64), np.diff(np.append(starts, len(ids)))), BUCKETS)
-    w[REPEAT] += REPEAT_WEIGHT * sum(a == b for a, b in zip(words, words[1:]))
+    w = np.bincount(ids, np.repeat(np.bincount(of), np.diff(np.append(starts, len(ids)))), BUCKETS)
+    own = ids[starts][of]
+    w += np.bincount(own[1:] ^ own[:-1], minlength=BUCKETS)
     ids = np.flatnonzero(w)
     return ids.astype(np.int32), (w[ids] / w[ids].sum()).astype(np.float32)
 
 
 def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words and of their character 3- and 4-grams, upper and lower case apart; where each word's begin."""
+    """Buckets, from 1 on, of the words and of their character 3- and 4-grams, upper and lower case apart; where each word's
+    begin, its own first. Bucket 0 is left to pairs of equal words."""
     ids, starts = word_grams(words, (3, 4), BUCKETS - 1)
     return ids + 1, starts
 
@@ -103,21 +106,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str =
 class Scorer:
     def __init__(self, model: dict):
         self.m = model
-        self.words = WordRows(self._rows, WIDTH + 1, np.float32)
+        self.words = WordRows(self._rows, WIDTH + 2, np.float32)
 
     def _rows(self, words: list[str]) -> np.ndarray:
         ids, starts = features_of(words)
         n = np.diff(np.append(starts, len(ids)))
-        return np.concatenate((np.add.reduceat(self.m["vectors"][ids], starts, axis=0), n[:, None]), axis=1)
+        return np.concatenate((np.add.reduceat(self.m["vectors"][ids], starts, axis=0), n[:, None], ids[starts][:, None]), axis=1)
 
     def score(self, text: str | None) -> float:
         words = (text or "").split()
         x = np.zeros(WIDTH)
         if words:
             at = self.words.look_up(words)
-            s = self.words.rows[at].sum(axis=0, dtype=np.float64)
-            same = REPEAT_WEIGHT * int((at[1:] == at[:-1]).sum())
-            x = (s[:WIDTH] + same * self.m["vectors"][REPEAT]) / (s[WIDTH] + same)
+            rows = self.words.rows[at]
+            own = rows[:, WIDTH + 1].astype(np.int64)
+            pairs = own[1:] ^ own[:-1]
+            s = rows.sum(axis=0, dtype=np.float64)
+            x = (s[:WIDTH] + self.m["vectors"][pairs].sum(axis=0, dtype=np.float64)) / (s[WIDTH] + len(pairs))
         z = x @ self.m["out"] + self.m["bias"]
         return float(1 / (1 + np.exp(np.clip(z[0] - z[1], -700, 700))))
 
