@@ -6,7 +6,8 @@ at its first place (smallest id, then text hash, then line number) and goes ever
 
 Rules for input: lines are what newlines separate, compared without the white space around them; blank lines always stay;
 a null site counts as none; a null text stays null; rows that share id and text are one occurrence, so both keep the line;
-null ids come first; other columns pass through unchanged; an empty table gives an empty one.
+null ids come first; other columns pass through unchanged, whatever their names, but for n_lines and n_removed, which are
+replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, own_name
 
 MIN_SITES = 3
 #: 2**LOG_K buckets in a sketch; its relative error is about 1.04 / 2**(LOG_K / 2).
@@ -52,13 +53,14 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     here: Column = F.struct(F.col("id").isNotNull().alias("k"), "id", "th", "pos")
     gone = lines.join(bad.select("a", "b", "first"), ["a", "b"]).filter(~here.eqNullSafe(F.col("first")))
     # a document's key is a hash of id and text; copies under one id lose the same lines
-    gone = gone.groupBy(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).agg(F.collect_set("pos").alias("_gone"))
-    on = docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text_col]) == gone["_gone_th"])
+    gone_id, gone_th, gone_pos, kept = (own_name(docs, x) for x in ("_gone_id", "_gone_th", "_gone", "_kept"))
+    gone = gone.groupBy(F.col("id").alias(gone_id), F.col("th").alias(gone_th)).agg(F.collect_set("pos").alias(gone_pos))
+    on = docs[id_col].eqNullSafe(gone[gone_id]) & (F.xxhash64(docs[text_col]) == gone[gone_th])
     old = F.split(F.col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(old) - 1), F.col("_gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(old) - 1), F.col(gone_pos))
     text = F.array_join(F.transform(stay, lambda i: F.get(old, i)), "\n")
-    out = docs.join(gone, on, "left")
-    out = out.withColumns({"n_lines": F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(old)), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "_text": F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(text)})
+    n_lines, n_removed = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(old)), F.lit(0)).cast("long"), F.coalesce(F.size(gone_pos), F.lit(0)).cast("long")
+    out = docs.join(gone, on, "left").withColumns({"n_lines": n_lines, "n_removed": n_removed, kept: F.when(F.col(gone_pos).isNull(), F.col(text_col)).otherwise(text)})
     if drop_emptied:
-        out = out.filter((F.col("n_removed") == 0) | (F.trim("_text") != ""))
-    return out.withColumn(text_col, F.col("_text")).drop("_gone_id", "_gone_th", "_gone", "_text")
+        out = out.filter((F.col("n_removed") == 0) | (F.trim(kept) != ""))
+    return out.withColumn(text_col, F.col(kept)).drop(gone_id, gone_th, gone_pos, kept)
