@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Relative words of the Korean periods, longest first where one holds another.
-YEAR_OFFSETS = {"재작년": -2, "작년": -1, "지난해": -1, "전년": -1, "올해": 0, "금년": 0, "내년": 1}
-MONTH_OFFSETS = {"지난달": -1, "전달": -1, "전월": -1, "이번달": 0, "이달": 0}
-QUARTER_OFFSETS = {"지난분기": -1, "지난 분기": -1, "전분기": -1, "이번분기": 0, "이번 분기": 0}
+# Relative words of the Korean periods and what they stand for; where one holds another it comes first.
+YEAR_OFFSETS = {"재작년": -2, "전전년도": -2, "전전년": -2, "작년": -1, "지난해": -1, "전년도": -1, "전년": -1, "직전연도": -1, "올해": 0, "금년": 0}
+MONTH_OFFSETS = {"지난달": -1, "전달": -1, "전월": -1, "당월": 0, "이번달": 0, "다음달": 1}
+QUARTER_OFFSETS = {"지난분기": -1, "전분기": -1, "직전분기": -1, "당분기": 0}
+# Words by which a period counts as relative, whether or not it can be worked out here.
+RELATIVE = ("작년", "지난해", "올해", "지난달", "이번달", "재작년", "지난주", "이번주", "전년", "전월", "전달", "전분기", "지난분기", "직전분기", "당분기", "전기", "당월", "당해", "1년새", "다음달")
 END_MARKS, START_MARKS = ("말", "연말"), ("초", "연초")
 
 
@@ -55,11 +57,11 @@ def normalize(period: Column, freq: Column, at: Column) -> Column:
     q = F.floor((m - 1) / 3) + 1
     group = lambda pattern, k=1: F.nullif(F.regexp_extract(period, pattern, k), F.lit(""))
     bare = group(r"^(\d{4})년?$")
-    until = group(r"(\d{4})\s*년?\s*[~-]\s*(\d{4})\s*년?", 2)
-    ago = group(r"(\d+)\s*년\s*전").cast("int")
+    until = group(r"(\d{4})\s*[~\-–—]\s*(\d{4})\s*년?", 2)
+    ago = group(r"(\d+)년\s*여?\s*전").cast("int")
     offset = _first(YEAR_OFFSETS, period)
-    own_year = F.coalesce(group(r"((?:19|20)\d{2})").cast("int"), y + offset, y)
-    quarter, month = group(r"([1-4])\s*분기").cast("int"), group(r"(\d{1,2})\s*월").cast("int")
+    own_year = F.coalesce(group(r"(\d{4})년").cast("int"), y + offset, y)
+    quarter, month = group(r"([1-4])\s*분기").cast("int"), group(r"(1[0-2]|[1-9])\s*월").cast("int")
     m_off, q_off = _first(MONTH_OFFSETS, period), _first(QUARTER_OFFSETS, period)
     end, start = _any(END_MARKS, period), _any(START_MARKS, period)
     marked = offset.isNotNull() | end | start
@@ -81,7 +83,7 @@ def month_period(text: Column, at: Column) -> Column:
     return F.coalesce(explicit, F.when(last_year.between(1, 12), make(F.year(at) - 1, last_year)), relative)
 
 
-def valid(period: Column, relative: tuple[str, ...] = (*YEAR_OFFSETS, *MONTH_OFFSETS)) -> Column:
+def valid(period: Column, relative: tuple[str, ...] = RELATIVE) -> Column:
     """Null, four or six digits, or a relative word."""
     return period.isNull() | period.rlike(r"^\d{4}$|^\d{6}$") | _any(relative, period)
 

@@ -1,7 +1,7 @@
 """Filtering claims, finding their sources, and choosing the calculation that checks them.
 
-Lists of organisations, synonyms and words are small reference tables; where one joins by containment, the texts to match
-are made distinct first, so the pairs grow with distinct names and not with rows.
+Where organisations, synonyms or words join by containment, the texts to match are made distinct first, so the pairs grow
+with distinct names and not with rows.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.locale import Pack
 
-from .joins import small
+from .joins import containing
 from .text import no_space, number_variants, straight_quotes
 
 
@@ -20,8 +20,7 @@ def classify_source(df: DataFrame, orgs: DataFrame, drop: str = r"\(추정\)") -
     """df plus source_class from orgs(org, verified): the exact name, else a verified name inside, else a known other."""
     name = F.trim(F.regexp_replace("source_org", drop, ""))
     names = df.select(name.alias("_n")).filter("_n is not null and _n != ''").distinct()
-    inside = (F.col("_n") == F.col("org")) | F.contains("_n", "org")
-    hit = names.join(small(orgs), inside).groupBy("_n").agg(F.min(F.when(F.col("_n") == F.col("org"), F.when(F.col("verified"), 1).otherwise(2)).otherwise(F.when(F.col("verified"), 3).otherwise(4))).alias("_k"))
+    hit = containing(names, "_n", orgs.select("org", "verified"), "org").groupBy("_n").agg(F.min(F.when(F.col("_n") == F.col("org"), F.when(F.col("verified"), 1).otherwise(2)).otherwise(F.when(F.col("verified"), 3).otherwise(4))).alias("_k"))
     kind = F.when(F.col("_k").isin(1, 3), "verified").when(F.col("_k").isin(2, 4), "known_not").otherwise("uncertain")
     return df.withColumn("_n0", name).join(hit, F.col("_n0") == F.col("_n"), "left").withColumn("source_class", kind).drop("_n0", "_n", "_k")
 
@@ -35,7 +34,7 @@ def infer_org(labels: DataFrame, orgs: DataFrame, publication: str) -> DataFrame
     """(article_id, org): the longest org name in a reason that speaks of a publication; ties go to the smaller name."""
     reasons = labels.filter(F.col("reason").rlike(publication)).select("article_id", no_space(F.col("reason")).alias("_r"))
     texts = reasons.select("_r").distinct()
-    best = texts.join(small(orgs.select("org")), standalone(F.col("org"), F.col("_r"))).groupBy("_r").agg(F.min(F.struct((-F.length("org")).alias("n"), "org")).alias("b"))
+    best = containing(texts, "_r", orgs.select("org").distinct(), "org").filter(standalone(F.col("org"), F.col("_r"))).groupBy("_r").agg(F.min(F.struct((-F.length("org")).alias("n"), "org")).alias("b"))
     return reasons.join(best, "_r").select("article_id", "b.org")
 
 
@@ -82,10 +81,22 @@ def dedup_claims(claims: DataFrame) -> DataFrame:
     return claims.withColumn("_k", first).filter("_k = 1").drop("_k")
 
 
-def foreign(pack: Pack, *columns: str) -> Column:
-    """Whether any column names a foreign country."""
+def foreign(pack: Pack, *columns: str, nouns: dict[str, str] | None = None) -> Column:
+    """Whether any column names a foreign country.
+
+    nouns: for some columns, the column with the array of their proper nouns as a tagger gives them; then only these count,
+    so that common nouns of the same letters don't. Where that array is null, and for other columns, any part counts.
+    """
     words = "|".join(pack.foreign)
-    return F.coalesce(F.greatest(*[F.coalesce(F.col(c).rlike(words), F.lit(False)) for c in columns], F.lit(False)), F.lit(False))
+
+    def names(c: str) -> Column:
+        part = F.col(c).rlike(words)
+        if c in (nouns or {}):
+            tagged = F.col(nouns[c])
+            part = F.when(F.col(c).isNull(), False).when(tagged.isNotNull(), F.arrays_overlap(F.filter(tagged, lambda x: x.isNotNull()), F.array(*map(F.lit, pack.foreign)))).otherwise(part)
+        return F.coalesce(part, F.lit(False))
+
+    return F.greatest(*map(names, columns), F.lit(False), F.lit(False))
 
 
 def extreme(pack: Pack) -> Column:
@@ -102,11 +113,11 @@ def route(pack: Pack, *foreign_columns: str) -> Column:
 
 
 def wants_comparison(pack: Pack, text: str = "sentence") -> Column:
-    return F.col(text).rlike(f"{pack.increase}|{pack.decrease}")
+    return F.col(text).rlike(pack.comparison)
 
 
 def normalize_stat(df: DataFrame, synonyms: DataFrame, col: str) -> DataFrame:
     """df plus normalized: the target of the first synonym(ord, term, target) inside col, else col."""
     texts = df.select(F.col(col).alias("_t")).distinct()
-    hit = texts.join(small(synonyms), F.contains("_t", "term")).groupBy("_t").agg(F.min(F.struct("ord", "target")).alias("_b"))
+    hit = containing(texts, "_t", synonyms.select("ord", "term", "target"), "term").groupBy("_t").agg(F.min(F.struct("ord", "target")).alias("_b"))
     return df.join(hit, F.col(col) == F.col("_t"), "left").withColumn("normalized", F.coalesce("_b.target", col)).drop("_t", "_b")

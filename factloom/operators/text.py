@@ -71,9 +71,13 @@ def dedupe_sentences(df: DataFrame, pack: Pack, least: int = 30) -> DataFrame:
 
 
 def numeric_candidates(df: DataFrame, pack: Pack) -> DataFrame:
-    """(article_id, pos, sentence, expressions): sentences with an expression worth checking, and how many."""
-    s = sentences(df, pack)
-    return s.filter(F.col("sentence").rlike(pack.include)).withColumn("expressions", F.regexp_count("sentence", F.lit(pack.include)).cast("long"))
+    """(article_id, pos, sentence, expressions): sentences with an expression worth checking, and how many claims they make.
+
+    A historical extreme beside a value only describes it, so it counts as one claim only where nothing else counts.
+    """
+    s = sentences(df, pack).filter(F.col("sentence").rlike(pack.include))
+    counted = F.regexp_count("sentence", F.lit(pack.counted)).cast("long")
+    return s.withColumn("expressions", F.when((counted == 0) & F.col("sentence").rlike(pack.extreme), F.lit(1).cast("long")).otherwise(counted))
 
 
 def missed(cands: DataFrame, claims: DataFrame) -> DataFrame:
@@ -159,14 +163,19 @@ def numbers_column(c: Column) -> Column:
 def claim_value(df: DataFrame, pack: Pack) -> DataFrame:
     """df plus claim_value: the given value, else the number right before the unit, else the last that is no duration.
 
-    A decrease, by the operator or in a rate's words, makes it negative.
+    A number is a duration or an age by the word right after it, unless that word is the unit; ranges of ages give no
+    numbers. A decrease, by the operator or, where none is given, in a rate's words, makes a positive value negative.
     """
-    rows = df.withColumn("_n", F.transform(numbers_column(F.col("sentence")), lambda x: F.struct(x.value.alias("value"), F.ltrim(F.substring(F.col("sentence"), x.end + 1, F.length("sentence"))).alias("rest"))))
-    by_unit = F.get(F.filter("_n", lambda x: F.startswith(x.rest, F.coalesce("unit", F.lit("\u0000")))), 0).value
-    last = F.try_element_at(F.filter("_n", lambda x: ~x.rest.rlike(r"^(?:년|개월|월|일|years|months)")), F.lit(-1)).value
+    said = F.col("sentence")
+    if pack.age_range:
+        said = F.regexp_replace(said, pack.age_range, "·")
+    numbers = F.transform(numbers_column(said), lambda x: F.struct(x.value.alias("value"), F.substring(said, x.end + 1, F.length(said)).alias("rest")))
+    by_unit = F.get(F.filter("_n", lambda x: F.startswith(F.ltrim(x.rest), F.nullif(F.col("unit"), F.lit("")))), 0).value
+    marker = lambda x: F.nullif(F.regexp_extract(x.rest, pack.durations, 1), F.lit(""))
+    last = F.try_element_at(F.filter("_n", lambda x: marker(x).isNull() | marker(x).eqNullSafe(F.col("unit"))), F.lit(-1)).value
     value = F.coalesce(F.col("value"), by_unit, last)
     falls = (F.col("comparison_operator") == "decrease") | F.col("comparison_operator").isNull() & (F.col("claim_type") == "rate") & F.col("sentence").rlike(pack.decrease)
-    return rows.withColumn("claim_value", F.when((value > 0) & F.coalesce(falls, F.lit(False)), -value).otherwise(value)).drop("_n")
+    return df.withColumn("_n", numbers).withColumn("claim_value", F.when((value > 0) & F.coalesce(falls, F.lit(False)), -value).otherwise(value)).drop("_n")
 
 
 def number_variants(value: Column) -> Column:

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions.locale import ENGLISH
+from factloom.functions.locale import KOREAN
 from factloom.operators import claims as ops
 from factloom.registry import query
 
+from .packs import ENGLISH
 from .views import over, table
 
 #: Organisations: suppliers; those with even keys publish official figures.
-ORGS = "orgs as (select concat('Supplier ', cast(s_suppkey as string)) as org, s_suppkey % 2 = 0 as verified from supplier where s_suppkey < 30)"
+ORGS = "orgs as (select concat('Supplier ', cast(s_suppkey as string)) as org, s_suppkey % 2 = 0 as verified from supplier)"
 CLASSED = """sc as (select n, min(case when n = org then case when verified then 1 else 2 end when verified then 3 else 4 end) as k from (select distinct source_org as n from claims where source_org is not null), orgs where contains(n, org) group by n),
   cl as (select claims.*, case when k in (1, 3) then 'verified' when k in (2, 4) then 'known_not' else 'uncertain' end as source_class from claims left join sc on source_org = n)"""
 
 
 def _orgs(spark, d):
-    return table(spark, d, "supplier").filter("s_suppkey < 30").selectExpr("concat('Supplier ', cast(s_suppkey as string)) as org", "s_suppkey % 2 = 0 as verified")
+    return table(spark, d, "supplier").selectExpr("concat('Supplier ', cast(s_suppkey as string)) as org", "s_suppkey % 2 = 0 as verified")
 
 
 def _classed(spark, d):
@@ -35,7 +36,7 @@ def c2(spark, d):
 
 
 _REASONS = "lb as (select result_id as article_id, concat(case when result_id % 3 = 0 then 'note by ' else 'published by ' end, 'Supplier ', cast(table_id as string)) as reason from records)"
-_INFER = f"""{_REASONS}, iorgs as (select concat('Supplier', cast(s_suppkey as string)) as org from supplier where s_suppkey < 30),
+_INFER = f"""{_REASONS}, iorgs as (select concat('Supplier', cast(s_suppkey as string)) as org from supplier),
   inf as (select article_id, first(org order by length(org) desc, org) as org from lb, iorgs where contains(reason, 'published') and contains(regexp_replace(reason, '\\s+', '', 'g'), org) group by article_id)"""
 
 
@@ -102,6 +103,16 @@ def c11(spark, d):
     return table(spark, d, "claims").select("claim_id", ops.foreign(ENGLISH, "comparison_target", "source_org").alias("is_foreign"))
 
 
+#: Words that are a country or a common noun, with the proper nouns that a tagger finds in them.
+_TAGGED = "select claim_id, case supp % 5 when 0 then '노인 인도 통행' when 1 then '인도 수출' when 2 then '호주제 폐지' when 3 then '일본 관광객' end as population, case supp % 5 when 1 then array('인도') when 2 then array('호주제') when 0 then array() end as nouns from claims"
+
+
+@query("c11_proper_nouns", over("select claim_id, supp % 5 in (1, 3) as is_foreign from claims"))
+def c11_nouns(spark, d):
+    rows = spark.sql(_TAGGED.replace("from claims", "from {claims}"), claims=table(spark, d, "claims"))
+    return rows.select("claim_id", ops.foreign(KOREAN, "population", nouns={"population": "nouns"}).alias("is_foreign"))
+
+
 @query("c12_extreme", over(f"select claim_id, {_EXT} as direction from claims"))
 def c12(spark, d):
     return table(spark, d, "claims").select("claim_id", ops.extreme(ENGLISH).alias("direction"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import periods as p
-from factloom.functions.locale import ENGLISH
 from factloom.operators import slots as ops
 from factloom.registry import query
 
+from .packs import ENGLISH
 from .views import over, table
 
 #: Names of a table's codes: a supplier's nation and region names, and item names of its flags.
@@ -138,6 +138,34 @@ def p14(spark, d):
     return e.select("event_id", p.normalize(F.col("e"), F.col("f"), F.col("at")).alias("period"))
 
 
+#: A relative expression of the article's date, by event, and what it stands for in years, quarters and months.
+_RELATIVE = [
+    ("전전년", "y - 2", "(y - 2) * 100 + q", "(y - 2) * 100 + m"), ("전전년도", "y - 2", "(y - 2) * 100 + q", "(y - 2) * 100 + m"), ("전년도", "y - 1", "(y - 1) * 100 + q", "(y - 1) * 100 + m"), ("직전연도", "y - 1", "(y - 1) * 100 + q", "(y - 1) * 100 + m"),
+    ("당월", None, None, "y * 100 + m"), ("다음달", None, None, "case when m = 12 then (y + 1) * 100 + 1 else y * 100 + m + 1 end"), ("4년여 전", "y - 4", "y - 4", "y - 4"), ("1955–1960년", "1960", "1960", "1960"),
+    ("직전분기", None, "case when q = 1 then (y - 1) * 100 + 4 else y * 100 + q - 1 end", None), ("당분기", None, "y * 100 + q", None), ("당해", None, None, None), ("1년새", None, None, None), ("전기", None, None, None),
+    ("연말", None, "y * 100 + 4", "y * 100 + 12"), ("금년 3월", "y", "y * 100 + q", "y * 100 + 3"), ("2019년 12월", None, None, "201912"), ("전분기", None, "case when q = 1 then (y - 1) * 100 + 4 else y * 100 + q - 1 end", None),
+]
+_WORDS = f"case event_id % {len(_RELATIVE)} " + " ".join(f"when {i} then '{w}'" for i, (w, *_) in enumerate(_RELATIVE)) + " end"
+_MEANT = "case " + " ".join(f"when event_id % {len(_RELATIVE)} = {i} and f = '{f}' then cast({x} as varchar)" for i, (_, *xs) in enumerate(_RELATIVE) for f, x in zip("YQM", xs) if x) + f" else {_WORDS} end"
+_FREQ = f"case event_id // {len(_RELATIVE)} % 3 when 0 then 'Y' when 1 then 'M' else 'Q' end"
+
+
+@query("p14_relative_words", over(f"select event_id, {_MEANT} as period from (select event_id, year(ts) as y, month(ts) as m, (month(ts) - 1) // 3 + 1 as q, {_FREQ} as f from (select event_id, cast(ts as date) + cast(event_id % 700 as int) as ts from events))"))
+def p14_relative(spark, d):
+    e = table(spark, d, "events").selectExpr("event_id", "date_add(cast(ts as date), cast(event_id % 700 as int)) as at", f"{_WORDS} as e", f"{_FREQ.replace('//', 'div')} as f")
+    return e.select("event_id", p.normalize(F.col("e"), F.col("f"), F.col("at")).alias("period"))
+
+
+_VALID = "(1, '직전분기'), (2, '당해 말'), (3, '1년새'), (4, '다음달'), (5, '지난주'), (6, '전기 대비'), (7, '최근'), (8, '내년'), (9, '2024년'), (10, '202404')"
+
+
+@query("p16_relative_words", over(f"select event_id, e, k is null or k not in (7, 8, 9) as ok from (select event_id, k, e from events left join (values {_VALID}) v(k, e) on event_id % 11 = k)"))
+def p16_relative(spark, d):
+    words = spark.sql(f"select * from values {_VALID} as v(k, e)")
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 11).alias("k")).join(F.broadcast(words), "k", "left")
+    return e.select("event_id", "e", p.valid(F.col("e")).alias("ok"))
+
+
 @query("p15_month_period", over("""select event_id, case event_id % 4 when 0 then '202406' when 1 then cast((y - 1) * 100 + 11 as varchar) when 2 then cast((y - case when 10 >= m then 1 else 0 end) * 100 + 10 as varchar) else cast(y * 100 + 5 as varchar) end as period
   from (select event_id, year(a) as y, month(a) as m from (select event_id, cast(ts as date) + cast(event_id % 700 as int) as a from events))"""))
 def p15(spark, d):

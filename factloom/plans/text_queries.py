@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions.locale import ENGLISH
+from factloom.functions.locale import KOREAN
 from factloom.operators import text
 from factloom.registry import query
 
+from .packs import ENGLISH
 from .views import over, table
 
 _INC = ENGLISH.include.replace("'", "''")
+_COUNTED = ENGLISH.counted.replace("'", "''")
 #: A document's sentences, as DuckDB splits them.
 SENTENCES = r"""s as (select article_id, i - 1 as pos, regexp_replace(x, '^\s+|\s+$', '', 'g') as sentence from
   (select article_id, unnest(string_split(regexp_replace(text, '([.])\s+', '\1' || chr(1), 'g'), chr(1))) as x, generate_subscripts(string_split(regexp_replace(text, '([.])\s+', '\1' || chr(1), 'g'), chr(1)), 1) as i from articles)
@@ -62,7 +64,8 @@ def _claim_articles(spark, d):
 
 
 _CLAIM_SENTENCES = SENTENCES.replace("from articles", "from (select article_id, string_agg(sentence, ' ' order by pos) as text from claims group by article_id)")
-_CANDS = f"c as (select article_id, pos, sentence, len(regexp_extract_all(sentence, '{_INC}')) as expressions from s where regexp_matches(sentence, '{_INC}'))"
+_CANDS = f"""c as (select article_id, pos, sentence, case when len(regexp_extract_all(sentence, '{_COUNTED}')) = 0 and regexp_matches(sentence, '{ENGLISH.extreme}') then 1 else len(regexp_extract_all(sentence, '{_COUNTED}')) end as expressions
+   from s where regexp_matches(sentence, '{_INC}'))"""
 
 
 @query("t7_numeric_candidates", over(f"with {_CLAIM_SENTENCES}, {_CANDS} select article_id, cast(pos as int) as pos, sentence, expressions from c"))
@@ -80,11 +83,37 @@ def t8(spark, d):
     return text.missed(text.numeric_candidates(_claim_articles(spark, d), ENGLISH), table(spark, d, "claims").filter("pos % 2 = 0"))
 
 
-@query("t9_chunks")
+_END = "case when length({t}) - {a} <= 3000 then length({t}) when strpos(reverse(substr({t}, {a} + 1501, 1500)), '.') > 0 then {a} + 3001 - strpos(reverse(substr({t}, {a} + 1501, 1500)), '.') else {a} + 3000 end"
+
+
+@query("t9_chunks", over(f"""with ch as (select article_id, text, 0 as chunk, 0 as a, {_END.format(t="text", a="0")} as b from articles where length(text) > 0
+  union all select article_id, text, chunk + 1, b, {_END.format(t="text", a="b")} from ch where b < length(text))
+  select article_id, chunk, substr(text, a + 1, b - a) as text from ch""").replace("with ", "with recursive ", 1))
 def t9(spark, d):
     return text.chunks(table(spark, d, "articles"))
 
 
+#: Korean sentences, one for each claim: what they say of its quantity goes by the claim.
+_KOREAN = """ks as (select claim_id, claim_id % 6 as k, cast(cast(coalesce(value, 7) as int) as string) as q, cast(part % 900 + 11 as string) as p, pos from claims),
+  kt as (select claim_id as article_id, pos, k, q, p, case k when 0 then concat('고령 인구는 ', q, '.1%로 역대 최고치를 기록했다.') when 1 then '인구가 역대 최저치다.' when 2 then concat(q, '위는 서울이다.')
+    when 3 then concat('전국 ', q, '위 도시다.') when 4 then concat('만족도는 6.', q, '점이다.') else concat('취업자 ', p, '만명이 ', q, '개월째 줄었다.') end as text from ks)"""
+
+
+def _korean(spark, d):
+    return spark.sql(f"with {_KOREAN.replace('from claims', 'from {claims}')} select * from kt", claims=table(spark, d, "claims"))
+
+
+@query("t7_korean_candidates", over(f"with {_KOREAN} select article_id, cast(0 as int) as pos, text as sentence, case k when 4 then 0 when 5 then 2 else 1 end as expressions from kt where k <> 2").replace("as string)", "as varchar)"))
+def t7_korean(spark, d):
+    return text.numeric_candidates(_korean(spark, d), KOREAN)
+
+
+@query("t8_korean_missed", over(f"with {_KOREAN} select article_id, cast(0 as int) as pos, text as sentence, case k when 5 then 2 else 1 end as expressions, case when pos % 2 = 0 then 1 else 0 end as covered from kt where k not in (2, 4) and (k = 5 or pos % 2 = 1)").replace("as string)", "as varchar)"))
+def t8_korean(spark, d):
+    k = _korean(spark, d)
+    return text.missed(text.numeric_candidates(k, KOREAN), k.filter("pos % 2 = 0").select("article_id", F.col("text").alias("sentence")))
+
+
 @query("t10_batches", over(f"with {_MISSED} select article_id, cast(pos as int) as pos, floor((row_number() over (partition by article_id order by pos) - 1) / 3) as batch from m"))
 def t10(spark, d):
     m = text.missed(text.numeric_candidates(_claim_articles(spark, d), ENGLISH), table(spark, d, "claims").filter("pos % 2 = 0"))
@@ -104,6 +133,19 @@ def t12(spark, d):
     return text.claim_value(c, ENGLISH).select("claim_id", "claim_value")
 
 
+#: Claims in Korean without a value: ages and lengths of time, units, directions.
+_UNSAID = """ku as (select claim_id, claim_id % 7 as k, part % 900 + 11 as p, supp % 90 + 2 as q from claims),
+  kv as (select claim_id, k, p, q, case k when 0 then '0~14세 인구가 줄었다.' when 1 then concat(cast(q as string), '주 동안 20시간 일했다.') when 2 then concat(cast(q as string), '주 동안 ', cast(p as string), '명이 줄었다.') when 3 then concat(cast(q as string), '개월 만에 ', cast(p as string), '% 낮아졌다.')
+    when 4 then concat('근속은 ', cast(q as string), '개월이다.') when 5 then concat('수출은 ', cast(q as string), '억 ', cast(p as string), '만 달러 늘었다.') else concat('15~29세 ', cast(p as string), '명이 ', cast(q as string), '분기째 쉰다.') end as sentence,
+    case k when 2 then '명' when 4 then '개월' when 5 then '달러' end as unit, case when k in (2, 3) then 'rate' else 'level' end as claim_type from ku)"""
+
+
+@query("t12_korean_value", over(f"with {_UNSAID} select claim_id, cast(case k when 2 then -p when 3 then -p when 4 then q when 5 then q * 100000000 + p * 10000 when 6 then p end as double) as claim_value from kv").replace("as string)", "as varchar)"))
+def t12_korean(spark, d):
+    c = spark.sql(f"with {_UNSAID.replace('from claims', 'from {claims}')} select *, cast(null as double) as value, cast(null as string) as comparison_operator from kv", claims=table(spark, d, "claims"))
+    return text.claim_value(c, KOREAN).select("claim_id", "claim_value")
+
+
 @query("t13_number_variants", over("""select result_id, concat_ws('|', plain, commas, scaled) as forms from (select result_id, cast(n as varchar) as plain, format('{:,}', n) as commas,
    concat(case when n // 100000000 > 0 then cast(n // 100000000 as varchar) || '억' else '' end, case when n % 100000000 // 10000 > 0 then cast(n % 100000000 // 10000 as varchar) || '만' else '' end, case when n % 10000 > 0 then cast(n % 10000 as varchar) else '' end) as scaled
    from (select result_id, (result_id + 10000) * 7919 as n from records))"""))
