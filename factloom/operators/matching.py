@@ -1,7 +1,7 @@
 """Matching claims to statistics tables: keyword, trigram and vector retrieval, fusion by reciprocal rank, gates.
 
-Claims are the growing side. Keywords, catalogs and indexes are reference tables: containment joins run over distinct
-texts against distinct keywords; trigram search is an equi-join on trigrams; vectors are multiplied block by block.
+Containment joins run over distinct texts against distinct keywords; trigram search is an equi-join on trigrams; vectors are
+multiplied block by block.
 Candidates are rows (claim_id, table_id, …) with ranks in a map from the source's name.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import small
+from .joins import containing
 from .ranking import topk
 from .text import no_space
 
@@ -22,7 +22,7 @@ SIGNALS = ("population", "institution", "gender", "region")
 
 def expand_terms(texts: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(t, terms): for distinct texts t the targets of the synonyms (term, target) that occur in them."""
-    return texts.join(small(synonyms), F.contains("t", "term")).groupBy("t").agg(F.array_sort(F.collect_set("target")).alias("terms"))
+    return containing(texts, "t", synonyms.select("term", "target"), "term").groupBy("t").agg(F.array_sort(F.collect_set("target")).alias("terms"))
 
 
 def stem_match(keyword: Column, text: Column, least: int = 5) -> Column:
@@ -60,10 +60,14 @@ def keyword_scores(claims: DataFrame, catalog: DataFrame, synonyms: DataFrame, c
     norm = no_space(F.col("kw"))
     direct = F.contains("n", norm) & ~false_friend_only(norm, F.col("n"), compounds or {})
     weight = F.when(direct, 1.0).when(F.coalesce(F.array_contains("terms", F.col("kw")), F.lit(False)), 0.5).when(stem_match(norm, F.col("n")) & ~false_friend_only(norm, F.col("n"), compounds or {}), 1.0)
-    hits = texts.join(small(words.select("kw").distinct()), weight.isNotNull()).select("t", "kw", weight.alias("w"))
+    # what a keyword begins with stands wherever the keyword or its stem does; synonyms name keywords that may not stand there
+    kinds = words.select("kw").distinct().withColumn("stem", F.left(norm, F.lit(5)))
+    spelled = containing(texts.select("t", "n"), "n", kinds, "stem").select("t", "kw")
+    meant = texts.select("t", F.explode("terms").alias("kw")).join(kinds.select("kw"), "kw").select("t", "kw")
+    hits = spelled.unionByName(meant).distinct().join(texts, "t").filter(weight.isNotNull()).select("t", "kw", weight.alias("w"))
     by_word = hits.join(words, "kw").select("t", "table_id", "w")
     heads = catalog.select("table_id", F.substring("title", 1, 6).alias("head")).filter("head != ''")
-    by_title = texts.join(small(heads.select("head").distinct()), F.contains("t", "head")).select("t", "head").join(heads, "head").select("t", "table_id", F.lit(1.0).alias("w"))
+    by_title = containing(texts.select("t"), "t", heads.select("head").distinct(), "head").join(heads, "head").select("t", "table_id", F.lit(1.0).alias("w"))
     score = by_word.unionByName(by_title).groupBy("t", "table_id").agg(F.least(F.lit(1.0), F.sum("w") / 3).alias("score"))
     return spoken.join(score, "t").select("claim_id", "table_id", "score")
 
@@ -91,36 +95,50 @@ def trigram_topk(queries: DataFrame, index: DataFrame, k: int = 30, least: float
     return topk(rows, ["qid"], [F.desc("score"), "table_id"], k)
 
 
-def vector_topk(queries: DataFrame, index: DataFrame, k: int = 5, block_rows: int = 4096, dims: str = "embedding") -> DataFrame:
+#: Bytes of vectors in a block, and of all blocks of a side that is sent to every executor.
+BLOCK_BYTES, SENT_BYTES = 1 << 20, 32 << 20
+
+
+def _blocks(rows: DataFrame, key: str, dims: str, name: str) -> tuple[DataFrame, int]:
+    """(<name>_ids, <name>_m): rows packed about BLOCK_BYTES of 32-bit vectors together, and the bytes of all."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(pdf["v"].to_numpy()).astype(np.float32)
+        return pd.DataFrame({f"{name}_ids": [pdf["k"].to_numpy(np.int64).tobytes()], f"{name}_m": [m.tobytes()]})
+
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size(dims))).first()
+    size = n * 4 * (width or 0)
+    block = F.pmod(F.xxhash64("k"), F.lit(max(1, -(-size // BLOCK_BYTES))))
+    return rows.select(F.col(key).alias("k"), F.col(dims).alias("v")).groupBy(block.alias("b")).applyInPandas(pack, f"{name}_ids binary, {name}_m binary"), size
+
+
+def vector_topk(queries: DataFrame, index: DataFrame, k: int = 5, dims: str = "embedding") -> DataFrame:
     """(qid, table_id, score, rank): cosine top k of each query (qid, embedding) over the index (table_id, embedding).
 
-    The index is cut into blocks of about block_rows rows, each a packed row; every batch of queries is multiplied with
-    every block, and only each block's best k go on. Zero vectors have similarity 0 with all.
+    Both sides are packed into blocks, each block of queries is multiplied with each block of the index in one product, and
+    only a query's best k of a block go on. The smaller side's blocks are sent to all executors while they are few; the
+    pairs of blocks are the stated queries against all rows. Zero vectors have similarity 0 with all.
     """
-    n_blocks = F.lit(max(1, -(-index.count() // block_rows)))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf[dims].to_numpy()).astype(np.float32)
-        return pd.DataFrame({"ids": [pdf["table_id"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()]})
-
-    blocks = index.groupBy(F.pmod(F.xxhash64("table_id"), n_blocks).alias("block")).applyInPandas(pack, "ids binary, m binary")
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf[dims].to_numpy()).astype(np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-        out = []
-        for raw_ids, raw in pdf[["ids", "m"]].drop_duplicates("ids").itertuples(index=False):
-            ids = np.frombuffer(raw_ids, np.int64)
-            m = np.frombuffer(raw, np.float32).reshape(len(ids), -1).astype(np.float64)
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-            of = (pdf["ids"] == raw_ids).to_numpy()
-            s = np.round(x[of] @ m.T, 9)
-            order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-            out.append(pd.DataFrame({"qid": np.repeat(pdf["qid"].to_numpy()[of], order.shape[1]), "table_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "table_id": [], "score": []})
-
-    pairs = queries.select("qid", dims).crossJoin(F.broadcast(blocks)) if index.count() <= 16 * block_rows else queries.select("qid", dims).crossJoin(blocks)
-    got = pairs.mapInPandas(lambda it: (best(p) for p in it if len(p)), "qid long, table_id long, score double")
+    def vectors(ids: bytes, m: bytes) -> tuple[np.ndarray, np.ndarray]:
+        own = np.frombuffer(ids, np.int64)
+        x = np.frombuffer(m, np.float32).reshape(len(own), -1).astype(np.float64)
+        return own, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+    def best(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                (qids, q), (ids, x) = vectors(row.q_ids, row.q_m), vectors(row.x_ids, row.x_m)
+                s = np.round(q @ x.T, 9)
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                yield pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "table_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+
+    (q, q_size), (x, x_size) = _blocks(queries, "qid", dims, "q"), _blocks(index, "table_id", dims, "x")
+    if min(q_size, x_size) <= SENT_BYTES:
+        pairs = x.crossJoin(F.broadcast(q)) if q_size <= x_size else q.crossJoin(F.broadcast(x))
+    else:
+        pairs = q.crossJoin(x)
+    got = pairs.mapInPandas(best, "qid long, table_id long, score double")
     return topk(got, ["qid"], [F.desc("score"), "table_id"], k)
 
 
@@ -214,12 +232,14 @@ def trusted(least: float = 0.5) -> Column:
     return has("keyword") | F.greatest(*[has(s) for s in SIGNALS]) | F.coalesce(first, F.lit(False))
 
 
-def simplicity_tiebreak(ranked: DataFrame, epsilon: float = 0.0015) -> DataFrame:
+def simplicity_tiebreak(ranked: DataFrame, epsilon: float = 0.0015, fine: tuple[str, ...] = ("소분류", "세분류")) -> DataFrame:
     """ranked (claim_id, place, table_id, score, title) with runs within epsilon of the run's head reordered by axes.
 
-    Where a run starts depends on the run before, so each claim's short list is folded.
+    A title has an axis more than slashes, and one more if it speaks of a fine classification. Where a run starts depends on
+    the run before, so each claim's short list is folded.
     """
-    one = ranked.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("place", "table_id", "score", F.size(F.split("title", "/")).alias("axes")))).alias("c"))
+    axes = F.size(F.split("title", "/")) + F.greatest(*[F.contains("title", F.lit(w)) for w in (*fine, *fine[:1])]).cast("int")
+    one = ranked.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("place", "table_id", "score", axes.alias("axes")))).alias("c"))
     step = f"""aggregate(c, cast(array() as array<struct<head:double,run:int,axes:int,place:int,table_id:bigint>>), (acc, x) -> concat(acc, array(case
         when size(acc) > 0 and try_element_at(acc, -1).head - x.score <= {epsilon} then named_struct('head', try_element_at(acc, -1).head, 'run', try_element_at(acc, -1).run, 'axes', x.axes, 'place', x.place, 'table_id', cast(x.table_id as bigint))
         else named_struct('head', cast(x.score as double), 'run', size(acc), 'axes', x.axes, 'place', x.place, 'table_id', cast(x.table_id as bigint)) end)))"""

@@ -161,12 +161,12 @@ def m17(spark, d):
     return reranked(spark, d).select("claim_id", "table_id", F.round("rrf", 9).alias("rrf"), "place")
 
 
-_COV = "rg as (select s_suppkey as table_id, 1990 + s_suppkey % 10 as lo, 1996 + s_suppkey % 10 as hi from supplier where s_suppkey < 50), cv as (select claim_id, table_id, row_number() over (partition by claim_id order by case when place > 5 then 2 when claim_id % 4 > 0 and rg.lo is not null and not (1993 + claim_id % 10 between lo and hi) then 1 else 0 end, place) as place from rp left join rg using (table_id))"
+_COV = "rg as (select s_suppkey as table_id, 1990 + s_suppkey % 10 as lo, 1996 + s_suppkey % 10 as hi from supplier), cv as (select claim_id, table_id, row_number() over (partition by claim_id order by case when place > 5 then 2 when claim_id % 4 > 0 and rg.lo is not null and not (1993 + claim_id % 10 between lo and hi) then 1 else 0 end, place) as place from rp left join rg using (table_id))"
 
 
 @query("m18_coverage_filter", over(f"with {_MC}, {_RRF}, {_COV} select claim_id, table_id, place from cv"))
 def m18(spark, d):
-    r = table(spark, d, "supplier").filter("s_suppkey < 50").selectExpr("s_suppkey as table_id", "1990 + s_suppkey % 10 as lo", "1996 + s_suppkey % 10 as hi")
+    r = table(spark, d, "supplier").selectExpr("s_suppkey as table_id", "1990 + s_suppkey % 10 as lo", "1996 + s_suppkey % 10 as hi")
     c = m.rrf(merged(spark, d)).withColumn("year", F.expr("if(claim_id % 4 > 0, 1993 + claim_id % 10, null)"))
     return m.coverage_filter(c, r).select("claim_id", "table_id", "place")
 
@@ -190,9 +190,11 @@ def m20(spark, d):
     return fused.select("claim_id", "table_id", "place", m.trusted().alias("trusted"))
 
 
-@query("m21_simplicity_tiebreak")
+@query("m21_simplicity_tiebreak", over(f"""with {_MC}, {_RRF}, tb as (select claim_id, place, table_id, rrf, rrf as head, 0 as run from rp where place = 1
+  union all select rp.claim_id, rp.place, rp.table_id, rp.rrf, case when head - rp.rrf <= 0.0015 then head else rp.rrf end, case when head - rp.rrf <= 0.0015 then run else rp.place - 1 end from tb join rp on rp.claim_id = tb.claim_id and rp.place = tb.place + 1)
+  select claim_id, table_id, row_number() over (partition by claim_id order by run, table_id % 4 + case when table_id % 5 = 0 then 1 else 0 end, place) as place from tb""").replace("with ", "with recursive ", 1))
 def m21(spark, d):
-    c = m.rrf(merged(spark, d)).withColumns({"score": F.col("rrf"), "title": F.expr("repeat('a/', cast(table_id % 4 as int))")})
+    c = m.rrf(merged(spark, d)).withColumns({"score": F.col("rrf"), "title": F.expr("concat(repeat('a/', cast(table_id % 4 as int)), case table_id % 10 when 0 then ' 소분류' when 5 then '세분류별' else '' end)")})
     return m.simplicity_tiebreak(c)
 
 
@@ -258,12 +260,25 @@ def _marked(spark, d):
     return a, a.filter(F.size(F.split("text", r"\s+")) > 4).select("article_id", F.inline(two))
 
 
-@query("k8_locate_claims")
+_QUOTES = "translate({}, '“”‘’', concat(chr(34), chr(34), chr(39), chr(39)))"
+_LOCATED = rf"""cl as (select article_id, article_id * 2 + i as claim_id, w[i + 3] as sentence from (select article_id, string_split_regex(text, '[ \t\n\v\f\r]+') as w from articles), range(2) r(i) where len(w) > 4),
+  pl as (select cl.article_id, claim_id, length(sentence) as n, case when sentence <> '' then nullif(strpos({_QUOTES.format("text")}, {_QUOTES.format("sentence")}), 0) - 1 end as s from cl join articles using (article_id)),
+  o as (select *, s + n as e, row_number() over (partition by article_id order by s nulls last, claim_id) as k from pl),
+  f as (select article_id, claim_id, s, e, k, s is not null as kept, case when s is not null then e else -1 end as upto from o where k = 1
+    union all select o.article_id, o.claim_id, o.s, o.e, o.k, coalesce(o.s >= f.upto, false), case when o.s >= f.upto then o.e else f.upto end from f join o on o.article_id = f.article_id and o.k = f.k + 1)"""
+_SEGMENTS = r"""kp as (select article_id, s, e, row_number() over (partition by article_id order by s) as claim_no, coalesce(lag(e) over (partition by article_id order by s), 0) as before from f where kept),
+  pt as (select article_id, before as a, s as b, null as claim_no from kp union all select article_id, s, e, claim_no from kp
+    union all select x.article_id, coalesce(max(e), 0), length(any_value(x.text)), null from articles x left join kp using (article_id) group by x.article_id)
+  select article_id, row_number() over (partition by article_id order by a) as pos, claim_no, len(string_split_regex(left(text, a), '
+{2,}')) - 1 as paragraph, substr(text, a + 1, b - a) as text from pt join articles using (article_id) where b > a"""
+
+
+@query("k8_locate_claims", over(f'with {_LOCATED} select article_id, claim_id, s as start, e as "end", kept from f').replace("with ", "with recursive ", 1))
 def k8(spark, d):
     return k.locate_claims(*_marked(spark, d))
 
 
-@query("k9_segments")
+@query("k9_segments", over(f"with {_LOCATED}, {_SEGMENTS}").replace("with ", "with recursive ", 1))
 def k9(spark, d):
     a, c = _marked(spark, d)
     return k.segments(a, k.locate_claims(a, c))

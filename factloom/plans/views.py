@@ -23,7 +23,7 @@ VIEWS = {
                case when l_linenumber = 5 then null else max(l_quantity) end as value, case when max(l_suppkey) % 4 = 0 then '%' else 'units' end as unit,
                case when l_linenumber % 3 = 0 then 'delta' else 'level' end as value_type, case l_linenumber % 4 when 1 then 'increase' when 2 then 'decrease' else null end as comparison_operator,
                case when max(l_partkey) % 7 = 0 then concat('NATION_', cast(max(l_suppkey) % 25 as string)) else null end as comparison_target,
-               case when max(l_suppkey) % 4 = 1 then null else concat('Supplier ', cast(max(l_suppkey) % 40 as string)) end as source_org,
+               case when max(l_suppkey) % 4 = 1 then null else concat('Supplier ', cast(max(l_suppkey) as string)) end as source_org,
                case when max(l_partkey) % 2 = 0 then cast(max(year(l_shipdate)) as string) else cast(max(year(l_shipdate) * 100 + month(l_shipdate)) as string) end as period,
                case when max(l_partkey) % 2 = 0 then 'Y' else 'M' end as freq
         from lineitem group by l_orderkey, l_linenumber""",
