@@ -108,20 +108,35 @@ def extreme_check(series: DataFrame, highest: bool = True) -> DataFrame:
 def compute(claims: DataFrame, obs: DataFrame) -> DataFrame:
     """(claim_id, calc_type, status, value, period): each claim by its calc_type; unknown ones look their cell up.
 
-    claims: claim_id, calc_type, table_id, item_id, dim, period, freq, start_period. Each kind is a branch of the plan, so
-    a claim only meets the cells that its kind needs.
+    claims: claim_id (distinct), calc_type, table_id, item_id, dim, period, freq, start_period. Claims that need one or two
+    cells ask for them by name in one equi-join; claims of an extreme meet their series in another.
     """
     kind = F.coalesce("calc_type", F.lit("lookup"))
-    rows = claims.withColumn("calc_type", F.when(kind.isin("rate", "change", "max_check", "min_check"), kind).otherwise("lookup"))
-    plain = rows.filter("calc_type = 'lookup'")
-    out = lookup_cell(plain, obs).join(plain.select("claim_id", "calc_type", "period"), "claim_id").select("claim_id", "calc_type", "status", "value", "period")
-    pairs = rows.filter("calc_type in ('rate', 'change')").join(obs.select(*CELL, "period", "value", "unit"), [*CELL, "period"], "left").withColumn("base_period", periods.prior_year(F.col("period")))
-    pairs = with_base(pairs, obs)
-    result = F.when(F.col("calc_type") == "change", change()).otherwise(change_rate())
-    status = F.when(F.col("value").isNull(), "none").when(F.col("base_value").isNull(), "no_base").when((F.col("calc_type") == "rate") & (F.col("base_value") == 0), "zero_base").otherwise("ok")
-    two = pairs.select("claim_id", "calc_type", status.alias("status"), F.when(status == "ok", result).alias("value"), F.concat_ws("~", "base_period", "period").alias("period"))
-    for name, highest in (("max_check", True), ("min_check", False)):
-        asked = rows.filter(F.col("calc_type") == name).withColumn("end_period", F.col("period"))
-        found = extreme_check(fetch_series(asked, obs), highest)
-        out = out.unionByName(asked.select("claim_id", "calc_type").join(found, "claim_id", "left").select("claim_id", "calc_type", F.coalesce("status", F.lit("empty")).alias("status"), "value", "period"))
-    return out.unionByName(two)
+    rows = claims.select("claim_id", F.when(kind.isin("rate", "change", "max_check", "min_check"), kind).otherwise("lookup").alias("calc_type"), *CELL, "period", "start_period")
+    is_pair, is_extreme = F.col("calc_type").isin("rate", "change"), F.col("calc_type").isin("max_check", "min_check")
+
+    # one or two cells
+    at = obs.groupBy(*CELL, F.col("period").alias("asked")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("v"))
+    base = F.when(is_pair, periods.prior_year(F.col("period")))
+    roles = F.array(F.struct(F.lit(False).alias("base"), F.col("period").alias("asked")), F.struct(F.lit(True).alias("base"), base.alias("asked")))
+    asked = rows.filter(~is_extreme).select("claim_id", "calc_type", "period", *CELL, F.inline(F.filter(roles, lambda r: ~r.base | r.asked.isNotNull())))
+    one = lambda is_base, c: F.max(F.when(F.col("base") == is_base, F.col(c)))
+    met = asked.join(at, [*CELL, "asked"], "left").groupBy("claim_id", "calc_type", "period", *CELL).agg(one(False, "n").alias("n"), one(False, "v").alias("value"), one(True, "v").alias("base_value"), one(True, "asked").alias("base_period"))
+    met = met.join(obs.select(*CELL).distinct().withColumn("any", F.lit(True)), CELL, "left")
+    lookup = F.when(F.col("n") == 1, F.when(F.col("value").isNull(), "no_value").otherwise("ok")).when(F.col("n") > 1, "many").when(F.col("any"), "other_period").otherwise("none")
+    pair = F.when(F.col("value").isNull(), "none").when(F.col("base_value").isNull(), "no_base").when((F.col("calc_type") == "rate") & (F.col("base_value") == 0), "zero_base").otherwise("ok")
+    status = F.when(is_pair, pair).otherwise(lookup)
+    result = F.when(F.col("calc_type") == "change", change()).when(is_pair, change_rate()).otherwise(F.col("value"))
+    two = met.select("claim_id", "calc_type", status.alias("status"), F.when(status == "ok", result).alias("value"), F.when(is_pair, F.concat_ws("~", "base_period", "period")).otherwise(F.col("period")).alias("period"))
+
+    # a series
+    cells = obs.filter("value is not null").select(*CELL, F.col("period").alias("asked"), "value", "unit")
+    signed = F.when(F.col("calc_type") == "max_check", -F.col("value")).otherwise(F.col("value"))
+    within = F.col("asked").between(F.col("start_period"), F.col("period"))
+    held = lambda c: F.when(within, F.col(c))
+    series = rows.filter(is_extreme).join(cells, CELL, "left").select("claim_id", "calc_type", held("asked").alias("asked"), held("value").alias("value"), held("unit").alias("unit"))
+    found = series.groupBy("claim_id", "calc_type").agg(F.min(F.when(F.col("value").isNotNull(), F.struct(signed.alias("v"), "asked"))).alias("b"), F.count_distinct("unit").alias("units"), F.count("value").alias("n"))
+    status = _units(F.lit("ok"))
+    value = F.when(F.col("calc_type") == "max_check", -F.col("b.v")).otherwise(F.col("b.v"))
+    ends = found.select("claim_id", "calc_type", status.alias("status"), F.when(status == "ok", value).alias("value"), F.when(status == "ok", F.col("b.asked")).alias("period"))
+    return two.unionByName(ends)
