@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.registry import query
@@ -83,19 +84,22 @@ def s9(spark, d):
     return s.upsert(t, batch.unionByName(more), "result_id")
 
 
-@query("s9_write_upsert", over("select result_id, case when result_id % 3 = 0 then 'undecidable' else verdict end as verdict from records"))
+@query("s9_write_upsert", over("select result_id, case when result_id % 3 = 0 then 'undecidable' else verdict end as verdict, case when result_id % 3 = 0 then 'late' end as note from records"))
 def s9w(spark, d):
     t = table(spark, d, "records").select("result_id", "verdict", F.lit(1).alias("seq"))
     path = s.staging_dir(spark, "upserted")
     s.write_upsert(path, t, "result_id", 8)
-    s.write_upsert(path, t.filter("result_id % 3 = 0").withColumn("verdict", F.lit("undecidable")), "result_id", 8)
-    return spark.read.parquet(path).select("result_id", "verdict")
+    s.write_upsert(path, t.filter("result_id % 3 = 0").withColumns({"verdict": F.lit("undecidable"), "note": F.lit("late")}), "result_id", 8)
+    s.write_upsert(path, t.filter("result_id % 3 = 1"), "result_id", 8)  # a batch without the late column
+    return s.read_upserted(spark, path).select("result_id", "verdict", "note")
 
 
 @query("s10_read_all", over("select result_id, verdict, row_number() over (order by result_id) as n from records"))
 def s10(spark, d):
-    # ids are gapless from 0 here, so the place in the order is the id plus one
-    return s.read_all(table(spark, d, "records").select("result_id", "verdict", (F.col("result_id") + 1).alias("n")), "result_id")
+    # the place of each row in the output as it comes: the rows of all partitions before its own, and its place there
+    r = s.read_all(table(spark, d, "records").select("result_id", "verdict"), "result_id").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    before = r.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return r.join(before, "part").select("result_id", "verdict", (F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("at"))).alias("n"))
 
 
 @query("s11_export_records", "select event_id, case when event_id % 5 = 0 then null else cast(json_extract_string(props, '$.k') as varchar) end as k, case when event_id % 5 = 0 then 'broken {' end as raw from events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,12 +30,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only where none is set.
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    A path without a scheme belongs to the cluster's default file system.
+    Where none is set, a local folder serves a local master, as in tests; on a cluster that is an error. A path without a
+    scheme belongs to the cluster's default file system.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="factloom-shared-"))
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
     full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()

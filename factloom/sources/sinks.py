@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,13 +24,17 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, created: Column | None
 
 
 def write_upsert(target_path: str, batch: DataFrame, key: str, buckets: int = 64) -> None:
-    """Upsert into a Parquet table partitioned by a hash of the key; only the partitions that the batch touches are rewritten."""
+    """Upsert into a Parquet table partitioned by a hash of the key; only the partitions that the batch touches are rewritten.
+
+    Partitions not rewritten keep the columns that they have; read_upserted() gives all columns that any batch brought. The
+    result is complete in the shared folder before a partition is replaced, and a batch run again gives the same table.
+    """
     spark = batch.sparkSession
     part = lambda df: df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     rows = part(batch)
     touched = [r[0] for r in rows.select("_part").distinct().collect()]  # at most `buckets` numbers
     try:
-        old = spark.read.parquet(target_path).filter(F.col("_part").isin(touched))
+        old = spark.read.option("mergeSchema", "true").parquet(target_path).filter(F.col("_part").isin(touched))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
@@ -39,7 +43,12 @@ def write_upsert(target_path: str, batch: DataFrame, key: str, buckets: int = 64
         merged = part(upsert(old.drop("_part"), batch, key))
     staged = staging_dir(spark, "upsert")
     merged.write.parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(target_path)
+    spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(target_path)
+
+
+def read_upserted(spark: SparkSession, target_path: str) -> DataFrame:
+    """The table that write_upsert() keeps, with every column that some batch brought."""
+    return spark.read.option("mergeSchema", "true").parquet(target_path).drop("_part")
 
 
 def read_all(df: DataFrame, key: str) -> DataFrame:
