@@ -26,6 +26,105 @@ def test_periods(spark):
     assert not bad
 
 
+def test_relative_periods(spark):
+    day = dt.date(2025, 3, 5)
+    rows = [("전전년", "Y", "2023"), ("전전년도", "M", "202303"), ("직전연도", "Y", "2024"), ("당월", "M", "202503"), ("다음달", "M", "202504"), ("4년여 전", "Y", "2021"), ("1955–1960년", "Y", "1960"), ("1955—1960", "M", "1960"), ("직전분기", "Q", "202404"), ("당분기", "Q", "202501"), ("2023년 12월", "M", "202312"), ("전년도 2분기", "Q", "202402"), ("연초", "M", "202501"), ("당해", "Y", "당해"), ("내년", "Y", "내년")]
+    df = spark.createDataFrame([(*r, day) for r in rows], "e string, f string, want string, at date")
+    assert not df.select("e", "want", periods.normalize(F.col("e"), F.col("f"), F.col("at")).alias("got")).filter(~F.col("got").eqNullSafe(F.col("want"))).collect()
+    ok = [("전분기 대비", True), ("당해", True), ("1년새", True), ("지난주", True), ("최근", False), ("내년", False), ("20245", False), ("202413", True), (None, True)]
+    assert [r[0] for r in spark.createDataFrame(ok, "e string, ok boolean").select(periods.valid(F.col("e")) == F.col("ok")).collect()] == [True] * len(ok)
+
+
+def test_claim_values(spark):
+    rows = [
+        ("0~14세 인구가 줄었다.", None, "rate", None, None), ("3주 동안 20시간 일했다.", None, "level", None, None), ("46개월 만에 감소로 전환했다.", None, "rate", None, None), ("근속은 46개월이다.", "개월", "level", None, 46.0),
+        ("수출이 320억 감소했다.", None, "rate", None, -3.2e10), ("15~29세 취업자 3천명이 늘었다.", "명", "rate", None, 3000.0), ("물가가 1.1% 낮아졌다.", "%", "rate", None, -1.1), ("물가가 1.1% 낮아졌다.", "%", "level", None, 1.1), ("물가가 1.1% 올랐다.", "%", "rate", "decrease", -1.1), (None, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, *r[:4], None) for i, r in enumerate(rows)], "i int, sentence string, unit string, claim_type string, comparison_operator string, value double")
+    got = {r["i"]: r["claim_value"] for r in text.claim_value(df, KOREAN).collect()}
+    assert got == {i: r[4] for i, r in enumerate(rows)}
+
+
+def test_expressions_are_counted(spark):
+    rows = [("20.1%로 역대 최고치를 기록했다.", 1), ("인구가 역대 최고치를 기록했다.", 1), ("1위는 서울이다.", None), ("전국 4위 도시다.", 1), ("만족도는 6.4점이다.", 0), ("9만7000명 줄어 14개월째 감소다.", 2), ("3월의 날씨다.", None), ("지수는 116.38로 나타났다.", 1), ("2.5P대다.", None), ("두 배 늘었다.", 1)]
+    got = {r["article_id"]: r["expressions"] for r in text.numeric_candidates(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "article_id int, text string"), KOREAN).collect()}
+    assert got == {i: n for i, (_, n) in enumerate(rows) if n is not None}
+
+
+def test_foreign_by_proper_nouns(spark):
+    rows = [("노인 인도 통행", [], False), ("인도 수출", ["인도"], True), ("호주제 폐지", ["호주제"], False), ("일본", None, True), (None, ["인도"], False), ("인도", [None, "인도"], True)]
+    df = spark.createDataFrame(rows, "p string, n array<string>, want boolean")
+    assert not df.filter(claims.foreign(KOREAN, "p", nouns={"p": "n"}) != F.col("want")).collect()
+
+
+def test_containing_by_lookup(spark, monkeypatch):
+    """A table of terms too large to send gives the pairs that a small one gives."""
+    from factloom.operators import joins
+
+    texts = spark.createDataFrame([("abcdefghijk",), ("xyz",), ("한국은행 총재",), ("",), ("aaaaaaaaaaaa",)], "t string")
+    terms = spark.createDataFrame([(w, i) for i, w in enumerate(["abcdefghi", "abcdefghZ", "cde", "z", "은행", "", None, "aaaaaaaaaaa", "abcdefghijkl", "x"])], "w string, n int")
+    want = sorted(map(tuple, joins.containing(texts, "t", terms, "w").collect()))
+    assert [(t, w) for t, w, _ in want] == [("aaaaaaaaaaaa", "aaaaaaaaaaa"), ("abcdefghijk", "abcdefghi"), ("abcdefghijk", "cde"), ("xyz", "x"), ("xyz", "z"), ("한국은행 총재", "은행")]
+    monkeypatch.setattr(joins, "MOST_ROWS", 0)
+    assert sorted(map(tuple, joins.containing(texts, "t", terms, "w").collect())) == want
+    assert joins.containing(texts, "t", terms.limit(0), "w").count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_vector_blocks(spark, monkeypatch, sent):
+    import numpy as np
+
+    from factloom.operators import matching
+
+    monkeypatch.setattr(matching, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(matching, "SENT_BYTES", sent)
+    x = np.random.default_rng(1).normal(size=(70, 5)).astype(np.float32)
+    x[3] = 0
+    x[10] = x[11]
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "table_id long, embedding array<float>")
+    got = matching.vector_topk(index.withColumnRenamed("table_id", "qid"), index, 4)
+    n = x.astype(np.float64) / np.maximum(np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True), 1e-30)
+    s = np.round(n @ n.T, 9)
+    want = {(i, r + 1): int(j) for i in range(70) for r, j in enumerate(np.lexsort((np.arange(70), -s[i]))[:4])}
+    assert {(r["qid"], r["rank"]): r["table_id"] for r in got.collect()} == want
+    assert matching.vector_topk(index.limit(0).withColumnRenamed("table_id", "qid"), index).count() == 0
+
+
+def test_computed_claims(spark):
+    obs = spark.createDataFrame([(1, "A", "F", p, v, "u") for p, v in (("202301", 4.0), ("202302", 2.0), ("202401", 5.0), ("202402", None))] + [(2, "A", "F", "202401", 1.0, "u"), (2, "A", "F", "202401", 2.0, "w")], "table_id int, item_id string, dim string, period string, value double, unit string")
+    ask = lambda i, kind, t, p, s=None: (i, kind, t, "A", "F", p, s)
+    rows = [ask(1, "lookup", 1, "202401"), ask(2, None, 1, "202402"), ask(3, "lookup", 1, "199901"), ask(4, "lookup", 9, "202401"), ask(5, "lookup", 2, "202401"), ask(6, "rate", 1, "202401"), ask(7, "change", 1, "202401"), ask(8, "rate", 1, "202301"), ask(9, "max_check", 1, "202401", "202301"), ask(10, "min_check", 1, "202401", "202301"), ask(11, "max_check", 1, "202201", "202101"), ask(12, "max_check", 9, "202401", "202301"), ask(13, "min_check", 2, "202401", "202401"), ask(14, "rate", 1, None)]
+    df = spark.createDataFrame(rows, "claim_id int, calc_type string, table_id int, item_id string, dim string, period string, start_period string")
+    got = {r["claim_id"]: (r["status"], r["value"], r["period"]) for r in compute.compute(df, obs).collect()}
+    assert got == {
+        1: ("ok", 5.0, "202401"), 2: ("no_value", None, "202402"), 3: ("other_period", None, "199901"), 4: ("none", None, "202401"), 5: ("many", None, "202401"), 6: ("ok", 25.0, "202301~202401"), 7: ("ok", 1.0, "202301~202401"), 8: ("no_base", None, "202201~202301"),
+        9: ("ok", 5.0, "202401"), 10: ("ok", 2.0, "202302"), 11: ("empty", None, None), 12: ("empty", None, None), 13: ("mixed_units", None, None), 14: ("none", None, ""),
+    }
+
+
+def test_upserted_table_keeps_late_columns(spark):
+    from factloom.sources import sinks
+
+    path = sinks.staging_dir(spark, "late")
+    rows = lambda *ids: spark.createDataFrame([(i, "a", 1) for i in ids], "id int, v string, seq int")
+    sinks.write_upsert(path, rows(*range(100)), "id", 4)
+    sinks.write_upsert(path, spark.createDataFrame([(i, "b", "new", 2) for i in (5, 50, 200)], "id int, v string, late string, seq int"), "id", 4)
+    sinks.write_upsert(path, rows(*[i for i in range(100) if i != 50]), "id", 4)
+    got = {r["id"]: (r["v"], r["late"]) for r in sinks.read_upserted(spark, path).collect()}
+    assert got == {i: ("a", None) for i in range(100)} | {50: ("b", "new"), 200: ("b", "new")}
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from factloom.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="x"))
+    with pytest.raises(RuntimeError):
+        shared_folder(cluster, "any")
+
+
 def test_base_periods(spark):
     df = spark.createDataFrame([("202501", "M"), ("202501", "Q"), ("2024", "Y"), (None, "M")], "p string, f string")
     got = [tuple(r) for r in df.select(periods.prior_year(F.col("p")), periods.prior_immediate(F.col("p"), F.col("f"))).collect()]
