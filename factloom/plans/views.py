@@ -39,8 +39,8 @@ VIEWS = {
         from lineitem group by l_suppkey, l_returnflag, l_linestatus, year(l_shipdate), month(l_shipdate)""",
     # scored matches of claims with tables, from three sources
     "candidates": """
-        select l_orderkey * 8 + l_linenumber as claim_id, l_partkey % 50 as table_id, case l_returnflag when 'A' then 'keyword' when 'N' then 'vector' else 'index' end as source, max(l_quantity) as score
-        from lineitem group by l_orderkey * 8 + l_linenumber, l_partkey % 50, l_returnflag""",
+        select l_orderkey * 8 + l_linenumber as claim_id, l_partkey as table_id, case l_returnflag when 'A' then 'keyword' when 'N' then 'vector' else 'index' end as source, max(l_quantity) as score
+        from lineitem group by l_orderkey * 8 + l_linenumber, l_partkey, l_returnflag""",
     # claims that name a statistic: one for each supplier
     "topics": """
         select s_suppkey as claim_id, concat('The ', p_name, ' market grew') as sentence, s_acctbal as balance, s_nationkey as nation from supplier join part on p_partkey = s_suppkey""",
