@@ -172,11 +172,11 @@ def verdict_eval(claims: DataFrame, mapping: DataFrame, verdicts: DataFrame) ->
     return judged.select("claim_id", F.col("computed_value").alias("official"), predicted.alias("predicted"), gold.alias("gold"), (predicted == gold).alias("right"))
 
 
-def gold_articles(articles: DataFrame, gold: DataFrame, known_bad: list[str]) -> DataFrame:
-    """(url, n_gold, sentences): articles of the gold set with its sentences in order; known bad ones left out."""
+def gold_articles(articles: DataFrame, gold: DataFrame, known_bad: DataFrame) -> DataFrame:
+    """(url, n_gold, sentences): articles of the gold set with its sentences in order; those of known_bad (url) left out."""
     g = gold.groupBy(bare_url(F.col("url")).alias("url")).agg(F.array_sort(F.collect_list(F.struct("gold_id", "sentence"))).alias("s"))
-    rows = articles.select(bare_url(F.col("url")).alias("url")).distinct().join(g, "url")
-    return rows.filter(~F.col("url").isin(*known_bad) if known_bad else F.lit(True)).select("url", F.size("s").alias("n_gold"), F.transform("s", lambda x: x.sentence).alias("sentences"))
+    rows = articles.select(bare_url(F.col("url")).alias("url")).distinct().join(g, "url").join(known_bad.select(bare_url(F.col("url")).alias("url")), "url", "left_anti")
+    return rows.select("url", F.size("s").alias("n_gold"), F.transform("s", lambda x: x.sentence).alias("sentences"))
 
 
 def gold_integrity(sets: dict[str, DataFrame]) -> DataFrame:

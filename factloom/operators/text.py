@@ -6,7 +6,6 @@ Throughout: a null text gives no sentences and stays null where a text is return
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -111,53 +110,38 @@ def batches(missed_rows: DataFrame, size: int = 3) -> DataFrame:
 #: Korean scale words and what they stand for.
 BIG = {"조": 10**12, "억": 10**8, "만": 10**4}
 SMALL = {"천": 1000, "백": 100}
-_NUM = re.compile(r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(조|억|만|천|백)?")
-
-
-def compound_numbers(text: str | None) -> list[tuple[float, int, int]]:
-    """(value, start, end) of numbers with scale words.
-
-    Tokens of a number fall in scale: a small-scale run (2천4백) may be lifted by a big scale that follows, big groups add
-    up, and a bare rest below the last group's scale joins once. Only spaces may stand between tokens.
-    """
-    toks = [(float(m[1].replace(",", "")), m[2], m.start(), m.end(2) if m[2] else m.end(1)) for m in _NUM.finditer(text or "") if m[1].strip(",")]
-    terms: list[list] = []  # value, start, end, big scale or None
-    i = 0
-    while i < len(toks):
-        value, scale, start, end = toks[i]
-        i += 1
-        if scale in BIG:
-            terms.append([value * BIG[scale], start, end, BIG[scale]])
-            continue
-        low = SMALL.get(scale)
-        value *= low or 1
-        while low and i < len(toks) and toks[i][1] in SMALL and SMALL[toks[i][1]] < low and not text[end : toks[i][2]].strip():
-            low = SMALL[toks[i][1]]
-            value, end = value + toks[i][0] * low, toks[i][3]
-            i += 1
-        lift = re.compile(r"(조|억|만)").match(text, end)
-        if lift:
-            value, end = value * BIG[lift[1]], lift.end()
-        terms.append([value, start, end, BIG[lift[1]] if lift else None])
-    out: list[list] = []
-    for t in terms:
-        last = out[-1] if out else None
-        joins = last is not None and last[3] is not None and not text[last[2] : t[1]].strip() and ((t[3] < last[3]) if t[3] is not None else t[0] < last[3])
-        if joins:
-            last[0], last[2], last[3] = last[0] + t[0], t[2], t[3]
-        else:
-            out.append(t)
-    return [(v, s, e) for v, s, e, _ in out]
+_NUM = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+_THOUSANDS, _HUNDREDS = rf"{_NUM}\s*천", rf"{_NUM}\s*백"
+#: One group of a number: digits, or thousands and hundreds in words, and the scale that lifts them.
+_GROUP = rf"(?:{_THOUSANDS}(?:\s*{_HUNDREDS})?|{_HUNDREDS}|{_NUM})(?:\s*[조억만])?"
 
 
 def numbers_column(c: Column) -> Column:
-    """array<struct<value,start,end>>: compound_numbers of a text column."""
-
-    @F.pandas_udf("array<struct<value:double,start:int,end:int>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"value": v, "start": s, "end": e} for v, s, e in compound_numbers(t)])
+    """array<struct<value,start,end>>: the numbers of a text, with scale words.
 
-    return run(c)
+    The text is cut into groups and what stands between them. Groups with nothing but space between them are one number as
+    long as they fall: a group with a scale joins if the scale is below the last one's, a bare one if its value is, and ends it.
+    """
+    amount = lambda g, pattern: F.regexp_replace(F.nullif(F.regexp_extract(g, pattern, 1), F.lit("")), ",", "").cast("double")
+    named = lambda words, x: F.coalesce(*[F.when(x == w, F.lit(float(n))) for w, n in words.items()])
+
+    def group(g: Column, at: Column) -> Column:
+        words = [amount(g, rf"({_NUM})\s*{w}") * n for w, n in SMALL.items()]
+        value = F.when(F.coalesce(*words).isNotNull(), sum(F.coalesce(w, F.lit(0.0)) for w in words)).otherwise(amount(g, rf"^({_NUM})"))
+        scale = named(BIG, F.right(g, F.lit(1)))
+        return F.struct((value * F.coalesce(scale, F.lit(1.0))).alias("value"), at.alias("start"), (at + F.length(g)).alias("end"), scale.alias("scale"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last, g = F.try_element_at(acc["out"], F.lit(-1)), group(x, acc["at"])
+        joins = F.coalesce(acc["close"] & (F.coalesce(g["scale"], g["value"]) < last["scale"]), F.lit(False))
+        longer = F.struct((last["value"] + g["value"]).alias("value"), last["start"].alias("start"), g["end"].alias("end"), g["scale"].alias("scale"))
+        out = F.when(joins, F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc["out"], F.array(g)))
+        digit = x.rlike("^[0-9]")
+        return F.struct((acc["at"] + F.length(x)).alias("at"), F.when(digit, True).otherwise(acc["close"] & x.rlike(r"^\s*$")).alias("close"), F.when(digit, out).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("close"), F.array().cast("array<struct<value:double,start:int,end:int,scale:double>>").alias("out"))
+    pieces = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"{_GROUP}|[^0-9]+"), F.lit(0))
+    return F.aggregate(pieces, start, step, lambda acc: F.transform(acc["out"], lambda x: F.struct(x.value.alias("value"), x.start.alias("start"), x.end.alias("end"))))
 
 
 def claim_value(df: DataFrame, pack: Pack) -> DataFrame:

@@ -10,12 +10,13 @@ from factloom.functions.locale import KOREAN
 from factloom.operators import claims, compute, ranking, text, verdict
 
 
-@pytest.mark.parametrize(
-    "s, want",
-    [("23만8천명", [238000]), ("338만 4523명", [3384523]), ("360, 100명", [360, 100]), ("1억2천만원", [120000000]), ("4천억원", [4e11]), ("1억2천만 3500명", [120003500]), ("", []), (None, []), ("no number", [])],
-)
-def test_compound_numbers(s, want):
-    assert [v for v, _, _ in text.compound_numbers(s)] == want
+def test_compound_numbers(spark):
+    cases = [
+        ("23만8천명", [(238000, 0, 5)]), ("338만 4523명", [(3384523, 0, 9)]), ("360, 100명", [(360, 0, 4), (100, 5, 8)]), ("1억2천만원", [(120000000, 0, 5)]), ("4천억원", [(4e11, 0, 3)]), ("1억2천만 3500명", [(120003500, 0, 10)]), ("", []), (None, []), ("no number", []),
+        ("2천 4백명과 5백", [(2400, 0, 5), (500, 8, 10)]), ("1만 20000", [(10000, 0, 2), (20000, 3, 8)]), ("3만 2억", [(30000, 0, 2), (2e8, 3, 5)]), ("1조 2억 3만 45.5%", [(1000200030045.5, 0, 13)]), ("1,234.5만", [(12345000, 0, 8)]), ("7만. 8", [(70000, 0, 2), (8, 4, 5)]), ("3천 만명", [(30000000, 0, 4)]), ("1억 2 3", [(100000002, 0, 4), (3, 5, 6)]),
+    ]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", text.numbers_column(F.col("t")).alias("n"))
+    assert {r["i"]: [tuple(x) for x in r["n"]] for r in got.collect()} == {i: w for i, (_, w) in enumerate(cases)}
 
 
 def test_periods(spark):
