@@ -7,7 +7,8 @@ through all words of a text, with a penalty for each switch, labels every word;
 Rules for input: a text that is null or has no letter is `und` with score 0; words without letters take the label of their
 neighbours and don't count; texts of any length are read whole; ties go to the language first in alphabetical order; null
 languages teach nothing; with nothing learned every text is `und`; repeated rows get equal results; an empty table gives an
-empty one; language, source and id are never inputs of a prediction.
+empty one; language, source and id are never inputs of a prediction. The learning task holds SAMPLE_ROWS whole texts of each
+language: it is bounded in rows, and in bytes only as far as texts are.
 """
 
 from __future__ import annotations

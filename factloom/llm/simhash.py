@@ -27,8 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .decontaminate import Hasher, words_of
-from .shared import cut, mix64, once, ready
+from .shared import cut, delete, mix64, ready, shingle_hashes, word_hashes
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -170,13 +169,16 @@ def links(prints: DataFrame, n: int, radius: int, bits: int = 64) -> DataFrame:
     """(a, b): links among the nodes of (band, node, fp); n is about the number of nodes.
 
     Each band and block of bits is dealt out by the first bits of the block, into stretches of about STRETCH fingerprints.
+    A stretch that holds many more, as close copies do, is dealt out further: its nodes go by hash into parts, and each two
+    parts meet in one group.
     """
     blocks = radius + 1
     width = min(bits * (k + 1) // blocks - bits * k // blocks for k in range(blocks))
     cut_bits = min(width, max(0, math.ceil(math.log2(max(1, n) / STRETCH))))
 
-    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = bits * key[1] // blocks, bits * (key[1] + 1) // blocks
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["block"].iloc[0])
+        lo, hi = bits * block // blocks, bits * (block + 1) // blocks
         x = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         left = x << np.uint64(64 - bits)  # turned so that the block is on top
         keys = left << np.uint64(lo) | left >> np.uint64(bits - lo) if lo else left
@@ -194,8 +196,16 @@ def links(prints: DataFrame, n: int, radius: int, bits: int = 64) -> DataFrame:
         return F.shiftrightunsigned(F.shiftleft(F.col("fp"), 64 - bits + bits * k // blocks), 64 - cut_bits) if cut_bits else F.lit(0).cast("long")
 
     tops = F.array(*[F.struct(F.lit(k).alias("block"), stretch(k).alias("stretch")) for k in range(blocks)])
-    cells = prints.select("band", "node", "fp", F.inline(tops))
-    return cells.groupBy("band", "block", "stretch").applyInPandas(join, "a long, b long")
+    cells, cell = prints.select("band", "node", "fp", F.inline(tops)), ["band", "block", "stretch"]
+    large = cells.groupBy(*cell).count().filter(F.col("count") > 2 * STRETCH).select(*cell, F.ceil(F.col("count") / STRETCH).cast("long").alias("parts"))
+    large = cut(large, "simhash-large")
+    if large.isEmpty():
+        delete(large.sparkSession, large.cut_path)
+        return cells.groupBy(*cell).applyInPandas(join, "a long, b long")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    cells = cells.join(large, cell, "left").withColumn("own", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    cells = cells.select("node", "fp", *cell, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return cells.groupBy(*cell, "i", "j").applyInPandas(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,21 +217,41 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     part = connected_components(found, "a", "b")  # (node, root)
     of = prints.join(part, prints["fp"] == part["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     low = of.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("n_members"))
-    of = cut(of.select("fp", "root").join(low, "root").select("fp", "component_id", "n_members"), "simhash-of")
+    of = cut(of.select("fp", "root").join(low, "root").select("fp", "component_id", "n_members"), "simhash-of", (prints,))
     return marked.join(of, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_members")
 
 
-def shingle_hashes(text: str | None, hasher: Hasher, shingle: int) -> np.ndarray:
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text; fewer words are one shingle, none give none."""
-    words = words_of(text)
-    return np.unique(hasher.shingles(words, min(shingle, len(words)))) if words else np.zeros(0, np.uint64)
+    words = word_hashes(text)
+    return np.unique(shingle_hashes(words, min(shingle, len(words)))) if len(words) else words
 
 
-def band_prints(h: np.ndarray, bands: int, bits: int) -> np.ndarray:
-    """`bands` SimHash fingerprints of `bits` bits each; every 64 bits come from another mixing of the shingle hashes."""
-    votes = [bit_votes(mix64(h + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64)))) for i in range(-(-bands * bits // 64))]
-    on = (np.concatenate(votes) * 2 > len(h))[: bands * bits].reshape(bands, bits)
-    return on @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+def band_prints(sets: list[np.ndarray], bands: int, bits: int, chunk: int = 1 << 15) -> np.ndarray:
+    """For each set of shingle hashes, `bands` SimHash fingerprints of `bits` bits; every 64 bits come from another mixing.
+
+    About `chunk` hashes are worked on at a time, of many sets together; bits are summed in byte lanes, 255 hashes at a time.
+    """
+    mixes = -(-bands * bits // 64)
+    out = np.zeros((len(sets), bands), np.uint64)
+    lanes = np.uint64(0x0101010101010101)
+    weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    full = [i for i, h in enumerate(sets) if len(h)]
+    edges = np.concatenate(([0], np.cumsum([len(sets[i]) for i in full])))
+    for own in np.split(np.arange(len(full)), np.flatnonzero(np.diff(edges[:-1] // chunk)) + 1) if full else []:
+        h, sizes = np.concatenate([sets[full[i]] for i in own]), np.diff(edges)[own]
+        pieces = -(-sizes // 255)
+        first = np.cumsum(pieces) - pieces
+        starts = np.repeat(np.cumsum(sizes) - sizes, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+        votes = np.empty((len(own), mixes, 8, 8), np.int64)  # text, mixing, byte, bit
+        for i in range(mixes):
+            m = mix64(h + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64)))
+            for k in range(8):
+                sums = np.add.reduceat((m >> np.uint64(k)) & lanes, starts)
+                votes[:, i, :, k] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+        on = (votes.reshape(len(own), -1) * 2 > sizes[:, None])[:, : bands * bits].reshape(len(own), bands, bits)
+        out[np.array(full)[own]] = on @ weights
+    return out
 
 
 def rare_first(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
@@ -281,13 +311,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
 
     @F.pandas_udf("array<long>")
     def mark(texts: pd.Series) -> pd.Series:
-        hasher = once("shingle-hasher", "", Hasher)
-        return pd.Series([band_prints(shingle_hashes(t, hasher, shingle), bands, bits).view(np.int64) for t in texts])
+        return pd.Series(list(band_prints([shingle_set(t, shingle) for t in texts], bands, bits).view(np.int64)))
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
-        hasher = once("shingle-hasher", "", Hasher)
-        return pd.Series([shingle_hashes(t, hasher, shingle).view(np.int64) for t in texts])
+        return pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("sha"), mark(text).alias("prints")), "similar-prints")
@@ -325,8 +353,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
 
     @F.pandas_udf("struct<n:int,s:array<long>>")
     def prefix(texts: pd.Series) -> pd.DataFrame:
-        hasher, counts = once("shingle-hasher", "", Hasher), np.frombuffer(sent.value, "<u2")
-        sets = [shingle_hashes(t, hasher, shingle) for t in texts]
+        counts = np.frombuffer(sent.value, "<u2")
+        sets = [shingle_set(t, shingle) for t in texts]
         return pd.DataFrame({"n": [len(h) for h in sets], "s": [rare_first(h, counts, similarity).view(np.int64) for h in sets]})
 
     sets = keyed.select("sha", prefix("text").alias("p")).join(of, "sha").select("node", "part", "p.n", "p.s")
