@@ -3,7 +3,7 @@
 import hashlib
 import os
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -15,6 +15,8 @@ from factloom.llm import queries as q
 from factloom.llm.decontaminate import words_of
 from tokenizers import Tokenizer
 
+from test_small import groups_of, slow_print
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 sha = lambda b: hashlib.sha256(b).hexdigest()
 held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
@@ -45,6 +47,33 @@ def test_op1(spark, texts):
         assert r["decoded_sha256"] == sha(lib.decode(ids, skip_special_tokens=False).encode())
 
 
+def test_op2(spark, texts, con):
+    """Every window of every text against every item, in plain Python."""
+    items = [(i, words_of(t)) for i, t in con.execute("select item_id, text from benchmark").fetchall()]
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = set()
+    for d, t in texts.items():
+        w = words_of(t)
+        here = set(grams(w))
+        for i, v in items:
+            own, n = grams(v), len(v) - 4
+            if not here & set(own):  # no shingle in common, no similarity
+                continue
+            for s in range(max(1, len(w) - len(v) + 1)):
+                window = grams(w[s : s + len(v)])
+                shared = sum((window & own).values())
+                if shared >= 0.8 * (sum(window.values()) + n - shared):
+                    want.add((d, i))
+    assert want and {(r["doc_id"], r["item_id"]) for r in rows(spark, "op2_decontamination")} == want
+
+
+def test_op4(spark, texts):
+    got = {r["doc_id"]: r for r in rows(spark, "op4_simhash")}
+    prints = {i: slow_print(t) for i, t in texts.items()}
+    root = groups_of([(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 2], prints)
+    assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{x:016x}", root[i]) for i, x in prints.items()}
+
+
 def test_op3(spark, con):
     turns = defaultdict(list)
     for c, _, role, text in con.execute("select * from conversations order by conv_id, turn").fetchall():
@@ -172,13 +201,17 @@ def test_pipeline(spark, con):
 def test_pipeline_stages_with_odd_rows(spark):
     words = " ".join(f"word{i}" for i in range(100))
     rows = [(1, words), (1, words), (None, words), (None, "no id but text of its own here"), (2, "one text of two under this id"), (2, "the other text that id two has"), (3, None), (4, "")]
-    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, sha int")
+    names = "sha _key _score _bad _gone n_lines n_removed"
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 9 - k, *range(6)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in names.split()))
     got = corpus_pipeline.drop_near_copies(spark, df, SF)
     assert got.columns == df.columns
-    # rows of one id are one document: of its two texts the one with the smaller hash stays
-    two = min(rows[4:6], key=lambda r: sha(r[1].encode()))
-    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(1, words), rows[3], two, (3, None)], key=repr)
-    kept = corpus_pipeline.drop_contaminated(spark, df, SF)
-    assert kept.count() == df.count() and kept.columns == df.columns
+    # unlike texts are documents each, though they share an id; of the repeated row, the one whose other columns come first
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(1, words), rows[3], rows[4], rows[5], (3, None)], key=repr)
+    assert [r["sha"] for r in got.filter("doc_id = 1").collect()] == [8]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, df, SF)
+        assert kept.columns == df.columns
+        assert {tuple(r)[6:] for r in kept.collect()} <= {tuple(range(6))}
+    assert corpus_pipeline.drop_contaminated(spark, df, SF).count() == df.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), SF).count() == 0
