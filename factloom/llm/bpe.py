@@ -102,6 +102,8 @@ class Bpe:
         pre = j["pre_tokenizer"]
         split = next((p for p in pre.get("pretokenizers", []) if p["type"] == "Split"), None)
         self.pattern = regex.compile(split["pattern"]["Regex"]) if split else regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        #: Whether any word of letters alone is one piece of the pattern.
+        self.words_of_letters = all(self.pattern.findall(w) == [w] for w in ("s", "re", "llama", "Tve", "été", "ЖЗ", "日本語", "aʰ")) and regex.search(r"\\p\{L\}\]?\+", self.pattern.pattern) is not None
         self.joined_bytes = (j.get("decoder") or {}).get("type") == "ByteLevel"
         self.of_byte = byte_chars()
         self.to_byte = {c: b for b, c in self.of_byte.items()}
@@ -157,7 +159,8 @@ class Bpe:
 
     def encode_word(self, word: str) -> bytes:
         """Ids, as bytes, of one piece that the splitting pattern gave."""
-        sym = "".join(map(self.of_byte.__getitem__, word.encode("utf-8", "replace")))
+        # ASCII letters and digits stand for themselves
+        sym = word if word.isascii() and word.isalnum() else "".join(map(self.of_byte.__getitem__, word.encode("utf-8", "replace")))
         if not sym:
             return b""
         if self.suffix:
@@ -170,8 +173,12 @@ class Bpe:
                 state = link[state]
                 run = length[state]
             state, run = to, run + 1
-            for t, n in ends[state] if state in ends else sam.ends(state):
-                if n <= run and (n == i or (ok if (ok := fits.get((last[i - n - 1], t))) is not None else follows(last[i - n - 1], t))):
+            for t, n in whole if (whole := ends.get(state)) is not None else sam.ends(state):
+                if n <= run:
+                    if n != i:
+                        before = last[i - n - 1]
+                        if not (ok if (ok := fits.get((before, t))) is not None else follows(before, t)):
+                            continue
                     last.append(t)
                     back.append(i - n)
                     break
@@ -194,10 +201,13 @@ class Bpe:
             return b""
         if "NFC" in self.kinds and not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        if "Replace" in self.kinds:
+        letters = self.words_of_letters and text.isalpha()
+        if "Replace" in self.kinds and not letters:
             text = _SPACE.sub(" ", text)
         if "Lowercase" in self.kinds:
-            text = text.replace("Σ", "σ").lower()
+            text = text.lower() if text.isascii() else text.replace("Σ", "σ").lower()
+        if letters and text.isalpha():
+            return self.known[text]  # the pattern leaves a word of letters whole
         return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str | None) -> np.ndarray:

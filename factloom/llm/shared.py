@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +54,13 @@ _models: dict[tuple[str, str], object] = {}
 
 
 def once(kind: str, key: str, build):
-    """A worker process keeps one built object, the one that was asked for last: workers live on from stage to stage."""
+    """A worker process keeps one built object, the one that was asked for last: workers live on from stage to stage.
+
+    Models hold references to themselves, so what was kept before is collected at once, not some time later.
+    """
     if (kind, key) not in _models:
         _models.clear()
+        gc.collect()
         _models[kind, key] = build()
     return _models[kind, key]
 
