@@ -62,9 +62,9 @@ def keyword_scores(claims: DataFrame, catalog: DataFrame, synonyms: DataFrame, c
     weight = F.when(direct, 1.0).when(F.coalesce(F.array_contains("terms", F.col("kw")), F.lit(False)), 0.5).when(stem_match(norm, F.col("n")) & ~false_friend_only(norm, F.col("n"), compounds or {}), 1.0)
     # what a keyword begins with stands wherever the keyword or its stem does; synonyms name keywords that may not stand there
     kinds = words.select("kw").distinct().withColumn("stem", F.left(norm, F.lit(5)))
-    spelled = containing(texts.select("t", "n"), "n", kinds, "stem").select("t", "kw")
-    meant = texts.select("t", F.explode("terms").alias("kw")).join(kinds.select("kw"), "kw").select("t", "kw")
-    hits = spelled.unionByName(meant).distinct().join(texts, "t").filter(weight.isNotNull()).select("t", "kw", weight.alias("w"))
+    spelled = containing(texts, "n", kinds, "stem").select("t", "kw", weight.alias("w"))
+    meant = texts.withColumn("kw", F.explode("terms")).join(kinds.select("kw"), "kw").select("t", "kw", weight.alias("w"))
+    hits = spelled.unionByName(meant).filter("w is not null").distinct()
     by_word = hits.join(words, "kw").select("t", "table_id", "w")
     heads = catalog.select("table_id", F.substring("title", 1, 6).alias("head")).filter("head != ''")
     by_title = containing(texts.select("t"), "t", heads.select("head").distinct(), "head").join(heads, "head").select("t", "table_id", F.lit(1.0).alias("w"))
