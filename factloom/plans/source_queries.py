@@ -108,6 +108,7 @@ def s9w(spark, d):
 def s10(spark, d):
     # the place of each row in the output as it comes: the rows of all partitions before its own, and its place there
     r = s.read_all(table(spark, d, "records").select("result_id", "verdict"), "result_id").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    r = spark.read.parquet(_staged(r, "in-order", "parquet"))  # places are read off one run of the sort
     before = r.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return r.join(before, "part").select("result_id", "verdict", (F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("at"))).alias("n"))
 
