@@ -110,9 +110,10 @@ class Bpe:
         self.by_latin = {b: c for b, c in self.of_byte.items()}
         self._merge_order(merges)
         self.automaton = SuffixAutomaton({self.symbols[t]: t for t in self.symbols if self._whole(t)})
+        del self.vocab, self.symbols  # only the tables built from them are needed
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known = Recent(self.encode_word)
-        self.chunks = Recent(self._chunk)
+        #: Ids of pieces between white space and of the words within them, together.
+        self.chunks = Recent(self._chunk, 120_000)
 
     def _mark(self, c: str) -> str:
         """The symbol of a character that ends a word."""
@@ -201,14 +202,15 @@ class Bpe:
             return b""
         if "NFC" in self.kinds and not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        letters = self.words_of_letters and text.isalpha()
+        given, letters = text, self.words_of_letters and text.isalpha()
         if "Replace" in self.kinds and not letters:
             text = _SPACE.sub(" ", text)
         if "Lowercase" in self.kinds:
             text = text.lower() if text.isascii() else text.replace("Σ", "σ").lower()
-        if letters and text.isalpha():
-            return self.known[text]  # the pattern leaves a word of letters whole
-        return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
+        words = [text] if letters and text.isalpha() else self.pattern.findall(text)  # a word of letters stays whole
+        if words == [given]:
+            return self.encode_word(given)
+        return b"".join(map(self.chunks.__getitem__, words))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit numbers."""
