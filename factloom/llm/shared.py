@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
@@ -56,11 +57,14 @@ _models: dict[tuple[str, str], object] = {}
 def once(kind: str, key: str, build):
     """A worker process keeps one built object, the one that was asked for last: workers live on from stage to stage.
 
-    Models hold references to themselves, so what was kept before is collected at once, not some time later.
+    Models hold references to themselves, so what was kept before is collected at once, not some time later, and handed back
+    to the system where the C library can.
     """
     if (kind, key) not in _models:
         _models.clear()
         gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
         _models[kind, key] = build()
     return _models[kind, key]
 
@@ -94,7 +98,7 @@ class WordRows(dict):
     Bounded: forgets all when `limit` words or `chars` characters are held; one text's words are always held together.
     """
 
-    def __init__(self, make, width: int, dtype, limit: int = 150_000, chars: int = 4_000_000):
+    def __init__(self, make, width: int, dtype, limit: int = 80_000, chars: int = 3_000_000):
         super().__init__()
         self.make, self.limit, self.chars, self.held, self.new = make, limit, chars, 0, []
         self.rows = np.zeros((4096, width), dtype)
