@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, lines, media, quality, sharding, simhash, token_files
+from . import bpe, chat, clusters, decontaminate, langid, lines, media, packing, quality, sharding, simhash, token_files, variants
 
 
 #: Where the tokenizer files of the queries lie.
@@ -104,6 +104,75 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_chat, op4_simhash, op5_media, op6_token_files, op7_quality, op8_line_dedup, op9_langid, op10_sharding)}
-ORACLE_SQL = {"op8_line_dedup": OP8_SQL}
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.with_inertia(*clusters.kmeans(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10))
+
+
+def op11_sql(rounds: int = 10) -> str:
+    """The same rounds one after the other: distances by component, the smallest number of ties, floor of exact means."""
+    steps = [
+        """with v as materialized (
+  select vec_id, i, floor(1024 * embedding[i]::double)::bigint as x from embeddings, (select unnest(range(1, 65)) as i) where len(embedding) = 64 and list_bool_and(list_transform(embedding, lambda c: c is not null and isfinite(c)))
+), seeds as (
+  select vec_id, row_number() over (order by sha256('3:' || vec_id)) - 1 as k from (select distinct vec_id from v) order by k limit 8
+), c0 as materialized (select k::int as k, i, x from seeds join v using (vec_id))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""d{r} as (select vec_id, k, sum((v.x - c.x) * (v.x - c.x))::bigint as d from v join c{r} c using (i) group by vec_id, k
+), a{r} as materialized (select vec_id, k, d from d{r} qualify row_number() over (partition by vec_id order by d, k) = 1)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""m{r} as (select k, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::bigint as x from v join a{r} using (vec_id) group by k, i
+), c{r + 1} as materialized (select c.k, c.i, coalesce(m.x, c.x) as x from c{r} c left join m{r} m on c.k = m.k and c.i = m.i)"""
+            )
+    return (
+        ",\n".join(steps)
+        + f""", sha as (select k, sha256(string_agg(x::varchar, ',' order by i)) as s from c{rounds} group by k)
+select vec_id, a.k as cluster, d as distance, (sum(d) over (partition by a.k))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, s as centroid_sha256 from a{rounds} a join sha on a.k = sha.k
+"""
+    )
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048, end_id=1)
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), least_letters=7, least_rows=2, noise=31)
+
+
+# crc32 by its table, built from the polynomial; near words share what is left when each loses a letter
+OP13_SQL = """
+with recursive t as (
+  select n, 0 as bit, n::bigint as c from (select unnest(range(256)) as n)
+  union all select n, bit + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from t where bit < 8
+), crc as (select list(c order by n) as t from t where bit = 8
+), r as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r from documents
+), d as (
+  select r, flatten(list_transform(string_split(doc_id || ':' || r, ''), lambda c: case when ord(c) < 128 then [ord(c)::bigint] else [195, ord(c) - 64] end)) as b from r
+), h as (
+  select r, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1])), 4294967295) as h from d, crc
+), w as materialized (
+  select word, count(*) as n from (select case when h % 31 = 0 then substr(r, 1, (h % length(r))::int) || substr(r, (h % length(r))::int + 2) else r end as word from h) where length(word) >= 7 group by word having count(*) >= 2
+), cut as materialized (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from w)
+), pairs as materialized (
+  select a.word, a.n, b.word as other, b.n as m from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a.word, a.n, w.word, w.n from cut a join w on a.rest = w.word
+  union select w.word, w.n, a.word, a.n from cut a join w on a.rest = w.word
+), near as materialized (
+  select word, n, count(*) as n_near, first(other order by m desc, other) as best, max(m) as m from pairs group by word, n
+), form as materialized (select word, best as form, m from near where m >= 10 * n
+), walk as (
+  select word, form as last_form, 1 as step from form union all select walk.word, form.form, step + 1 from walk join form on walk.last_form = form.word
+), roots as (select word, last(last_form order by step) as root from walk group by word)
+select w.word, form.form, coalesce(roots.root, w.word) as root, w.n, coalesce(near.n_near, 0) as n_near, form.m as form_n
+from w left join near on w.word = near.word left join form on w.word = form.word left join roots on w.word = roots.word
+"""
+
 
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_chat, op4_simhash, op5_media, op6_token_files, op7_quality, op8_line_dedup, op9_langid, op10_sharding, op11_clusters, op12_packing, op13_variants)}
+ORACLE_SQL = {"op8_line_dedup": OP8_SQL, "op11_clusters": op11_sql(), "op13_variants": OP13_SQL}

@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-import unicodedata
 import zlib
 
 import numpy as np
@@ -26,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import byte_chars
-from .shared import cut, hash_spans, once, ready, shared_dir
+from .piece_encoder import BatchEncoder
+from .shared import cut, once, ready, shared_dir
 
 MAGIC = b"FLTOK01\n"
 BLOCK = 65_536  # ids of a block
@@ -134,177 +133,6 @@ class TokenReader:
             yield doc_id, pieces
 
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... for lengths[0] numbers, then the same from starts[1], and so on."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
-def _classes() -> np.ndarray:
-    """For each code point, and one past them that stands between texts, what it is to the splitting pattern."""
-    kinds = np.full(0x110001, VISIBLE, np.uint8)
-    for i in range(0x3100):
-        c = chr(i)
-        if c == " " or c == "\n":
-            kinds[i] = SPACE if c == " " else NEWLINE
-        elif c.isspace() or c == "'" or unicodedata.category(c) in ("Cc", "Cf"):
-            kinds[i] = VISIBLE if c == "'" else OTHER
-        elif i < 0x250:
-            kinds[i] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], SIGN)
-    kinds[EDGE] = OTHER
-    return kinds
-
-
-#: Kinds of characters: the apostrophe and what lies beyond Latin are just visible; odd white space and controls are other.
-OTHER, SPACE, NEWLINE, VISIBLE, LETTER, NUMBER, SIGN = range(7)
-EDGE = 0x110000
-
-
-class BatchEncoder:
-    """The tokenizers library over whole texts, called once for the distinct pieces that are new in a batch.
-
-    Byte-level splitting always begins a piece at a single space between two visible characters, at and after a single
-    newline between two, and where letters, numbers and signs of Latin text meet (but at apostrophes, which may begin a
-    contraction). Texts are cut there and nowhere else, so the ids of a text are those of its pieces in turn. New pieces are
-    joined by such spaces or newlines, encoded by the library in one call, and told apart by the tokens that begin with a
-    space or are the newline's. Known pieces are found by a 64-bit hash in arrays; those not used for long are forgotten.
-    """
-
-    #: Pieces and ids that are remembered, and characters that are cut at a time (a longer text is taken whole).
-    PIECES, IDS, CHUNK = 2_000_000, 12_000_000, 1 << 18
-
-    def __init__(self, spec: bytes):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_str(spec.decode())
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        j, vocab = json.loads(spec), self.whole.get_vocab()
-        self.cuts = j["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not j["normalizer"]
-        self.size = self.whole.get_vocab_size()
-        self.special = [t["content"] for t in j["added_tokens"]]
-        space, newline = byte_chars()[32], byte_chars()[10]
-        self.spaced, self.newline = np.zeros(max(vocab.values()) + 1, bool), vocab.get(newline)
-        self.spaced[[i for t, i in vocab.items() if t.startswith(space)]] = True
-        self.kinds = _classes()
-        self.turn = 0
-        self.keys, self.at, self.n, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, "<u4")
-
-    def _library(self, text: str) -> np.ndarray:
-        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _cut(self, codes: np.ndarray) -> np.ndarray:
-        """Where pieces begin. EDGE stands before, between and behind texts, and is a piece of its own."""
-        kind = self.kinds[codes]
-        seen = kind >= VISIBLE
-        begins = np.zeros(len(codes), bool)
-        before, here, after = kind[:-2], kind[1:-1], kind[2:]
-        lone = seen[:-2] & seen[2:]
-        begins[1:-1] = lone & ((here == SPACE) | (here == NEWLINE))
-        begins[2:] |= lone & (here == NEWLINE)
-        begins[1:] |= (kind[:-1] >= LETTER) & (kind[1:] >= LETTER) & (kind[:-1] != kind[1:])
-        edge = codes == EDGE
-        begins |= edge
-        begins[1:] |= edge[:-1]
-        return np.flatnonzero(begins)
-
-    def _learn(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, where each piece's begin, how many) of pieces, by the library."""
-        kind = self.kinds[codes]
-        blank = np.concatenate(([0], np.cumsum((kind == SPACE) | (kind == NEWLINE) | (kind == OTHER))))
-        led = kind[starts] == SPACE
-        blanks = blank[starts + lengths] - blank[starts]
-        groups = [np.flatnonzero(led & (blanks == 1) & (lengths > 1)), np.flatnonzero(~led & (blanks == 0))]
-        parts, at, n = [], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        have = 0
-        for g, joined in zip(groups, (True, False)):
-            if not len(g):
-                continue
-            if joined:
-                text = codes[spread(starts[g], lengths[g])]
-            else:  # with a newline before each
-                where = np.cumsum(lengths[g] + 1) - lengths[g] - 1
-                text = np.full(where[-1] + lengths[g][-1] + 1, 10, "<u4")
-                text[spread(where + 1, lengths[g])] = codes[spread(starts[g], lengths[g])]
-            ids = self._library(text.astype("<u4").tobytes().decode("utf-32-le"))
-            first = np.flatnonzero(self.spaced[ids] if joined else ids == self.newline)
-            if len(first) != len(g):
-                raise RuntimeError("pieces and their tokens do not agree")
-            at[g], n[g] = have + first + (not joined), np.diff(np.append(first, len(ids))) - (not joined)
-            parts.append(ids)
-            have += len(ids)
-        alone = np.ones(len(starts), bool)
-        alone[np.concatenate(groups)] = False
-        for i in np.flatnonzero(alone):
-            ids = self._library(codes[starts[i] : starts[i] + lengths[i]].astype("<u4").tobytes().decode("utf-32-le"))
-            at[i], n[i] = have, len(ids)
-            parts.append(ids)
-            have += len(ids)
-        return np.concatenate(parts), at, n
-
-    def _encode(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in turn, and how many there are by EDGE that ends a text."""
-        starts = self._cut(codes)
-        lengths = np.diff(np.append(starts, len(codes)))
-        ends = codes[starts] == EDGE
-        keys = hash_spans(codes, starts, starts + lengths)
-        found, first, of = np.unique(keys[~ends], return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.keys, found), max(0, len(self.keys) - 1))
-        new = self.keys[place] != found if len(self.keys) else np.ones(len(found), bool)
-        if new.any():
-            own = np.flatnonzero(~ends)[first[new]]
-            ids, at, n = self._learn(codes, starts[own], lengths[own])
-            spot = np.searchsorted(self.keys, found[new])
-            self.keys, self.at, self.n, self.used = (np.insert(x, spot, y) for x, y in ((self.keys, found[new]), (self.at, at + len(self.ids)), (self.n, n), (self.used, self.turn)))
-            self.ids = np.concatenate((self.ids, ids))
-            place = np.searchsorted(self.keys, found)
-        self.used[place] = self.turn
-        each = np.zeros(len(starts), np.int64)
-        each[~ends] = self.n[place][of]
-        out = self.ids[spread(self.at[place][of], each[~ends])]
-        total = np.cumsum(each)[ends]
-        self._forget()
-        return out, np.diff(total)
-
-    def _forget(self) -> None:
-        """Keep the half that was used last, once there are too many."""
-        self.turn += 1
-        if len(self.keys) > self.PIECES or len(self.ids) > self.IDS:
-            keep = self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
-            if keep.all():
-                keep[:] = False
-            self.keys, self.at, self.n, self.used = self.keys[keep], self.at[keep], self.n[keep], self.used[keep]
-            self.ids = self.ids[spread(self.at, self.n)]
-            self.at = np.cumsum(self.n) - self.n
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        out = [np.zeros(0, "<u4") for _ in texts]
-        some, held = [], 0
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self.cuts or any(x in t for x in self.special):
-                out[i] = self._library(t)
-                continue
-            if some and held + len(t) > self.CHUNK:
-                self._fill(texts, some, out)
-                some, held = [], 0
-            some.append(i)
-            held += len(t)
-        if some:
-            self._fill(texts, some, out)
-        return out
-
-    def _fill(self, texts: list[str], some: list[int], out: list[np.ndarray]) -> None:
-        edge = np.array([EDGE], "<u4")
-        codes = np.concatenate([edge, *(x for i in some for x in (np.frombuffer(texts[i].encode("utf-32-le"), "<u4"), edge))])
-        ids, counts = self._encode(codes)
-        for i, part in zip(some, np.split(ids, np.cumsum(counts)[:-1])):
-            out[i] = part
-
-
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, bits: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode docs and write token files in ascending doc_id order; the manifest: (part, path, n_docs, n_tokens, n_bytes).
 
