@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .shared import Recent, once, ready
 
+#: Pairs of tokens that a worker remembers, some 120 bytes each.
+PAIRS = 400_000
 #: Separators that str.split() takes but the tokenizers' white space class does not.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"[\t-\r \x85   -     　]+")
@@ -111,7 +113,9 @@ class Bpe:
         self._merge_order(merges)
         self.automaton = SuffixAutomaton({self.symbols[t]: t for t in self.symbols if self._whole(t)})
         del self.vocab, self.symbols  # only the tables built from them are needed
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: By pair of tokens, as one number, whether they stay apart.
+        self.fits: dict[int, bool] = {}
+        self.tokens = max(self.string) + 1
         #: Ids of pieces between white space and of the words within them, together.
         self.chunks = Recent(self._chunk, 120_000)
 
@@ -152,10 +156,10 @@ class Bpe:
         return self.rank[t] < 0 or self._apart(self.left[t], self.right[t], self.rank[t], False)
 
     def _follows(self, a: int, b: int) -> bool:
-        if (ok := self.fits.get((a, b))) is None:
-            if len(self.fits) > 2_000_000:
+        if (ok := self.fits.get(a * self.tokens + b)) is None:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
-            ok = self.fits[a, b] = self._apart(a, b, 1 << 40, False)
+            ok = self.fits[a * self.tokens + b] = self._apart(a, b, 1 << 40, False)
         return ok
 
     def encode_word(self, word: str) -> bytes:
@@ -166,7 +170,7 @@ class Bpe:
             return b""
         if self.suffix:
             sym = sym[:-1] + self._mark(sym[-1])
-        sam, fits, follows = self.automaton, self.fits, self._follows
+        sam, fits, follows, tokens = self.automaton, self.fits, self._follows, self.tokens
         nexts, link, length, ends = sam.next, sam.link, sam.len, sam._ends
         last, back, state, run = [], [], 0, 0
         for i, c in enumerate(sym, 1):
@@ -178,7 +182,7 @@ class Bpe:
                 if n <= run:
                     if n != i:
                         before = last[i - n - 1]
-                        if not (ok if (ok := fits.get((before, t))) is not None else follows(before, t)):
+                        if not (ok if (ok := fits.get(before * tokens + t)) is not None else follows(before, t)):
                             continue
                     last.append(t)
                     back.append(i - n)

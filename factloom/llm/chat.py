@@ -6,7 +6,8 @@ canonical turns (role, text). A template then marks the turns; control strings i
 the text comes back exactly; a run-length mask tells which characters of the output are trained on.
 
 Rules for input: null roles and texts are empty; turns go by turn number, nulls first, then role, then text; repeated rows
-are repeated turns; a conversation of any length becomes one row; an unknown layout keeps its record, with null turns; an
+are repeated turns; a conversation of any length becomes one row; an unknown layout keeps its record, with null turns (`op3_chat` makes it one
+turn of the role `error`); an
 empty table gives an empty one; other columns are ignored.
 """
 
@@ -93,12 +94,24 @@ def fingerprint(paths: list[str]) -> str:
 _PIECES = r"`(?:[^`]|``)*`: |\w+: |OBJECT<|ARRAY<|>|, |[A-Z]+(?:\([0-9,]+\))?"
 
 
+#: Characters of a record above which its strings are cut to KEPT before its paths are listed: parsing into a variant takes
+#: strings of up to 20 million characters only, and paths don't need them.
+LONG, KEPT = 1_000_000, 40
+_STRING = rf"""(?s)("(?:[^"\\]|\\u[dD][89abAB]..\\u....|\\u....|\\.){{0,{KEPT}}}+)(?:[^"\\]++|\\.)*+\""""
+
+
+def outline(record: Column) -> Column:
+    """A long record with all its strings cut to a few characters; other records as they are."""
+    return F.when(F.length(record) > LONG, F.regexp_replace(record, _STRING, '$1"')).otherwise(record)
+
+
 def json_paths(record: Column) -> Column:
     """The same paths of one JSON record: a fold over the pieces of its schema text, with a stack of open objects and lists.
 
-    An empty list is the path of its elements, an empty object none; null or broken JSON gives no paths.
+    An empty list is the path of its elements, an empty object none; null or broken JSON gives no paths, as does a record
+    whose outline passes the size of a variant, 16 MB (some 200,000 turns in one record).
     """
-    pieces = F.regexp_extract_all(F.schema_of_variant(F.try_parse_json(record)), F.lit(_PIECES), F.lit(0))
+    pieces = F.regexp_extract_all(F.schema_of_variant(F.try_parse_json(outline(record))), F.lit(_PIECES), F.lit(0))
     text = F.lit("").cast("string")
     start = F.struct(F.array().cast("array<string>").alias("open"), text.alias("at"), F.array().cast("array<string>").alias("paths"))
 
@@ -192,5 +205,5 @@ def canonical_turns(records: DataFrame, record_col: str = "record", layouts: lis
     # the paths are worked out once for each record
     out = records.withColumn("layout", F.get(F.transform(F.array(json_paths(F.col(record_col))), marks), 0))
     quoted = "`" + record_col.replace("`", "``") + "`"
-    cases = " ".join(f"when '{fingerprint(paths)}' then element_at(transform(array(from_json({quoted}, '{_record_type(paths).simpleString()}')), r -> cast({how} as array<{TURN}>)), 1)" for paths, how in layouts)
+    cases = " ".join(f"when '{fingerprint(paths)}' then element_at(transform(array(from_json({quoted}, '{_record_type(paths).simpleString()}', map('maxStringLen', '2147483647'))), r -> cast({how} as array<{TURN}>)), 1)" for paths, how in layouts)
     return out.withColumn("turns", F.expr(f"case layout {cases} end"))

@@ -136,12 +136,12 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
 class Labeller:
     def __init__(self, model: dict):
         self.m, self.n = model, len(model["langs"])
-        self.words = WordRows(self._rows, self.n + 1, np.float32)
+        self.words = WordRows(self._rows, self.n + 2, np.float32)
         self.allowed = np.array([[n in s for s in model["scripts"]] for n in _NAMES], bool).reshape(len(_NAMES), self.n)
 
     def _rows(self, pieces: list[str]) -> np.ndarray:
-        """Log-posteriors of the candidate languages, floored, and the number of letters."""
-        out = np.zeros((len(pieces), self.n + 1), np.float32)
+        """Log-posteriors of the candidate languages, floored; the number of letters, and again if there is a candidate."""
+        out = np.zeros((len(pieces), self.n + 2), np.float32)
         words = [letters_of(p) for p in pieces]
         at = np.array([i for i, w in enumerate(words) if w], np.int64)
         if len(at):
@@ -152,27 +152,28 @@ class Labeller:
             s = np.where(can, np.add.reduceat(self.m["logs"][ids], starts, axis=0), -np.inf)
             any_can = can.any(axis=1)
             s, at = s[any_can], at[any_can]
+            out[at, self.n + 1] = out[at, self.n]
             s = s - s.max(axis=1, initial=-np.inf, keepdims=True)
             out[at, : self.n] = np.maximum(s - np.log(np.exp(s).sum(axis=1, keepdims=True)), FLOOR)
         return out
 
     def label(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-        """(pieces of each text, labels and letters of all pieces in turn, number of pieces by text)."""
+        """(pieces of each text; labels, and letters in all and of words with a candidate, of all pieces in turn; pieces by text)."""
         pieces = [t.split() for t in texts]
         lengths = np.array([len(p) for p in pieces], np.int64)
-        rows = np.zeros((int(lengths.sum()), self.n + 1), np.float32)
+        rows = np.zeros((int(lengths.sum()), self.n + 2), np.float32)
         for p, end in zip(pieces, np.cumsum(lengths).tolist()):
             at = self.words.look_up(p)  # may enlarge self.words.rows
             rows[end - len(p) : end] = self.words.rows[at]
-        return pieces, viterbi(rows[:, : self.n], lengths, SWITCH), rows[:, self.n], lengths
+        return pieces, viterbi(rows[:, : self.n], lengths, SWITCH), rows[:, self.n :], lengths
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if not self.n:
             return ["und"] * len(texts), np.zeros(len(texts))
         _, labels, letters, lengths = self.label(texts)
         of = np.repeat(np.arange(len(texts)), lengths)
-        by = np.bincount(of * self.n + labels, letters, len(texts) * self.n).reshape(len(texts), self.n)
-        total = by.sum(axis=1)
+        by = np.bincount(of * self.n + labels, letters[:, 1], len(texts) * self.n).reshape(len(texts), self.n)
+        total = np.bincount(of, letters[:, 0], len(texts))
         best = by.argmax(axis=1)
         share = np.divide(by[np.arange(len(texts)), best], total, out=np.zeros(len(texts)), where=total > 0)
         return [self.m["langs"][b] if t > 0 else "und" for b, t in zip(best, total)], share
@@ -186,7 +187,7 @@ class Labeller:
         for n in lengths:
             mine = labels[at : at + n]
             cuts = np.flatnonzero(np.diff(mine.astype(np.int64))) + 1
-            edges = [0, *cuts.tolist(), int(n)] if n and letters[at : at + n].any() else []
+            edges = [0, *cuts.tolist(), int(n)] if n and letters[at : at + n, 0].any() else []
             out.append([{"lang": self.m["langs"][mine[a]], "first": a, "pieces": b - a} for a, b in zip(edges, edges[1:])])
             at += n
         return out
@@ -201,7 +202,8 @@ def _shipped(docs: DataFrame, model: dict):
 
 
 def language_column(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
-    """A column struct(lang string, score double) for each whole text; the score is the winner's share of the letters."""
+    """A column struct(lang string, score double) for each whole text; the score is the winner's share of all letters, 0 in scripts
+    of no learned language."""
     labeller = _shipped(docs, model)
 
     @F.pandas_udf("lang string, score double")

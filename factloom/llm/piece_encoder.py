@@ -62,6 +62,9 @@ class Growing:
         self.room[self.n : self.n + len(x)] = x
         self.n += len(x)
 
+    def __len__(self) -> int:
+        return self.n
+
     def held(self) -> np.ndarray:
         return self.room[: self.n]
 

@@ -1,7 +1,7 @@
 """A supervised quality classifier: hashed vectors of words and their character n-grams, averaged over a document, softmax.
 
-Every word adds its own vector and those of its character n-grams, every two words in a row that of their pair. A pair's
-bucket is the exclusive or of its words' buckets, so all immediate repeats share one. The vectors, like the output weights,
+Every word adds its own vector and those of its character n-grams, every two words in a row that of their pair, hashed in
+their order like any other n-gram. The vectors, like the output weights,
 are learned by stochastic gradient descent in numpy on a bounded sample of labelled rows, in one task; scoring covers every
 whole text. A worker looks a word up once and then adds its summed row. The task's memory goes by the distinct features of
 its rows: texts are turned into features one at a time, but as rows they are held together, SAMPLE_ROWS whole texts.
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordRows, once, ready, word_grams
+from .shared import WordRows, mix64, once, ready, word_grams
 
 BUCKETS, WIDTH = 1 << 16, 8
 #: Labelled rows that the classifier learns from at most; the choice goes by a hash of the id.
@@ -39,16 +39,19 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     ids, starts = features_of(list(kinds))
     w = np.bincount(ids, np.repeat(np.bincount(of), np.diff(np.append(starts, len(ids)))), BUCKETS)
     own = ids[starts][of]
-    w += np.bincount(own[1:] ^ own[:-1], minlength=BUCKETS)
+    w += np.bincount(pairs_of(own), minlength=BUCKETS)
     ids = np.flatnonzero(w)
     return ids.astype(np.int32), (w[ids] / w[ids].sum()).astype(np.float32)
 
 
 def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets, from 1 on, of the words and of their character 3- and 4-grams, upper and lower case apart; where each word's
-    begin, its own first. Bucket 0 is left to pairs of equal words."""
-    ids, starts = word_grams(words, (3, 4), BUCKETS - 1)
-    return ids + 1, starts
+    """Buckets of the words and of their character 3- and 4-grams, upper and lower case apart; where each word's begin, its own first."""
+    return word_grams(words, (3, 4), BUCKETS)
+
+
+def pairs_of(own: np.ndarray) -> np.ndarray:
+    """Buckets of the ordered pairs of words next to each other, from the words' own buckets."""
+    return (mix64(own[:-1].astype(np.uint64) * np.uint64(BUCKETS) + own[1:].astype(np.uint64) + np.uint64(2 << 56)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 1) -> dict:
@@ -120,7 +123,7 @@ class Scorer:
             at = self.words.look_up(words)
             rows = self.words.rows[at]
             own = rows[:, WIDTH + 1].astype(np.int64)
-            pairs = own[1:] ^ own[:-1]
+            pairs = pairs_of(own)
             s = rows.sum(axis=0, dtype=np.float64)
             x = (s[:WIDTH] + self.m["vectors"][pairs].sum(axis=0, dtype=np.float64)) / (s[WIDTH] + len(pairs))
         z = x @ self.m["out"] + self.m["bias"]

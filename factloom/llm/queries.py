@@ -45,7 +45,8 @@ def op3_records(rows: DataFrame) -> DataFrame:
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = chat.canonical_turns(op3_records(chat.canonical_rows(table(spark, sf_dir, "conversations"))))
-    turns = records.select("conv_id", "turn", F.posexplode("turns").alias("pos", "said")).select("conv_id", (F.col("turn") + F.col("pos")).alias("turn"), "said.role", "said.text")
+    unread = F.array(F.struct(F.lit("error").alias("role"), F.coalesce("record", F.lit("")).alias("text")))  # nothing is left out
+    turns = records.select("conv_id", "turn", F.posexplode(F.coalesce("turns", unread)).alias("pos", "said")).select("conv_id", (F.col("turn") + F.col("pos")).alias("turn"), "said.role", "said.text")
     out = chat.format_turns(turns).withColumn("turns", chat.read_back(F.col("formatted")))
     loss = chat.trained_text(F.col("turns"), F.col("mask"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")

@@ -169,6 +169,10 @@ def word_grams(words: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: A prime, two bases, and by base the powers of it and of its inverse.
+_PRIME = (1 << 31) - 1
+_PRIME_BASES = (1_103_515_249, 1_812_433_279)
+_PRIME_POWERS = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _PRIME_BASES]
 _WORD_CHARS: list[np.ndarray] = []
 
 
@@ -180,10 +184,29 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, or a little above it: the high bits count once more, as 2**31 leaves 1."""
+    return (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(_fold(x)))
+    return x - (x >= np.uint64(_PRIME)) * np.uint64(_PRIME)
+
+
+def _prime_powers(k: int, n: int) -> list[np.ndarray]:
+    held = _PRIME_POWERS[k]
+    for i, b in enumerate((_PRIME_BASES[k], pow(_PRIME_BASES[k], -1, _PRIME))):
+        while len(held[i]) < n:
+            held[i] = np.concatenate((held[i], _reduced(held[i] * np.uint64(pow(b, len(held[i]), _PRIME)))))
+    return [held[0][:n], held[1][:n]]
+
+
 def word_hashes(text: str | None, stretch: int = 1 << 20) -> np.ndarray:
-    """64-bit hashes of the lower-cased words of a text in order; words are what the pattern \\w+ finds.
+    """62-bit hashes of the lower-cased words of a text in order; words are what the pattern \\w+ finds.
 
-    All characters are hashed together, as polynomials; a text of many characters in stretches that end between words.
+    All characters are hashed together, as polynomials over two fields, so that words which repeat in patterns don't fall
+    together as they do modulo a power of two; a text of many characters in stretches that end between words.
     """
     text = (text or "").lower()
     if not _WORD_CHARS:
@@ -193,20 +216,31 @@ def word_hashes(text: str | None, stretch: int = 1 << 20) -> np.ndarray:
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
     if len(codes) <= stretch:
-        return hash_spans(codes, starts, ends)
+        return field_hashes(codes, starts, ends)
     cuts = np.append(np.arange(0, len(codes), stretch), len(codes))
     at = np.searchsorted(starts, cuts)
-    return np.concatenate([hash_spans(codes[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in zip(at, at[1:]) if b > a] or [np.zeros(0, np.uint64)])
+    return np.concatenate([field_hashes(codes[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in zip(at, at[1:]) if b > a] or [np.zeros(0, np.uint64)])
 
 
 def hash_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of codes[start:end] for each span."""
+    """64-bit keys of codes[start:end] for each span. Unlike spans may share a key, patterned ones among them: compare spans."""
     up, down = _powers(len(codes) + 1)
     run = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=run[1:])
     return mix64((run[ends] - run[starts]) * down[starts])
 
 
+def field_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of codes[start:end] for each span: two polynomials modulo a prime, each of 31 bits, spread over 64."""
+    found = np.zeros(len(starts), np.uint64)
+    for k in range(len(_PRIME_BASES)):
+        up, down = _prime_powers(k, len(codes) + 1)
+        run = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(_fold((codes.astype(np.uint64) + np.uint64(1)) * up[:-1]), out=run[1:])
+        found = (found << np.uint64(31)) | _reduced(_reduced(run[ends] - run[starts]) * down[starts])
+    return mix64(found)
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k words in a row, repeats included; fewer than k words give none."""
     if len(words) < k:

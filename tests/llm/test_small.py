@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from factloom.llm import bpe, chat, components, decontaminate, langid, lines, media, quality, shared, sharding, simhash, token_files
+from factloom.llm import bpe, chat, clusters, components, decontaminate, langid, lines, media, packing, piece_encoder, quality, shared, sharding, simhash, token_files, variants
 from tokenizers import Tokenizer
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -492,32 +492,32 @@ def test_langid_predictions_are_those_of_a_plain_walk(monkeypatch):
     def word_scores(piece):
         w = "".join(c for c in piece if c.isalpha()).lower()
         if not w:
-            return np.zeros(len(langs)), 0
+            return np.zeros(len(langs)), 0, 0
         ids, _ = langid.grams_of([w])
         found = Counter(map(kind, w))
         script = min(found, key=lambda n: (-found[n], n))
         can = [script in used for used in model["scripts"]]
         if not any(can):
-            return np.zeros(len(langs)), len(w)
+            return np.zeros(len(langs)), len(w), 0
         total = np.where(can, model["logs"][ids].sum(axis=0, dtype=np.float64), -np.inf)
         total -= total.max()
-        return np.maximum(total - np.log(np.exp(total).sum()), langid.FLOOR), len(w)
+        return np.maximum(total - np.log(np.exp(total).sum()), langid.FLOOR), len(w), len(w)
 
     def plain(text):
         seen = [word_scores(p) for p in text.split()]
-        if not any(n for _, n in seen):
+        if not any(n for _, n, _ in seen):
             return "und", 0.0
         best, back = np.zeros(len(langs)), []
-        for t, (s, _) in enumerate(seen):
+        for t, (s, _, _) in enumerate(seen):
             step = best[:, None] - langid.SWITCH * (1 - np.eye(len(langs)))
             stay = best >= step.max(axis=0)  # on a tie no switch
             back.append(np.where(stay, np.arange(len(langs)), step.argmax(axis=0)))
             best = s + step.max(axis=0)
         label, letters = int(best.argmax()), np.zeros(len(langs))
-        for (_, n), b in zip(reversed(seen), reversed(back)):
+        for (_, _, n), b in zip(reversed(seen), reversed(back)):
             letters[label] += n
             label = int(b[label])
-        return langs[int(letters.argmax())], letters.max() / letters.sum()
+        return langs[int(letters.argmax())], letters.max() / sum(n for _, n, _ in seen)
 
     pool = [w for t in texts.values() for w in t.split()] + ["12", "--", "日本"]
     said = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for _ in range(150)] + [" ".join(t for t in texts.values())]
@@ -537,3 +537,219 @@ def test_langid_learns_from_texts_with_many_copies(spark):
 
 def test_digest_of_ids_is_little_endian():
     assert hashlib.sha256(np.array([1, 70000], "<u4").tobytes()).hexdigest() == hashlib.sha256(bytes([1, 0, 0, 0, 0x70, 0x11, 1, 0])).hexdigest()
+
+
+def thue_morse(k):
+    """Two words of 2**k letters, each the other with a and b exchanged; they share every polynomial hash modulo 2**64."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_patterned_words_are_told_apart(spark):
+    for k in (10, 11):
+        a, b = thue_morse(k)
+        keys = shared.hash_spans(np.frombuffer((a + b).encode(), np.uint8), np.array([0, len(a)]), np.array([len(a), 2 * len(a)]))
+        assert keys[0] == keys[1]
+        assert len(set(shared.word_hashes(f"{a} {b}").tolist())) == 2
+        df = docs(spark, [(1, a, "s"), (2, b, "s"), (3, a, "t")])
+        roots = {(r["doc_id"], r["root"]) for r in simhash.similar_documents(df).select("doc_id", "root").collect()}
+        assert len({r for _, r in roots}) == 2
+        for cls, path in ((piece_encoder.BatchEncoder, BYTE), (piece_encoder.WordEncoder, WORD)):
+            enc, lib = cls(open(path, "rb").read()), Tokenizer.from_file(path)
+            for t, ids in zip([a, b, f"x {a} y {b}"], enc.encode_all([a, b, f"x {a} y {b}"])):
+                assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_word_hashes_in_stretches():
+    text = " ".join(f"word{i % 97} été{i % 31}" for i in range(5000))
+    assert (shared.word_hashes(text) == shared.word_hashes(text, stretch=1000)).all()
+    assert shared.word_hashes("Été 12 x")[0] == shared.word_hashes("été")[0]
+
+
+@pytest.mark.parametrize("cls, path", [(piece_encoder.BatchEncoder, BYTE), (piece_encoder.WordEncoder, WORD)])
+def test_batch_encoders_match_the_library(cls, path):
+    lib, rng = Tokenizer.from_file(path), random.Random(21)
+    parts = ["a", "B", " ", "\n", "'", "'s", "'RE", "é", "İ", "Σ", "9", "²", "!", "<", "|", "<|endoftext|>", "\u0301", "ß", "語", "\u3000", "\x1c", "\x85", "K", "ﬁ", "\xad", "\u200d", "\xa0"]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["", " ", "long " * 3000, "x" * 3000]
+    enc = cls(open(path, "rb").read())
+    assert enc.cuts
+    for chunk, pieces in ((enc.CHUNK, enc.PIECES), (500, 200)):  # long texts in stretches, and much forgotten
+        enc.CHUNK, enc.PIECES = chunk, pieces
+        for t, ids in zip(odd, enc.encode_all(odd)):
+            assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_chat_keeps_very_long_turns(spark):
+    """A text longer than the JSON parser takes by default; and a record of no layout is an error turn, not nothing."""
+    n = 25_000_000
+    long = spark.range(1).select(F.lit(7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.concat(F.repeat(F.lit("ab "), n // 3), F.lit('"\\é')).alias("text"))
+    from factloom.llm import queries
+
+    got = chat.canonical_turns(queries.op3_records(long)).filter("conv_id = 7").select("layout", F.size("turns").alias("n"), F.length(F.col("turns")[0]["text"]).alias("chars"), F.right(F.col("turns")[0]["text"], F.lit(4)).alias("tail")).first()
+    assert got["layout"] and (got["n"], got["chars"], got["tail"]) == (1, n // 3 * 3 + 3, ' "\\é')
+    out = chat.outline(F.lit('{"a\\"b": "' + "\\u00e9x" * 200_000 + '", "c": ["' + "y" * 50 + '"]}'))
+    cut = spark.range(1).select(out.alias("o")).first()["o"]
+    assert len(cut) < 400 and '"a\\"b": "' in cut and cut.endswith('"]}')
+
+
+def plain_fit(lengths, capacity):
+    room, out = [], []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        s = next((k for k, r in enumerate(room) if r >= lengths[i]), len(room))
+        if s == len(room):
+            room.append(capacity)
+        out.append((i, s, capacity - room[s]))
+        room[s] -= lengths[i]
+    return sorted(out)
+
+
+def test_first_fit_decreasing():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 37, 400):
+        lengths = rng.integers(1, 65, n)
+        sequence, offset = packing.first_fit_decreasing(lengths, 64)
+        assert list(zip(range(n), sequence.tolist(), offset.tolist())) == plain_fit(lengths.tolist(), 64)
+
+
+def test_packing(spark, odd, none):
+    lib = Tokenizer.from_file(WORD)
+    packed = packing.pack_documents(odd, WORD, capacity=64, group=20)
+    rows = packed.collect()
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+        by_doc.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r)
+        assert 0 < r["length"] <= 64 and len(r["ids"]) == 4 * r["length"]
+    for s in by_seq.values():
+        s.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in s] == np.cumsum([0, *[r["length"] for r in s]])[:-1].tolist() and s[-1]["offset"] + s[-1]["length"] <= 64
+    want = Counter()
+    for i, t in texts_of(odd):
+        ids = [*lib.encode(t, add_special_tokens=False).ids, 1]
+        for a in range(0, len(ids), 64):
+            want[i, a, np.array(ids[a : a + 64], "<u4").tobytes(), len(ids)] += 1
+    assert Counter((r["doc_id"], r["start"], bytes(r["ids"]), r["doc_tokens"]) for r in rows) == want
+    whole = packing.sequences(packed, capacity=64, pad_id=49407).collect()
+    assert {r["sequence_id"] for r in whole} == set(by_seq)
+    for r in whole:
+        s = by_seq[r["sequence_id"]]
+        assert bytes(r["ids"]) == b"".join(bytes(x["ids"]) for x in s) + np.full(64 - r["filled"], 49407, "<u4").tobytes()
+        assert [(x["id"], x["start"], x["offset"], x["length"]) for x in r["documents"]] == [(x["doc_id"], x["start"], x["offset"], x["length"]) for x in s]
+    assert packing.pack_documents(none, WORD).count() == 0
+
+
+def plain_kmeans(vectors, k, rounds):
+    """(cluster, distance) of (id, whole numbers), in plain Python."""
+    seeds = sorted(vectors, key=lambda v: (hashlib.sha256(f"3:{v[0] if v[0] is not None else ''}".encode()).hexdigest(), v[1]))[:k]
+    c = [list(v) for _, v in seeds]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, x)), j) for j, x in enumerate(c))
+    for _ in range(rounds):
+        of = [near(v)[1] for _, v in vectors]
+        for j in range(len(c)):
+            mine = [v for (_, v), o in zip(vectors, of) if o == j]
+            c[j] = [sum(x) // len(mine) for x in zip(*mine)] if mine else c[j]
+    return [(i, near(v)[1], near(v)[0]) for i, v in vectors], [tuple(x) for x in c]
+
+
+def test_clusters(spark):
+    rng = random.Random(31)
+    make = lambda m: [rng.choice([-1, 0, 1, 1, 2]) * rng.random() * m for _ in range(8)]
+    rows = [(i, make(2), i) for i in range(120)] + [(5, [0.5] * 8, 1), (5, [0.5] * 8, 1), (None, make(1), 2), (200, None, 3), (201, [1.0] * 7, 4), (202, [1.0] * 7 + [None], 5), (203, [1.0] * 7 + [float("nan")], 6), (204, [1.0] * 7 + [float("inf")], 7), (205, [-0.0001] * 8, 8), (206, [float(1 << 18)] + [0.0] * 7, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cluster int")
+    kept = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v, _ in rows if v and len(v) == 8 and all(x is not None and abs(x) <= 1 << 17 for x in v)]
+    for k in (1, 5):
+        placed, centroids = clusters.kmeans(df, clusters=k, rounds=4, width=8)
+        want, at = plain_kmeans(kept, k, 4)
+        assert centroids == at
+        got = clusters.with_inertia(placed, centroids).collect()
+        assert Counter((r["vec_id"], r["cluster"], r["distance"]) for r in got) == Counter(want)
+        for r in got:
+            assert r["cluster_inertia"] == sum(d for _, c, d in want if c == r["cluster"]) and r["inertia"] == sum(d for _, _, d in want)
+            assert r["centroid_sha256"] == hashlib.sha256(",".join(map(str, at[r["cluster"]])).encode()).hexdigest()
+    placed, centroids = clusters.kmeans(df.limit(0), width=8)
+    assert centroids == [] and clusters.with_inertia(placed, centroids).count() == 0
+    two, few = clusters.kmeans(df.limit(2), clusters=5, rounds=2, width=8)
+    assert len(few) == 2 and two.count() == 2
+
+
+def test_progressive_search_is_exact():
+    rng = np.random.default_rng(4)
+    order = clusters.sequency_order(64)
+    h = clusters.transform(np.eye(64, dtype=np.int64))
+    assert (h @ h == 64 * np.eye(64, dtype=np.int64)).all() and order[0] == 0 and (h[order[1]] == np.repeat([1, -1], 32)).all()
+    x, c = rng.integers(-1500, 1500, (300, 64)), rng.integers(-1500, 1500, (8, 64))
+    c[3], c[6], x[:20] = c[1], x[50], c[1]  # ties go to the smaller number
+    of, d = clusters.search(clusters.transform(x)[:, order], clusters.transform(c)[:, order])
+    full = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+    assert (of == full.argmin(axis=1)).all() and (d == 64 * full.min(axis=1)).all()
+
+
+def plain_variants(counts):
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    out, form = {}, {}
+    for w, n in counts.items():
+        others = sorted((-counts[x], x) for x in counts if near(w, x))
+        form[w] = others[0][1] if others and -others[0][0] >= 10 * n else None
+        out[w] = (n, len(others), counts[form[w]] if form[w] else None)
+    rows = set()
+    for w in counts:
+        root = w
+        while form[root]:
+            root = form[root]
+        rows.add((w, form[w], root, *out[w]))
+    return rows
+
+
+@pytest.mark.parametrize("cell", [50_000, 3])
+def test_variants(spark, monkeypatch, cell):
+    """Against all pairs; with tiny cells, so that they are dealt out in pairs of parts; long words and letters of one group."""
+    rng = random.Random(41)
+    base = ["abcdefg", "zzzzzzz", "éèêëìíîï", "q" * 60, "abcabcabc"]
+    held = {}
+    for _ in range(220):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([[], [rng.choice("abzqéðx")], [w[i], rng.choice("abzéð")]])
+        if len(w) >= 7:
+            held["".join(w)] = rng.choice([2, 3, 30, 400, 5000])
+    df = spark.createDataFrame(list(held.items()), "word string, n long")
+    monkeypatch.setattr(variants, "STEP", 50)
+    got = variants.with_forms(df, variants.near_words(df, cell_words=cell)).collect()
+    assert {tuple(r[c] for c in ("word", "form", "root", "n", "n_near", "form_n")) for r in got} == plain_variants(held) and len(got) == len(held)
+
+
+def test_variant_words(spark, none):
+    rows = [(i, "Seventh SEVENTH seventh éééééééé Sixlet tinywords, tinywords x" + "y" * 3000, "s") for i in range(40)] + [(None, "nobodys nobodys", "s"), (3, None, "s"), (3, "", "s")]
+    df = docs(spark, rows)
+    want = Counter()
+    import re
+
+    for i, t, _ in rows:
+        for r in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            r = "".join(c.lower() if c < "\x80" else c for c in r)
+            h = zlib.crc32(f"{'' if i is None else i}:{r}".encode())
+            w = r[: h % len(r)] + r[h % len(r) + 1 :] if h % 31 == 0 else r
+            want[w] += len(w) >= 7
+    assert {(r["word"], r["n"]) for r in variants.words(df).collect()} == {(w, n) for w, n in want.items() if n >= 2}
+    assert variants.spelling_variants(none).count() == 0
+    assert variants.spelling_variants(df).columns == ["word", "form", "root", "n", "n_near", "form_n"]
+
+
+def test_langid_scripts_of_no_learned_language():
+    model = langid.train([("en", "the cat and the dog"), ("de", "die katze und der hund")])
+    lang, share = langid.Labeller(model).predict(["แมว หมา", "кошка", "the cat кот", "12"])
+    assert set(lang[:2]) <= {"de", "en"} and share[:2].tolist() == [0, 0]
+    assert lang[2] == "en" and np.isclose(share[2], 6 / 9) and lang[3] == "und"
+
+
+def test_pairs_of_words_have_an_order():
+    a = quality.pairs_of(np.array([5, 9, 5, 5, 9, 9]))
+    assert a[0] != a[1] and a[2] != a[4] and a[0] == a[3]
