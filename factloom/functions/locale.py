@@ -15,6 +15,9 @@ class Pack:
     age_range: str  # a range of ages, whose numbers are no values; may be empty
     junk: str  # where the trailing junk of a scraped article begins
     byline: str
+    trailer: str  # where what follows an article for display begins
+    widget: str  # text of embedded players
+    dateline: str  # the line before an article's body; what stands before the last of them goes
     stops: tuple[str, ...]
     all_time: str
     n_years: str  # group 1: the number of years
@@ -38,6 +41,9 @@ class Pack:
     national: str = ""
 
 
+#: White space as browsers know it, which article texts are shown by.
+BLANK = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
 # The Korean words and patterns that results depend on.
 _NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 _SCALE = r"조|억|만|천"
@@ -46,6 +52,7 @@ _END = r"(?![\p{L}\p{N}_])"  # of a word, in any script
 _AMOUNTS = rf"{_COMPOUND}\s*(?:원|달러|엔|유로|위안|명|건|개사|개|톤|t|kg|㎏|CGT|척)|{_NUMBER}\s*(?:%p|%|퍼센트포인트|퍼센트)"
 _RUNS = rf"[0-9]+\s*(?:년째|개월째|주째)|[0-9]+\s*(?:년|개월)\s*연속|[0-9]+\s*위{_END}"
 _PARTS = rf"(?:{_NUMBER}|한|두|세|네|다섯|여섯|일곱|여덟|아홉|열)\s*배|절반|[0-9]+\s*분의\s*[0-9]+|[0-9]+\.[0-9]+\s*(?:포인트|P{_END})|[0-9]+\.[0-9]+(?=[^0-9]{{0,6}}(?:기록했|기록되었|마감했|나타났|보였|집계됐|집계되었))"
+_STAMP = rf"[0-9]{{4}}\.[0-9]{{2}}\.[0-9]{{2}}\.{BLANK}*[0-9]{{2}}:[0-9]{{2}}"
 _EXTREME = r"역대\s*최(?:고|대|저)치?"
 KOREAN = Pack(
     sentence_end=r"(?<=[다요]\.)",
@@ -56,6 +63,9 @@ KOREAN = Pack(
     age_range=r"\d+\s*[~\-]\s*\d+\s*세",
     junk="무단 전재|재배포 금지|관련기사",
     byline=r"[가-힣]{2,4}\s*기자",
+    trailer="By Taboola",
+    widget=r"(?s)Video Player is loading\..*?End of dialog window\.",
+    dateline=rf"입력{BLANK}*{_STAMP}(?:{BLANK}*업데이트{BLANK}*{_STAMP})?(?:{BLANK}*[0-9]+)?",
     stops=("무단 전재", "재배포", "관련기사"),
     all_time="역대",
     n_years=r"(\d+)년\s*여?\s*만(?:에|의|이다|이었다)",
@@ -90,6 +100,9 @@ ENGLISH = Pack(
     age_range=r"\d+\s*[~\-]\s*\d+ years old",
     junk="All rights reserved|Related articles",
     byline=r"By [A-Z][a-z]+",
+    trailer="All rights reserved|Related articles|By Taboola",
+    widget=r"(?s)Video Player is loading\..*?End of dialog window\.",
+    dateline=rf"Published{BLANK}*{_STAMP}(?:{BLANK}*Updated{BLANK}*{_STAMP})?(?:{BLANK}*[0-9]+)?",
     stops=("All rights reserved", "Related articles"),
     all_time="all-time|record",
     n_years=r"in (\d+) years",

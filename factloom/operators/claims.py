@@ -105,11 +105,11 @@ def extreme(pack: Pack) -> Column:
     return F.when(is_extreme, F.when(F.col("sentence").rlike(pack.min_words) & ~F.col("sentence").rlike(pack.max_words), "min").otherwise("max"))
 
 
-def route(pack: Pack, *foreign_columns: str) -> Column:
-    """The calculation that checks a claim; null where none can."""
+def route(pack: Pack, *foreign_columns: str, nouns: dict[str, str] | None = None) -> Column:
+    """The calculation that checks a claim; null where none can. nouns: the columns' proper nouns, as in foreign()."""
     e = extreme(pack)
     level = F.when(e == "max", "max_check").when(e == "min", "min_check").when(F.col("value_type") == "delta", "change").otherwise("lookup")
-    return F.when(foreign(pack, *foreign_columns), F.lit(None)).when(F.col("claim_type") == "rate", "rate").when(F.col("claim_type") == "compare", "change").when(F.col("claim_type") == "level", level)
+    return F.when(foreign(pack, *foreign_columns, nouns=nouns), F.lit(None)).when(F.col("claim_type") == "rate", "rate").when(F.col("claim_type") == "compare", "change").when(F.col("claim_type") == "level", level)
 
 
 def wants_comparison(pack: Pack, text: str = "sentence") -> Column:

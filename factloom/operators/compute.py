@@ -1,7 +1,7 @@
 """Official cells and what is computed from them. Errors are values of a status column, never exceptions.
 
-Requests meet observations by equi-joins on table, item and dimension, with a range on the period where a series is asked
-for; aggregates then go by request, with a partial sum before each shuffle.
+Requests meet observations by equi-joins on table, item and dimension; what lies between two periods comes from the index of
+series. Aggregates go by request, with a partial sum before each shuffle.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions import periods
 
+from .series import CELL, asked, period_at
+
 # What an official table prints where it has no number.
 MISSING = ("", "-", "..", "X", "n/a")
-CELL = ["table_id", "item_id", "dim"]
 
 
 def parse_value(c: Column) -> Column:
@@ -108,35 +109,23 @@ def extreme_check(series: DataFrame, highest: bool = True) -> DataFrame:
 def compute(claims: DataFrame, obs: DataFrame) -> DataFrame:
     """(claim_id, calc_type, status, value, period): each claim by its calc_type; unknown ones look their cell up.
 
-    claims: claim_id (distinct), calc_type, table_id, item_id, dim, period, freq, start_period. Claims that need one or two
-    cells ask for them by name in one equi-join; claims of an extreme meet their series in another.
+    claims: claim_id (distinct), calc_type, table_id, item_id, dim, period, freq, start_period. A claim asks the index of
+    series for one stretch, its cell at its period or from start_period to it, and a rate or change for its base too.
     """
     kind = F.coalesce("calc_type", F.lit("lookup"))
     rows = claims.select("claim_id", F.when(kind.isin("rate", "change", "max_check", "min_check"), kind).otherwise("lookup").alias("calc_type"), *CELL, "period", "start_period")
-    is_pair, is_extreme = F.col("calc_type").isin("rate", "change"), F.col("calc_type").isin("max_check", "min_check")
-
-    # one or two cells
-    at = obs.groupBy(*CELL, F.col("period").alias("asked")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("v"))
+    is_pair, is_extreme, is_max = F.col("calc_type").isin("rate", "change"), F.col("calc_type").isin("max_check", "min_check"), F.col("calc_type") == "max_check"
     base = F.when(is_pair, periods.prior_year(F.col("period")))
-    roles = F.array(F.struct(F.lit(False).alias("base"), F.col("period").alias("asked")), F.struct(F.lit(True).alias("base"), base.alias("asked")))
-    asked = rows.filter(~is_extreme).select("claim_id", "calc_type", "period", *CELL, F.inline(F.filter(roles, lambda r: ~r.base | r.asked.isNotNull())))
-    one = lambda is_base, c: F.max(F.when(F.col("base") == is_base, F.col(c)))
-    met = asked.join(at, [*CELL, "asked"], "left").groupBy("claim_id", "calc_type", "period", *CELL).agg(one(False, "n").alias("n"), one(False, "v").alias("value"), one(True, "v").alias("base_value"), one(True, "asked").alias("base_period"))
-    met = met.join(obs.select(*CELL).distinct().withColumn("any", F.lit(True)), CELL, "left")
-    lookup = F.when(F.col("n") == 1, F.when(F.col("value").isNull(), "no_value").otherwise("ok")).when(F.col("n") > 1, "many").when(F.col("any"), "other_period").otherwise("none")
+    roles = F.array(F.struct(F.lit(False).alias("is_base"), F.when(is_extreme, F.col("start_period")).otherwise(F.col("period")).alias("lo"), F.col("period").alias("hi")), F.struct(F.lit(True).alias("is_base"), base.alias("lo"), base.alias("hi")))
+    asks = rows.select("claim_id", "calc_type", "period", *CELL, F.inline(F.filter(roles, lambda r: ~r.is_base | r.lo.isNotNull())))
+    met = asked(asks, obs, F.col("lo"), F.col("hi"))
+    own = lambda is_base, c: F.max(F.when(F.col("is_base") == is_base, c))
+    best, place = (F.when(is_max, F.col(f"found.hi{x}")).otherwise(F.col(f"found.lo{x}")) for x in ("", "_p"))
+    got = met.groupBy("claim_id", "calc_type", "period").agg(own(False, F.col("found.n")).alias("n"), own(False, best).alias("value"), own(False, place).alias("place"), own(False, F.col("found.mixed").cast("int")).alias("mixed"), own(False, F.col("known").cast("int")).alias("known"), own(True, F.col("found.lo")).alias("base_value"), own(True, F.col("lo")).alias("base_period"))
+    lookup = F.when(F.col("n") == 1, F.when(F.col("value").isNull(), "no_value").otherwise("ok")).when(F.col("n") > 1, "many").when(F.col("known") == 1, "other_period").otherwise("none")
     pair = F.when(F.col("value").isNull(), "none").when(F.col("base_value").isNull(), "no_base").when((F.col("calc_type") == "rate") & (F.col("base_value") == 0), "zero_base").otherwise("ok")
-    status = F.when(is_pair, pair).otherwise(lookup)
+    extreme = F.when(F.col("mixed") == 1, "mixed_units").when(F.col("value").isNull(), "empty").otherwise("ok")
+    status = F.when(is_pair, pair).when(is_extreme, extreme).otherwise(lookup)
     result = F.when(F.col("calc_type") == "change", change()).when(is_pair, change_rate()).otherwise(F.col("value"))
-    two = met.select("claim_id", "calc_type", status.alias("status"), F.when(status == "ok", result).alias("value"), F.when(is_pair, F.concat_ws("~", "base_period", "period")).otherwise(F.col("period")).alias("period"))
-
-    # a series
-    cells = obs.filter("value is not null").select(*CELL, F.col("period").alias("asked"), "value", "unit")
-    signed = F.when(F.col("calc_type") == "max_check", -F.col("value")).otherwise(F.col("value"))
-    within = F.col("asked").between(F.col("start_period"), F.col("period"))
-    held = lambda c: F.when(within, F.col(c))
-    series = rows.filter(is_extreme).join(cells, CELL, "left").select("claim_id", "calc_type", held("asked").alias("asked"), held("value").alias("value"), held("unit").alias("unit"))
-    found = series.groupBy("claim_id", "calc_type").agg(F.min(F.when(F.col("value").isNotNull(), F.struct(signed.alias("v"), "asked"))).alias("b"), F.count_distinct("unit").alias("units"), F.count("value").alias("n"))
-    status = _units(F.lit("ok"))
-    value = F.when(F.col("calc_type") == "max_check", -F.col("b.v")).otherwise(F.col("b.v"))
-    ends = found.select("claim_id", "calc_type", status.alias("status"), F.when(status == "ok", value).alias("value"), F.when(status == "ok", F.col("b.asked")).alias("period"))
-    return two.unionByName(ends)
+    period = F.when(is_pair, F.concat_ws("~", "base_period", "period")).when(is_extreme, F.when(status == "ok", period_at(F.col("place")))).otherwise(F.col("period"))
+    return got.select("claim_id", "calc_type", status.alias("status"), F.when(status == "ok", result).alias("value"), period.alias("period"))

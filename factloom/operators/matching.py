@@ -1,18 +1,18 @@
 """Matching claims to statistics tables: keyword, trigram and vector retrieval, fusion by reciprocal rank, gates.
 
 Containment joins run over distinct texts against distinct keywords; trigram search is an equi-join on trigrams; vectors are
-multiplied block by block.
+in `vectors`.
 Candidates are rows (claim_id, table_id, …) with ranks in a map from the source's name.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.session import written
+
 from .joins import containing
 from .ranking import topk
 from .text import no_space
@@ -46,11 +46,12 @@ def morph_match(text: Column, tokens: Column) -> Column:
     return (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(text, t))
 
 
-def keyword_scores(claims: DataFrame, catalog: DataFrame, synonyms: DataFrame, compounds: dict[str, list[str]] | None = None) -> DataFrame:
+def keyword_scores(claims: DataFrame, catalog: DataFrame, synonyms: DataFrame, compounds: dict[str, list[str]] | None = None, kw_tokens: DataFrame | None = None) -> DataFrame:
     """(claim_id, table_id, score) above zero: 1 for each keyword in the sentence or its stem, 0.5 for a synonym of one in
     it, 1 for the title's first six characters; a third of the sum, at most 1.
 
-    Sentences and keywords are matched once each, however many claims and tables share them.
+    Where a tagger is at hand, as kw_tokens (kw, tokens: its core nouns), all of a keyword's nouns in the sentence stand in for
+    its stem. Sentences and keywords are matched once each, however many claims and tables share them.
     """
     spoken = claims.select("claim_id", F.col("sentence").alias("t"))
     texts = spoken.select("t").distinct()
@@ -59,11 +60,20 @@ def keyword_scores(claims: DataFrame, catalog: DataFrame, synonyms: DataFrame, c
     words = catalog.select("table_id", F.explode("keywords").alias("kw"))
     norm = no_space(F.col("kw"))
     direct = F.contains("n", norm) & ~false_friend_only(norm, F.col("n"), compounds or {})
-    weight = F.when(direct, 1.0).when(F.coalesce(F.array_contains("terms", F.col("kw")), F.lit(False)), 0.5).when(stem_match(norm, F.col("n")) & ~false_friend_only(norm, F.col("n"), compounds or {}), 1.0)
-    # what a keyword begins with stands wherever the keyword or its stem does; synonyms name keywords that may not stand there
-    kinds = words.select("kw").distinct().withColumn("stem", F.left(norm, F.lit(5)))
+    near = stem_match(norm, F.col("n")) & ~false_friend_only(norm, F.col("n"), compounds or {}) if kw_tokens is None else morph_match(F.col("n"), F.col("tokens"))
+    weight = F.when(direct, 1.0).when(F.coalesce(F.array_contains("terms", F.col("kw")), F.lit(False)), 0.5).when(near, 1.0)
+    kinds = words.select("kw").distinct()
+    if kw_tokens is None:
+        # what a keyword begins with stands wherever the keyword or its stem does; synonyms name keywords that may not stand there
+        kinds = kinds.withColumn("stem", F.left(norm, F.lit(5)))
+    else:
+        # a keyword stands there itself, or all its nouns do, so the longest of them
+        nouns = kw_tokens.groupBy("kw").agg(F.first(F.filter("tokens", lambda x: F.length(x) > 0)).alias("tokens"))
+        kinds = kinds.join(nouns, "kw", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+        longest = F.get(F.sort_array(F.transform("tokens", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))), asc=False), 0)["x"]
+        kinds = kinds.withColumn("stem", F.explode(F.array_distinct(F.filter(F.array(norm, longest), lambda x: x.isNotNull()))))
     spelled = containing(texts, "n", kinds, "stem").select("t", "kw", weight.alias("w"))
-    meant = texts.withColumn("kw", F.explode("terms")).join(kinds.select("kw"), "kw").select("t", "kw", weight.alias("w"))
+    meant = texts.withColumn("kw", F.explode("terms")).join(kinds.drop("stem").distinct(), "kw").select("t", "kw", weight.alias("w"))
     hits = spelled.unionByName(meant).filter("w is not null").distinct()
     by_word = hits.join(words, "kw").select("t", "table_id", "w")
     heads = catalog.select("table_id", F.substring("title", 1, 6).alias("head")).filter("head != ''")
@@ -82,71 +92,57 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))))
 
 
+#: Index texts that a trigram meets in one part of the join; one that more have is met in several.
+HEAVY = 10_000
+
+
 def trigram_topk(queries: DataFrame, index: DataFrame, k: int = 30, least: float = 0.1) -> DataFrame:
-    """(qid, table_id, score, rank): trigram similarity of queries (qid, t) and index rows (table_id, t).
+    """(qid, table_id, score, rank): trigram similarity of queries (qid, t) and index rows (table_id, t), least or above.
 
-    Trigrams of distinct texts meet by an equi-join; sizes of the sets turn shared counts into similarities.
+    Distinct texts meet through the query's rarest trigrams first. A similarity of s takes ceil(s * n) shared trigrams of the
+    query's n, so a row that shares none of its rarest P - ceil(s * n) + 1 (of P that the index knows) can't have it. The
+    rarer half of a query's trigrams proposes rows; the k that share most of it are scored and give a bound on the k-th score;
+    the others are scored only if what they share and what is left of the query could reach it; and of the other half only as
+    many trigrams are read as the bound asks for, none as a rule. Frequent trigrams are split by the index's texts.
     """
-    q = queries.select("t").distinct().withColumn("g", trigrams(F.col("t"))).select(F.col("t").alias("qt"), F.size("g").alias("nq"), F.explode("g").alias("g"))
-    x = index.select("t").distinct().withColumn("g", trigrams(F.col("t"))).select(F.col("t").alias("xt"), F.size("g").alias("nx"), F.explode("g").alias("g"))
-    shared = q.join(x, "g").groupBy("qt", "xt").agg(F.count(F.lit(1)).alias("n"), F.first("nq").alias("nq"), F.first("nx").alias("nx"))
-    score = shared.withColumn("score", F.col("n") / (F.col("nq") + F.col("nx") - F.col("n"))).filter(F.col("score") >= least)
+    q = queries.select("t").distinct().withColumn("g", trigrams(F.col("t"))).select(F.col("t").alias("qt"), F.size("g").alias("nq"), "g")
+    x = index.select("t").distinct().withColumn("g", trigrams(F.col("t"))).select(F.col("t").alias("xt"), F.size("g").alias("nx"), "g")
+    said = x.select("xt", "nx", F.explode("g").alias("g"))
+    frequency = said.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    held = q.select("qt", "nq", F.explode("g").alias("g")).join(frequency, "g").groupBy("qt", "nq").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
+    held = held.withColumns({"p": F.size("gs"), "half": F.ceil(F.size("gs") / 2).cast("int")})
+    parts = F.ceil(F.col("df") / HEAVY)
+    placed = said.join(frequency.filter(F.col("df") > HEAVY), "g", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("xt"), parts), F.lit(0))).select("g", "part", "xt", "nx")
+
+    def meeting(rows: DataFrame, first: Column, many: Column) -> DataFrame:
+        """(qt, nq, p, half, xt, nx, c): rows of the index that share c of these of the query's trigrams."""
+        some = rows.select(*[c for c in rows.columns if c != "gs"], F.explode(F.slice("gs", first, F.greatest(many, F.lit(0)))).alias("x")).select("*", "x.g", "x.df").drop("x")
+        some = some.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("df") / HEAVY), F.lit(1)) - 1))).drop("df")
+        return some.join(placed, ["g", "part"]).groupBy(*[c for c in some.columns if c not in ("g", "part")], "xt", "nx").agg(F.count(F.lit(1)).alias("c"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """(qt, xt, score) of pairs, from all trigrams of both."""
+        both = pairs.select("qt", "xt").join(q.select("qt", F.col("g").alias("qg")), "qt").join(x.select("xt", F.col("g").alias("xg")), "xt")
+        n = F.size(F.array_intersect("qg", "xg"))
+        return both.select("qt", "xt", (n / (F.size("qg") + F.size("xg") - n)).alias("score"))
+
+    most = lambda n: n / (F.col("nq") + F.col("nx") - n)  # noqa: E731  the similarity if n are shared
+    near = meeting(held.filter("p > 0"), F.lit(1), F.col("half"))
+    near = written(near.withColumn("place", F.row_number().over(W.partitionBy("qt").orderBy(F.desc(most(F.col("c"))), "xt"))), "trigram-pairs")
+    first = scored(near.filter(F.col("place") <= k))
+    bound = first.groupBy("qt").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+    bound = written(bound, "trigram-bounds")
+    bound = held.join(bound, "qt", "left").withColumn("kth", F.greatest(F.coalesce("kth", F.lit(least)), F.lit(least)))
+    reach = F.least(F.col("c") + F.col("p") - F.col("half"), F.col("nx"))
+    others = near.filter(F.col("place") > k).join(bound.select("qt", "kth"), "qt").filter(most(reach) >= F.col("kth") - 1e-9)
+    needed = F.col("p") - F.ceil(F.col("kth") * F.col("nq") - 1e-9).cast("int") + 1
+    late = meeting(bound.withColumn("more", needed - F.col("half")).filter("more > 0"), F.col("half") + 1, F.col("more"))
+    late = late.filter((most(F.least(F.col("p") - F.col("half"), F.col("nx"))) >= F.col("kth") - 1e-9)).join(near.select("qt", "xt"), ["qt", "xt"], "left_anti")
+    score = first.unionByName(scored(others.select("qt", "xt").unionByName(late.select("qt", "xt")))).filter(F.col("score") >= least)
     rows = queries.withColumnRenamed("t", "qt").join(score, "qt").join(index.withColumnRenamed("t", "xt"), "xt").select("qid", "table_id", "score")
     return topk(rows, ["qid"], [F.desc("score"), "table_id"], k)
 
 
-#: Bytes of vectors in a block, and of all blocks of a side that is sent to every executor.
-BLOCK_BYTES, SENT_BYTES = 1 << 20, 32 << 20
-
-
-def _blocks(rows: DataFrame, key: str, dims: str, name: str) -> tuple[DataFrame, int]:
-    """(<name>_ids, <name>_m): rows packed about BLOCK_BYTES of 32-bit vectors together, and the bytes of all."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf["v"].to_numpy()).astype(np.float32)
-        return pd.DataFrame({f"{name}_ids": [pdf["k"].to_numpy(np.int64).tobytes()], f"{name}_m": [m.tobytes()]})
-
-    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size(dims))).first()
-    size = n * 4 * (width or 0)
-    block = F.pmod(F.xxhash64("k"), F.lit(max(1, -(-size // BLOCK_BYTES))))
-    return rows.select(F.col(key).alias("k"), F.col(dims).alias("v")).groupBy(block.alias("b")).applyInPandas(pack, f"{name}_ids binary, {name}_m binary"), size
-
-
-def vector_topk(queries: DataFrame, index: DataFrame, k: int = 5, dims: str = "embedding") -> DataFrame:
-    """(qid, table_id, score, rank): cosine top k of each query (qid, embedding) over the index (table_id, embedding).
-
-    Both sides are packed into blocks, each block of queries is multiplied with each block of the index in one product, and
-    only a query's best k of a block go on. The smaller side's blocks are sent to all executors while they are few; the
-    pairs of blocks are the stated queries against all rows. Zero vectors have similarity 0 with all.
-    """
-
-    def vectors(ids: bytes, m: bytes) -> tuple[np.ndarray, np.ndarray]:
-        own = np.frombuffer(ids, np.int64)
-        x = np.frombuffer(m, np.float32).reshape(len(own), -1).astype(np.float64)
-        return own, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-
-    def best(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                (qids, q), (ids, x) = vectors(row.q_ids, row.q_m), vectors(row.x_ids, row.x_m)
-                s = np.round(q @ x.T, 9)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "table_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-    (q, q_size), (x, x_size) = _blocks(queries, "qid", dims, "q"), _blocks(index, "table_id", dims, "x")
-    if min(q_size, x_size) <= SENT_BYTES:
-        pairs = x.crossJoin(F.broadcast(q)) if q_size <= x_size else q.crossJoin(F.broadcast(x))
-    else:
-        pairs = q.crossJoin(x)
-    got = pairs.mapInPandas(best, "qid long, table_id long, score double")
-    return topk(got, ["qid"], [F.desc("score"), "table_id"], k)
-
-
-def index_topk(queries: DataFrame, index: DataFrame, k: int = 10, floor: float = 0.5) -> DataFrame:
-    """vector_topk, and after it the rows at the floor or above."""
-    return vector_topk(queries, index, k).filter(F.col("score") >= floor)
-
-
 def hash_embed(texts: DataFrame, dims: int = 64) -> DataFrame:
     """(id, v array<double>): counts of characters by md5 mod `dims` (a power of two up to 256), scaled to length 1."""
     chars = texts.select("id", F.explode(F.split(F.coalesce("t", F.lit("")), "")).alias("c")).filter("c != ''")

@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.functions.locale import Pack
+from factloom.functions.locale import BLANK, Pack
+from factloom.session import ship
+
+from . import repeats
 
 
 def no_space(c: Column) -> Column:
@@ -45,13 +48,37 @@ def clean_body(df: DataFrame, pack: Pack, least: int = 50) -> DataFrame:
     return df.withColumn("text", F.when(F.length(cut) > least, cut).otherwise(F.col("text")))
 
 
+def shown_text(df: DataFrame, pack: Pack, together: int = 3) -> DataFrame:
+    """(article_id, text): what a reader is shown of a scraped article; the article itself stays as it is.
+
+    What follows the trailer goes, players' texts become a space, and what stands before the last dateline goes with it. Of
+    adjacent equal blocks one stays. A text without line breaks is put in paragraphs of three sentences; a sentence ends where
+    a space that no digit follows comes after a stop.
+    """
+    ship(df.sparkSession)
+    body = F.regexp_replace(F.get(F.split("text", pack.trailer, 2), 0), pack.widget, " ")
+    body = F.regexp_replace(body, rf"(?s)\A.*{pack.dateline}", "")
+    shown = F.regexp_replace(F.regexp_replace(collapse_repeats(body), rf"\A{BLANK}+", ""), rf"{BLANK}+\z", "")
+    rows = df.select("article_id", shown.alias("t"))
+    said = F.split("t", rf"(?<=[.?!]){BLANK}+(?=[^0-9])")
+    grouped = F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / together).cast("int")), lambda i: F.array_join(F.slice("s", i * together + 1, together), " "))
+    text = F.when(F.contains("t", F.lit("\n")) | (F.size("s") <= 1), F.col("t")).otherwise(F.array_join(grouped, "\n\n"))
+    return rows.withColumn("s", said).select("article_id", text.alias("text"))
+
+
 def display_text(df: DataFrame, pack: Pack) -> DataFrame:
-    """(article_id, paragraph, text): junk cut, adjacent repeats of 20 to 300 characters joined, three sentences each."""
-    body = F.regexp_replace(F.get(F.split("text", pack.junk, 2), 0), r"(?s)(.{20,300})\1+", "$1")
-    parts = df.select("article_id", F.posexplode(F.split(body, pack.sentence_end + r"\s+")).alias("pos", "s")).filter(F.trim("s") != "")
-    parts = parts.withColumn("pos", F.row_number().over(W.partitionBy("article_id").orderBy("pos")) - 1)
-    one = parts.groupBy("article_id", F.floor(F.col("pos") / 3).alias("paragraph")).agg(F.array_sort(F.collect_list(F.struct("pos", F.trim("s").alias("s")))).alias("p"))
-    return one.select("article_id", "paragraph", F.array_join(F.transform("p", lambda x: x.s), " ").alias("text"))
+    """(article_id, paragraph, text): the paragraphs of shown_text(); a null text has none."""
+    return shown_text(df, pack).select("article_id", F.posexplode(F.split("text", r"\n{2,}")).alias("paragraph", "text"))
+
+
+def collapse_repeats(text: Column, least: int = 20, most: int = 300) -> Column:
+    """The text with one of adjacent equal blocks of `least` to `most` characters left, from the start on, longest blocks first."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: repeats.collapse(t, least, most), na_action="ignore")
+
+    return run(text)
 
 
 def sentences(df: DataFrame, pack: Pack) -> DataFrame:

@@ -126,6 +126,16 @@ def c13(spark, d):
     return table(spark, d, "claims").select("claim_id", ops.route(ENGLISH, "comparison_target").alias("calc_type"))
 
 
+_KOREAN_KIND = "case when supp % 5 in (1, 3) then null when claim_type = 'rate' then 'rate' when claim_type = 'compare' then 'change' when claim_type = 'level' and value_type = 'delta' then 'change' when claim_type = 'level' then 'lookup' end"
+
+
+@query("c13_route_nouns", over(f"select claim_id, {_KOREAN_KIND} as calc_type from claims"))
+def c13_nouns(spark, d):
+    """A pavement and a family law are routed, though their words hold the names of countries."""
+    rows = spark.sql(_TAGGED.replace("select claim_id,", "select claim_id, claim_type, value_type, '취업자가 늘었다' as sentence,").replace("from claims", "from {claims}"), claims=table(spark, d, "claims"))
+    return rows.select("claim_id", ops.route(KOREAN, "population", nouns={"population": "nouns"}).alias("calc_type"))
+
+
 @query("c14_wants_comparison", over("select claim_id, regexp_matches(sentence, 'rose|grew|increased|gained|fell|declined|dropped|decreased') as wants from claims"))
 def c14(spark, d):
     return table(spark, d, "claims").select("claim_id", ops.wants_comparison(ENGLISH).alias("wants"))

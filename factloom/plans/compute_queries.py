@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import compute as v
+from factloom.operators import series
 from factloom.operators import verdict as j
 from factloom.registry import query
 
@@ -27,9 +28,12 @@ def _obs(spark, d):
 _SER = "se as (select claim_id, o.period, o.value, o.unit from rq join observations o using (table_id, item_id, dim) where o.period between '199701' and rq.period)"
 
 
+def _stretches(spark, d):
+    return reqs(spark, d).drop("value", "unit").withColumns({"start_period": F.lit("199701"), "end_period": F.col("period")}).drop("period")
+
+
 def _series(spark, d):
-    r = reqs(spark, d).drop("value", "unit").withColumns({"start_period": F.lit("199701"), "end_period": F.col("period")}).drop("period")
-    return v.fetch_series(r, _obs(spark, d))
+    return v.fetch_series(_stretches(spark, d), _obs(spark, d))
 
 
 @query("v1_parse_value", over("select event_id, case when s in ('', '-', '..', 'X', 'n/a') then null else cast(replace(s, ',', '') as double) end as value from (select event_id, case event_id % 6 when 0 then '-' when 1 then '..' when 2 then 'X' when 3 then '1,234' when 4 then '' else cast(event_id as varchar) end as s from events)"))
@@ -103,12 +107,12 @@ def v10(spark, d):
 
 @query("v11_max_check", over(f"with {REQS}, {_SER} select claim_id, 'ok' as status, max(value) as value, first(period order by value desc, period) as period from se group by claim_id"))
 def v11(spark, d):
-    return v.extreme_check(_series(spark, d), True)
+    return series.range_extremes(_stretches(spark, d), _obs(spark, d), True)
 
 
 @query("v12_min_check", over(f"with {REQS}, {_SER} select claim_id, 'ok' as status, min(value) as value, first(period order by value, period) as period from se group by claim_id"))
 def v12(spark, d):
-    return v.extreme_check(_series(spark, d), False)
+    return series.range_extremes(_stretches(spark, d), _obs(spark, d), False)
 
 
 _KIND = "case pos % 6 when 0 then 'rate' when 1 then 'change' when 2 then 'max_check' when 3 then 'min_check' else 'lookup' end"

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from factloom.operators import matching as m
 from factloom.operators import ranking as k
+from factloom.operators import vectors
 from factloom.registry import query
 
 from .views import over, table
 
+#: Cells that a query of the vector index reads.
+RECALL_PROBES = 16
 _SYN = "values ('market', 'widget'), ('red', 'gear')"
 _SYNS = f"syn(term, target) as ({_SYN})"
 _KS = f"""{_SYNS}, kw as (select distinct table_id, unnest(keywords) as kw from catalog), tx as (select distinct sentence as t from topics),
@@ -29,6 +32,20 @@ def m1(spark, d):
     return _scores(spark, d).withColumn("score", F.round("score", 6))
 
 
+#: A keyword's nouns as a tagger might give them: its first three and its last two characters, none for those of five.
+_NOUNS = "case when length(kw) = 5 then {none} else {two} end"
+_KM = _KS.replace("when length(kw) >= 5 and contains(regexp_replace(t, '\\s+', '', 'g'), left(kw, 5)) then 1.0", "when length(kw) <> 5 and contains(regexp_replace(t, '\\s+', '', 'g'), left(kw, 3)) and contains(regexp_replace(t, '\\s+', '', 'g'), right(kw, 2)) then 1.0")
+
+
+@query("m1_morph_scores", over(f"with {_KM} select claim_id, table_id, round(cast(score as double), 6) as score from sc"))
+def m1_morph(spark, d):
+    catalog = table(spark, d, "catalog")
+    nouns = F.expr(_NOUNS.format(none="cast(array() as array<string>)", two="array(left(kw, 3), right(kw, 2))"))
+    tokens = catalog.select(F.explode("keywords").alias("kw")).distinct().select("kw", nouns.alias("tokens"))
+    scores = m.keyword_scores(table(spark, d, "topics"), catalog, spark.sql(f"select * from {_SYN} as s(term, target)"), {"ring": ["redring"]}, tokens)
+    return scores.withColumn("score", F.round("score", 6))
+
+
 @query("m2_expand_terms", over(f"with {_SYNS}, tx as (select distinct sentence as t from topics) select t, string_agg(distinct target, ',' order by target) as terms from tx, syn where contains(t, term) group by t"))
 def m2(spark, d):
     x = m.expand_terms(table(spark, d, "topics").select(F.col("sentence").alias("t")).distinct(), spark.sql(f"select * from {_SYN} as s(term, target)"))
@@ -76,12 +93,18 @@ def _vectors(spark, d):
 
 @query("m7_vector_topk", f"with {_COS} select qid, table_id, round(s, 6) as score, rank from vk where rank <= 5")
 def m7(spark, d):
-    return m.vector_topk(*_vectors(spark, d)).withColumn("score", F.round("score", 6))
+    return vectors.vector_topk(*_vectors(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("m8_index_topk", f"with {_COS} select qid, table_id, round(s, 6) as score, rank from vk where rank <= 10 and s >= 0.5")
 def m8(spark, d):
-    return m.index_topk(*_vectors(spark, d)).withColumn("score", F.round("score", 6))
+    return vectors.index_topk(*_vectors(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query("m7_cell_recall")
+def m7_cells(spark, d):
+    q, x = _vectors(spark, d)
+    return vectors.index_recall(q, x, k=5, probes=RECALL_PROBES)
 
 
 @query("m9_hash_embed", over("""with ch as (select claim_id as id, unnest(string_split(sentence, '')) as c from topics), ct as (select id, cast('0x' || right(md5(c), 2) as int) % 64 as d, count(*) as n from ch group by 1, 2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom.functions.locale import BLANK as LOCALE_BLANK
 from factloom.functions.locale import KOREAN
 from factloom.operators import text
 from factloom.registry import query
@@ -41,9 +42,31 @@ def t3(spark, d):
     return text.clean_body(table(spark, d, "articles").select("article_id", "text"), ENGLISH)
 
 
-@query("t4_display_text")
+#: Articles as scraped: with datelines after a menu, a player's text, or a block three times and a trailer.
+_SCRAPED = """select article_id, case article_id % 4 when 1 then concat('Menu Published 2024.01.02. 03:04 Home Published 2024.01.02. 05:06 Updated 2024.01.02. 07:08 12 ', text)
+   when 2 then concat('Video Player is loading. Play End of dialog window.', replace(text, chr(10), ' '), ' Video Player is loading. End of dialog window.')
+   when 3 then concat(left(text, 60), left(text, 60), replace(text, chr(10), ' '), ' By Taboola ', left(text, 50)) else text end as text from articles"""
+_BLANK = LOCALE_BLANK.replace("'", "''")
+#: Twenty characters from each place on, and where they come again: runs of such places at one distance are equal blocks.
+_LEADS = "".join(f" || lead(c, {i}) over w" for i in range(1, 20))
+_SHOWN = rf"""raw as ({_SCRAPED}), bd as materialized (select article_id, regexp_replace(regexp_replace(regexp_replace(text, '(?s)(?:{ENGLISH.trailer}).*', ''), '{ENGLISH.widget}', ' ', 'g'), '(?s)\A.*{ENGLISH.dateline}', '') as t from raw),
+  ch as (select article_id, unnest(string_split(t, '')) as c, generate_subscripts(string_split(t, ''), 1) as i from bd),
+  gr as materialized (select article_id, i, c{_LEADS} as g from ch window w as (partition by article_id order by i)),
+  pr as (select a.article_id, a.i, b.i - a.i as n from gr a join gr b on a.article_id = b.article_id and a.g = b.g and b.i - a.i between 20 and 300),
+  il as (select *, i - row_number() over (partition by article_id, n order by i) as island from pr),
+  ag as (select article_id, i, n, max(i) over (partition by article_id, n, island) - i + 20 as agree from il),
+  en as materialized (select article_id, i, max(n) as n, max_by(i + n + agree // n * n, n) as e from ag where agree >= n group by 1, 2),
+  nx as materialized (select a.*, b.i as nxt from en a asof left join en b on a.article_id = b.article_id and a.e <= b.i),
+  sq as (select article_id, i, n, e, nxt, 1 as before from nx where (article_id, i) in (select (article_id, min(i)) from en group by article_id)
+    union all select nx.article_id, nx.i, nx.n, nx.e, nx.nxt, sq.e from sq join nx on sq.article_id = nx.article_id and sq.nxt = nx.i),
+  cl as (select article_id, string_agg(substr(t, before, i + n - before), '' order by i) || substr(any_value(t), max(e)) as t from sq join bd using (article_id) group by article_id),
+  sh as (select article_id, regexp_replace(regexp_replace(coalesce(cl.t, bd.t), '\A{_BLANK}+', ''), '{_BLANK}+\z', '') as t from bd left join cl using (article_id)),
+  sp as (select *, string_split(regexp_replace(t, '([.?!]){_BLANK}+([^0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) as s from sh)"""
+
+
+@query("t4_display_text", over(rf"""with {_SHOWN} select article_id, case when contains(t, chr(10)) or len(s) <= 1 then t else array_to_string(list_transform(range(0, (len(s) + 2) // 3), lambda k: array_to_string(list_slice(s, k * 3 + 1, k * 3 + 3), ' ')), chr(10) || chr(10)) end as text from sp""").replace("with ", "with recursive ", 1))
 def t4(spark, d):
-    return text.display_text(table(spark, d, "articles"), ENGLISH)
+    return text.shown_text(spark.sql(_SCRAPED.replace("from articles", "from {articles}"), articles=table(spark, d, "articles")), ENGLISH)
 
 
 @query("t5_sentences", over(f"with {SENTENCES} select article_id, cast(pos as int) as pos, sentence from s"))

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
@@ -45,3 +45,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if full.startswith("file:/") and not full.startswith("file://"):
         full = "file://" + full[len("file:") :]
     return f"{full.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back: what several steps read is worked out once and outlives executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -59,36 +59,160 @@ def test_foreign_by_proper_nouns(spark):
 
 
 def test_containing_by_lookup(spark, monkeypatch):
-    """A table of terms too large to send gives the pairs that a small one gives."""
+    """Terms tried one by one, found by automata in one part and in several, and looked up give the same pairs."""
     from factloom.operators import joins
 
-    texts = spark.createDataFrame([("abcdefghijk",), ("xyz",), ("한국은행 총재",), ("",), ("aaaaaaaaaaaa",)], "t string")
-    terms = spark.createDataFrame([(w, i) for i, w in enumerate(["abcdefghi", "abcdefghZ", "cde", "z", "은행", "", None, "aaaaaaaaaaa", "abcdefghijkl", "x"])], "w string, n int")
+    texts = spark.createDataFrame([("abcdefghijk",), ("xyz",), ("한국은행 총재",), ("",), ("aaaaaaaaaaaa",), (None,)], "t string")
+    terms = spark.createDataFrame([(w, i) for i, w in enumerate(["abcdefghi", "abcdefghZ", "cde", "z", "은행", "", None, "aaaaaaaaaaa", "abcdefghijkl", "x", "x"])], "w string, n int")
     want = sorted(map(tuple, joins.containing(texts, "t", terms, "w").collect()))
-    assert [(t, w) for t, w, _ in want] == [("aaaaaaaaaaaa", "aaaaaaaaaaa"), ("abcdefghijk", "abcdefghi"), ("abcdefghijk", "cde"), ("xyz", "x"), ("xyz", "z"), ("한국은행 총재", "은행")]
-    monkeypatch.setattr(joins, "MOST_ROWS", 0)
-    assert sorted(map(tuple, joins.containing(texts, "t", terms, "w").collect())) == want
-    assert joins.containing(texts, "t", terms.limit(0), "w").count() == 0
+    assert [(t, w) for t, w, _ in want] == [("aaaaaaaaaaaa", "aaaaaaaaaaa"), ("abcdefghijk", "abcdefghi"), ("abcdefghijk", "cde"), ("xyz", "x"), ("xyz", "x"), ("xyz", "z"), ("한국은행 총재", "은행")]
+    for few, part, sent in ((0, 1 << 20, 1 << 20), (0, 20, 1 << 20), (0, 20, 0)):
+        for name, x in (("FEW", few), ("PART_BYTES", part), ("SENT_BYTES", sent)):
+            monkeypatch.setattr(joins, name, x)
+        assert sorted(map(tuple, joins.containing(texts, "t", terms, "w").collect())) == want
+        assert joins.containing(texts, "t", terms.limit(0), "w").count() == 0
+        assert joins.containing(texts.limit(0), "t", terms, "w").count() == 0
 
 
-@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_containing_many_terms(spark):
+    """300,000 terms in one automaton, against plain Python."""
+    from factloom.operators import joins
+
+    terms = spark.range(300_000).select(F.concat(F.lit("k"), F.conv("id", 10, 36)).alias("w"))
+    said = [" ".join("k" + x.upper() for x in (f"{i:x}", "zz", f"{i * 7:x}q")) for i in range(200)]
+    got = {tuple(r) for r in joins.containing(spark.createDataFrame([(t,) for t in said], "t string"), "t", terms, "w").collect()}
+    held = {r["w"] for r in terms.collect()}
+    assert got == {(t, t[i:j]) for t in said for i in range(len(t)) for j in range(i + 1, min(len(t), i + 6) + 1) if t[i:j] in held}
+
+
+def slow_nearest(x, k):
+    import numpy as np
+
+    n = x.astype(np.float64) / np.maximum(np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True), 1e-30)
+    s = np.round(n @ n.T, 9)
+    return {(i, r + 1): int(j) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), -s[i]))[:k])}
+
+
+@pytest.mark.parametrize("sent", [400, 1 << 20])
 def test_vector_blocks(spark, monkeypatch, sent):
     import numpy as np
 
-    from factloom.operators import matching
+    from factloom.operators import vectors
 
-    monkeypatch.setattr(matching, "BLOCK_BYTES", 400)
-    monkeypatch.setattr(matching, "SENT_BYTES", sent)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(vectors, "SENT_BYTES", sent)
     x = np.random.default_rng(1).normal(size=(70, 5)).astype(np.float32)
-    x[3] = 0
+    x[3] = x[20] = x[21] = x[22] = 0
     x[10] = x[11]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    # what is no vector of this width is a zero vector
+    rows[20], rows[21], rows[22] = (20, None), (21, [1.0] * 4), (22, [1.0, None, 1.0, float("nan"), 1.0])
+    index = spark.createDataFrame(rows, "table_id long, embedding array<float>")
+    got = vectors.vector_topk(index.withColumnRenamed("table_id", "qid"), index, 4)
+    want = slow_nearest(x, 4)
+    assert {(r["qid"], r["rank"]): r["table_id"] for r in got.collect()} == want
+    assert vectors.vector_topk(index.limit(0).withColumnRenamed("table_id", "qid"), index).count() == 0
+    assert vectors.vector_topk(index.withColumnRenamed("table_id", "qid"), index.limit(0)).count() == 0
+    # all cells read is the exact search
+    cells = vectors.CellIndex(index, cells=6)
+    assert {(r["qid"], r["rank"]): r["table_id"] for r in cells.topk(index.withColumnRenamed("table_id", "qid"), 4, probes=6).collect()} == want
+
+
+def test_cells_find_nine_of_ten(spark):
+    import numpy as np
+
+    from factloom.operators import vectors
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 16))
     index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "table_id long, embedding array<float>")
-    got = matching.vector_topk(index.withColumnRenamed("table_id", "qid"), index, 4)
-    n = x.astype(np.float64) / np.maximum(np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True), 1e-30)
-    s = np.round(n @ n.T, 9)
-    want = {(i, r + 1): int(j) for i in range(70) for r, j in enumerate(np.lexsort((np.arange(70), -s[i]))[:4])}
+    got = vectors.index_recall(index.filter("table_id % 20 = 0").withColumnRenamed("table_id", "qid"), index, k=5, probes=8).collect()
+    assert len(got) == 150 and all(r["k"] == 5 for r in got)
+    assert got[0]["recall"] == sum(r["found"] for r in got) / 750 and got[0]["recall"] >= 0.9
+    assert vectors.index_recall(index.limit(0).withColumnRenamed("table_id", "qid"), index.limit(0)).count() == 0
+
+
+def test_trigrams_by_bounds(spark, monkeypatch):
+    """Against all pairs; many rows share all but a query's rare trigrams, and frequent trigrams are split."""
+    import random
+
+    from factloom.operators import matching
+
+    monkeypatch.setattr(matching, "HEAVY", 7)
+    rng = random.Random(3)
+    words = ["market", "markets", "red", "ring", "widget", "small", "grew", "the", "table", "of", "x"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    queries = [(i, say(rng.randint(1, 6))) for i in range(40)] + [(90, ""), (91, None), (92, "qqq"), (93, "the market grew")]
+    index = [(i, say(rng.randint(1, 5))) for i in range(150)] + [(900, None), (901, ""), (902, "the market grew"), (903, "the market grew")]
+    got = matching.trigram_topk(spark.createDataFrame(queries, "qid int, t string"), spark.createDataFrame(index, "table_id int, t string"), k=5)
+    grams = lambda t: {f"  {w} "[i : i + 3] for w in (t or "").lower().split() for i in range(len(w) + 1)}
+    want = {}
+    for q, t in queries:
+        a = grams(t)
+        scores = sorted((-len(a & grams(x)) / len(a | grams(x)), i) for i, x in index if a & grams(x))
+        want |= {(q, r + 1): i for r, (s, i) in enumerate([s for s in scores if -s[0] >= 0.1][:5])}
     assert {(r["qid"], r["rank"]): r["table_id"] for r in got.collect()} == want
-    assert matching.vector_topk(index.limit(0).withColumnRenamed("table_id", "qid"), index).count() == 0
+
+
+def test_display_text(spark):
+    """Worked cases of what a reader is shown."""
+    block = "이 문단은 두 번 반복되어 나오는 관련 기사 안내문입니다 "
+    cases = [
+        ("메뉴 입력 2024.01.02. 03:04 홈 입력2024.01.02. 05:06 업데이트 2024.01.02.  07:08 23 본문이다. 끝.", "본문이다. 끝."),
+        ("앞 Video Player is loading. 재생\n자막 End of dialog window. 뒤 By Taboola 광고", "앞   뒤"),
+        (block + block + block + "본문", block + "본문"),
+        ("하나. 둘? 셋! 넷. 46.1%로 2023년. 3명", "하나. 둘? 셋!\n\n넷. 46.1%로 2023년. 3명"),
+        ("줄이 있다.\n둘. 셋. 넷. 다섯.", "줄이 있다.\n둘. 셋. 넷. 다섯."),
+        ("\u3000 안쪽 \ufeff", "안쪽"), ("", ""), (None, None), ("짧은 짧은 짧은 짧은", "짧은 짧은 짧은 짧은"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "article_id int, text string")
+    assert {r["article_id"]: r["text"] for r in text.shown_text(df, KOREAN).collect()} == {i: w for i, (_, w) in enumerate(cases)}
+
+
+def test_repeats_are_those_of_trying_all_lengths():
+    import random
+
+    from factloom.operators import repeats
+
+    def slow(t, least, most):
+        out, i = "", 0
+        while i < len(t):
+            n = next((n for n in range(min(most, (len(t) - i) // 2), least - 1, -1) if t[i : i + n] == t[i + n : i + 2 * n]), 0)
+            out += t[i : i + (n or 1)]
+            i += n or 1
+            while n and t[i : i + n] == t[i - n : i]:
+                i += n
+        return out
+
+    rng = random.Random(1)
+    for k in range(300):
+        s = "".join(rng.choice("abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(0, 120)))
+        b = "".join(rng.choice("abcdefg ") for _ in range(rng.randint(15, 320)))
+        s = s + b * (k % 4) + b[: rng.randint(0, len(b))] + s
+        assert repeats.collapse(s) == slow(s, 20, 300) and repeats.collapse(s, 3, 40) == slow(s, 3, 40)
+
+
+def test_series_index(spark):
+    """Extremes of any stretch against plain Python: gaps, repeated and missing values, units, mixed frequencies, odd periods."""
+    import random
+
+    from factloom.operators import series
+
+    rng = random.Random(6)
+    months = [f"{y}{m:02d}" for y in (2020, 2021, 2022) for m in range(1, 13)] + ["2020", "2021", "2022"]
+    obs = [(c, "A", "F", p, rng.choice([None, 1.0, 2.0, 3.0, -4.5]), "w" if (c, p) == (2, "202106") else "u") for c in (1, 2, 3) for p in rng.sample(months, 20) for _ in range(rng.choice([1, 1, 2]))] + [(1, "A", "F", "bad", 99.0, "u"), (1, "A", "F", None, 99.0, "u"), (4, "A", "F", "202213", 1.0, "u")]
+    ends = [*months, "201912", "202301", "bad", None]
+    asks = [(i, rng.choice([1, 2, 3, 4, 5]), "A", "F", rng.choice(ends), rng.choice(ends)) for i in range(300)]
+    o = spark.createDataFrame(obs, "table_id int, item_id string, dim string, period string, value double, unit string")
+    a = spark.createDataFrame(asks, "claim_id int, table_id int, item_id string, dim string, start_period string, end_period string")
+    for high in (True, False):
+        want = {}
+        for i, c, _, _, lo, hi in asks:
+            here = [(-v if high else v, p, u) for x, _, _, p, v, u in obs if x == c and v is not None and p in months and lo in months + ends[-4:-2] and hi in months + ends[-4:-2] and lo <= p <= hi]
+            if here:
+                v, p, _ = min(here)
+                want[i] = ("mixed_units", None, None) if len({u for *_, u in here}) > 1 else ("ok", -v if high else v, p)
+        assert {r["claim_id"]: (r["status"], r["value"], r["period"]) for r in series.range_extremes(a, o, high).collect()} == want
 
 
 def test_computed_claims(spark):
