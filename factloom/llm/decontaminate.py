@@ -34,6 +34,8 @@ SHINGLE, SIMILARITY_TENTHS = 5, 8
 ITEM_BYTES = 16_000_000
 #: Starts of windows that are worked on at a time.
 CHUNK = 1 << 16
+#: Shingles of an item from which windows with too few shingles of items are left before their fingerprints are read.
+LONG_ITEM = 40
 _WORD = re.compile(r"\w+")
 _LANES = np.uint64(0x0101010101010101)
 
@@ -130,15 +132,20 @@ class Sized:
         #: Blocks by how few of their values name an item: most windows are done with after two or three.
         self.order = np.argsort((self.tables != 0).sum(axis=2), axis=0, kind="stable")
 
-    def candidates(self, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) for the items that all eight blocks of a window's fingerprint name."""
+    def candidates(self, windows: Windows, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) for the items that all eight blocks of a window's fingerprint name.
+
+        Of long items few bits are firm, and the tables name most of them for most windows; there `within`, the windows that
+        hold enough shingles of any item, come first, so that what is named at a time stays few.
+        """
         at, items = [], []
+        first = np.flatnonzero(within) if self.n >= LONG_ITEM else None
         for w in range(self.words):
-            left = named = None
+            left, named = first, None
             for step, block in enumerate(self.order[:, w].tolist()):
                 found = self.tables[block, w].take(windows.block(block, self.n, left))
                 named = found if named is None else named & found
-                if step:
+                if step or first is not None:
                     some = np.flatnonzero(named != 0)
                     left, named = some if left is None else left[some], named[some]
             for i in range(min(self.size, len(self.items) - w * self.size)):
@@ -220,9 +227,9 @@ class Items:
             for s in sized:
                 if len(h) < s.n:
                     break
-                start, item = s.candidates(windows)
-                enough = held[start + s.n] - held[start] >= s.need
-                start, item = start[enough] + first, item[enough]
+                enough = held[s.n :] - held[: -s.n] >= s.need
+                start, item = s.candidates(windows, enough)
+                start, item = start[enough[start]] + first, item[enough[start]]
                 text = np.searchsorted(edges, start, side="right") - 1
                 whole = start + s.n <= edges[text + 1]  # not over the end of a text
                 start, item, text = start[whole], item[whole], text[whole]

@@ -302,8 +302,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
 
     The fingerprints' tries give a spanning forest of close texts, whose links are checked on whole texts; that settles most
     copies. Texts that are still apart meet in close_sets(), which misses no pair, and are checked likewise: so no link
-    depends on chance, on the forest or on a group's size. Rows with equal texts are one node, named by a hash of the text;
-    component_id is the smallest id of the component, or its root if all ids are null. Components of unlike texts that
+    depends on chance, on the forest or on a group's size. Rows with equal texts are one node, numbered in a written
+    table; component_id is the smallest id of the component, or a hash of its texts if all ids are null. Components of unlike texts that
     share an id can have the same component_id, but never the same root.
     """
     spark = docs.sparkSession
@@ -320,7 +320,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("sha"), mark(text).alias("prints")), "similar-prints")
     nodes = marked.groupBy("sha").agg(F.min("doc_id").alias("low"), F.first("prints").alias("prints"))
-    nodes = cut(nodes.select("sha", F.xxhash64("sha").alias("node"), "low", "prints"), "similar-nodes")
+    # a node's number is its place in the written table: no two texts share one, however many there are
+    nodes = cut(nodes.select("sha", F.monotonically_increasing_id().alias("node"), "low", "prints"), "similar-nodes")
     cells = nodes.select("node", F.posexplode("prints").alias("band", "fp"))
     pairs = links(cells.select("band", "node", "fp"), nodes.count(), radius, bits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     keyed = docs.select(F.sha2(text, 256).alias("sha"), text.alias("text"))
@@ -363,6 +364,6 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     more = more.join(name.toDF("a", "pa"), "a").join(name.toDF("b", "pb"), "b").select("pa", "pb")
     whole = connected_components(more, "pa", "pb").select(F.col("node").alias("part"), "root")
     of = cut(of.join(whole, "part", "left").select("sha", "low", F.coalesce("root", "part").alias("root")), "similar-roots")
-    low = of.groupBy("root").agg(F.coalesce(F.min("low"), F.col("root")).alias("component_id"))
+    low = of.groupBy("root").agg(F.coalesce(F.min("low"), F.xxhash64(F.min("sha"))).alias("component_id"))
     of = of.select("sha", "root").join(low, "root")
     return marked.join(of, "sha").select(F.col("doc_id").alias(id_col), "sha", "component_id", "root")

@@ -753,3 +753,34 @@ def test_langid_scripts_of_no_learned_language():
 def test_pairs_of_words_have_an_order():
     a = quality.pairs_of(np.array([5, 9, 5, 5, 9, 9]))
     assert a[0] != a[1] and a[2] != a[4] and a[0] == a[3]
+
+
+@pytest.mark.parametrize("size", [15, 60, 150, 400])
+def test_decontamination_by_item_size(size):
+    """Every window of 0.8 or more is found at any size of items, against plain Python; edited copies in long texts."""
+    rng = random.Random(size)
+    pool = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(size))) for i in range(12)]
+    texts = []
+    for k in range(16):
+        words = items[k % 12][1].split()
+        for _ in range(rng.randint(0, max(1, size // 40))):
+            words[rng.randrange(size)] = "edited"
+        texts.append(" ".join([rng.choice(pool) for _ in range(rng.randint(0, 300))] + words + [rng.choice(pool) for _ in range(rng.randint(0, 300))]))
+    texts += [" ".join(rng.choice(pool) for _ in range(1000)), ""]
+    got = {(t, f[0]) for t, found in enumerate(decontaminate.Items(items).matches(texts)) for f in found}
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = set()
+    for t, text in enumerate(texts):
+        w = text.split()
+        for i, it in items:
+            own, n = grams(it.split()), size - 4
+            common = [tuple(w[a : a + 5]) in own for a in range(len(w) - 4)]
+            for a in range(len(w) - size + 1):
+                if sum(common[a : a + n]) < 0.8 * n:
+                    continue
+                window = grams(w[a : a + size])
+                shared = sum((window & own).values())
+                if shared >= 0.8 * (2 * n - shared):
+                    want.add((t, i))
+    assert got == want and len(want) >= 12
