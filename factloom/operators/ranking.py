@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,41 +52,60 @@ def stratified(df: DataFrame, key: str, label: str, n_by_label: dict, seed: int)
 
 
 def locate_claims(articles: DataFrame, claims: DataFrame) -> DataFrame:
-    """(article_id, claim_id, start, end, kept): where each claim's sentence first stands, quotes aside.
+    """(article_id, claim_id, start, end, kept, state, number): where each claim's sentence first stands, quotes aside.
 
-    By start, a claim that overlaps one kept before it isn't kept. That is sequential: one pass over each article's claims. Claims that don't occur have null places.
+    Claims are taken by start, then id. One that begins before the end of the last kept claim isn't kept: it is a `duplicate`
+    if it begins where that one does and has the same verdict (a column of claims, if there is one), else an `overlap`; one
+    that doesn't occur is `not found`. Kept claims are numbered by place, after them those not found by id, then the overlaps;
+    duplicates have no number. An article's claims are selected in one fold over their sorted array.
     """
     from .text import straight_quotes
 
     at = F.position(straight_quotes(F.col("sentence")), straight_quotes(F.col("text")))
-    rows = claims.join(articles.select("article_id", "text"), "article_id").select("article_id", "claim_id", F.when((at > 0) & (F.col("sentence") != ""), at - 1).alias("start"), F.length("sentence").alias("n")).withColumn("end", F.col("start") + F.col("n")).drop("n")
+    verdict = F.col("verdict").cast("string") if "verdict" in claims.columns else F.lit(None).cast("string")
+    rows = claims.withColumn("_v", verdict).join(articles.select("article_id", "text"), "article_id").select("article_id", "claim_id", F.when((at > 0) & (F.col("sentence") != ""), at - 1).alias("start"), F.length("sentence").alias("n"), "_v")
+    one = F.struct(F.col("start").isNull().alias("lost"), "start", "claim_id", (F.col("start") + F.col("n")).alias("end"), F.col("_v").alias("v"))
+    held = rows.groupBy("article_id").agg(F.array_sort(F.collect_list(one)).alias("c"))
 
-    def fold(batches):
-        article, end = None, -1
-        for pdf in batches:
-            kept = []
-            for a, s, e in zip(pdf["article_id"], pdf["start"], pdf["end"]):
-                if a != article:
-                    article, end = a, -1
-                ok = pd.notna(s) and s >= end
-                kept.append(bool(ok))
-                end = e if ok else end
-            yield pdf.assign(start=pdf["start"].astype("Int32"), end=pdf["end"].astype("Int32"), kept=kept)
+    def said(x: Column, state: Column) -> Column:
+        return F.struct(x["claim_id"].alias("claim_id"), x["start"].alias("start"), x["end"].alias("end"), state.alias("state"))
 
-    ordered = rows.repartition("article_id").sortWithinPartitions("article_id", F.asc_nulls_last("start"), "claim_id")
-    return ordered.mapInPandas(fold, "article_id long, claim_id long, start int, end int, kept boolean")
+    def step(acc: Column, x: Column) -> Column:
+        keep = x["start"] >= acc["upto"]
+        state = F.when(keep, "kept").when((x["start"] == acc["at"]) & x["v"].eqNullSafe(acc["v"]), "duplicate").otherwise("overlap")
+        own = lambda new, old: F.when(keep, x[new]).otherwise(acc[old])
+        return F.struct(own("end", "upto").alias("upto"), own("start", "at").alias("at"), own("v", "v").alias("v"), F.concat(acc["out"], F.array(said(x, state))).alias("out"))
+
+    none = F.filter(F.transform("c", lambda x: said(x, F.lit(""))), lambda x: F.lit(False))
+    first = F.struct(F.lit(0).alias("upto"), F.lit(-1).alias("at"), F.lit(None).cast("string").alias("v"), none.alias("out"))
+    found = F.aggregate(F.filter("c", lambda x: ~x["lost"]), first, step, lambda acc: acc["out"])
+    lost = F.transform(F.filter("c", lambda x: x["lost"]), lambda x: said(x, F.lit("not found")))
+    held = held.select("article_id", found.alias("f"), lost.alias("lost"))
+    of = lambda state: F.filter("f", lambda x: x["state"] == state)
+
+    def numbered(rows: Column, after: Column | None) -> Column:
+        number = lambda i: (after + i + 1).cast("int") if after is not None else F.lit(None).cast("int")
+        return F.transform(rows, lambda x, i: F.struct(x["claim_id"].alias("claim_id"), x["start"].alias("start"), x["end"].alias("end"), (x["state"] == "kept").alias("kept"), x["state"].alias("state"), number(i).alias("number")))
+
+    kept, n_lost = F.size(of("kept")), F.size("lost")
+    return held.select("article_id", F.inline(F.concat(numbered(of("kept"), F.lit(0)), numbered(F.col("lost"), kept), numbered(of("overlap"), kept + n_lost), numbered(of("duplicate"), None))))
 
 
 def segments(articles: DataFrame, located: DataFrame) -> DataFrame:
-    """(article_id, pos, claim_no, paragraph, text): the text cut at kept claims; plain stretches have no number.
+    """(article_id, pos, claim_no, paragraph, text): the text cut at kept claims, what is between them also at blank lines.
 
-    Claims are numbered by place. A stretch's paragraph is the number of blank lines before it.
+    Claims have their number, other stretches none. A claim lies in one paragraph, whatever lines it has; paragraphs count
+    from 0, and those that nothing is left of don't count.
     """
     w = W.partitionBy("article_id").orderBy("start")
-    kept = located.filter("kept").select("article_id", "start", "end", F.row_number().over(w).alias("claim_no"), F.coalesce(F.lag("end").over(w), F.lit(0)).alias("before"))
+    kept = located.filter("kept").select("article_id", "start", "end", F.col("number").alias("claim_no"), F.coalesce(F.lag("end").over(w), F.lit(0)).alias("before"))
     text = articles.select("article_id", "text", F.length("text").alias("n"))
     last = kept.groupBy("article_id").agg(F.max("end").alias("before"))
-    rest = text.join(last, "article_id", "left").select("article_id", F.coalesce("before", F.lit(0)).alias("a"), F.col("n").alias("b"), F.lit(None).cast("int").alias("claim_no"))
-    parts = kept.select("article_id", F.col("before").alias("a"), F.col("start").alias("b"), F.lit(None).cast("int").alias("claim_no")).unionByName(kept.select("article_id", F.col("start").alias("a"), F.col("end").alias("b"), "claim_no")).unionByName(rest).filter("b > a")
-    out = parts.join(text, "article_id").select("article_id", F.row_number().over(W.partitionBy("article_id").orderBy("a")).alias("pos"), "claim_no", (F.size(F.split(F.substring(F.col("text"), F.lit(1), F.col("a")), r"\n{2,}")) - 1).alias("paragraph"), F.substring(F.col("text"), F.col("a") + 1, F.col("b") - F.col("a")).alias("text"))
-    return out
+    none = F.lit(None).cast("int").alias("claim_no")
+    rest = text.join(last, "article_id", "left").select("article_id", F.coalesce("before", F.lit(0)).alias("a"), F.col("n").alias("b"), none)
+    parts = kept.select("article_id", F.col("before").alias("a"), F.col("start").alias("b"), none).unionByName(kept.select("article_id", F.col("start").alias("a"), F.col("end").alias("b"), "claim_no")).unionByName(rest).filter("b > a")
+    piece = F.substring(F.col("text"), F.col("a") + 1, F.col("b") - F.col("a"))
+    cut = parts.join(text, "article_id").select("article_id", "a", "claim_no", F.posexplode(F.when(F.col("claim_no").isNull(), F.split(piece, r"\n{2,}")).otherwise(F.array(piece))).alias("i", "text"))
+    order = W.partitionBy("article_id").orderBy("a", "i")
+    cut = cut.withColumn("p", F.sum((F.col("i") > 0).cast("int")).over(order)).filter("text != ''")
+    return cut.select("article_id", F.row_number().over(order).alias("pos"), "claim_no", (F.dense_rank().over(W.partitionBy("article_id").orderBy("p")) - 1).alias("paragraph"), "text")

@@ -277,26 +277,33 @@ def k7(spark, d):
 
 
 def _marked(spark, d):
-    """Each document's third and fourth word, as claims to place in it."""
+    """Each document's third and fourth word, the third once more, and words that it hasn't, as claims to place in it."""
     a = table(spark, d, "articles")
-    two = F.array(*[F.struct((F.col("article_id") * 2 + i).alias("claim_id"), F.element_at(F.split("text", r"\s+"), i + 3).alias("sentence")) for i in (0, 1)])
-    return a, a.filter(F.size(F.split("text", r"\s+")) > 4).select("article_id", F.inline(two))
+    word = lambda i: F.element_at(F.split("text", r"\s+"), i)
+    said = [(word(3), F.lit("match")), (word(4), F.lit("match")), (word(3), F.when(F.col("article_id") % 2 == 0, "match").otherwise("mismatch")), (F.lit("no such words"), F.lit("match"))]
+    claims = F.array(*[F.struct((F.col("article_id") * 4 + i).alias("claim_id"), x.alias("sentence"), v.alias("verdict")) for i, (x, v) in enumerate(said)])
+    return a, a.filter(F.size(F.split("text", r"\s+")) > 4).select("article_id", F.inline(claims))
 
 
 _QUOTES = "translate({}, '“”‘’', concat(chr(34), chr(34), chr(39), chr(39)))"
-_LOCATED = rf"""cl as (select article_id, article_id * 2 + i as claim_id, w[i + 3] as sentence from (select article_id, string_split_regex(text, '[ \t\n\v\f\r]+') as w from articles), range(2) r(i) where len(w) > 4),
-  pl as (select cl.article_id, claim_id, length(sentence) as n, case when sentence <> '' then nullif(strpos({_QUOTES.format("text")}, {_QUOTES.format("sentence")}), 0) - 1 end as s from cl join articles using (article_id)),
+_LOCATED = rf"""cl as (select article_id, article_id * 4 + i as claim_id, case i when 1 then w[4] when 3 then 'no such words' else w[3] end as sentence, case when i = 2 and article_id % 2 > 0 then 'mismatch' else 'match' end as v from (select article_id, string_split_regex(text, '[ \t\n\v\f\r]+') as w from articles), range(4) r(i) where len(w) > 4),
+  pl as (select cl.article_id, claim_id, v, length(sentence) as n, case when sentence <> '' then nullif(strpos({_QUOTES.format("text")}, {_QUOTES.format("sentence")}), 0) - 1 end as s from cl join articles using (article_id)),
   o as (select *, s + n as e, row_number() over (partition by article_id order by s nulls last, claim_id) as k from pl),
-  f as (select article_id, claim_id, s, e, k, s is not null as kept, case when s is not null then e else -1 end as upto from o where k = 1
-    union all select o.article_id, o.claim_id, o.s, o.e, o.k, coalesce(o.s >= f.upto, false), case when o.s >= f.upto then o.e else f.upto end from f join o on o.article_id = f.article_id and o.k = f.k + 1)"""
-_SEGMENTS = r"""kp as (select article_id, s, e, row_number() over (partition by article_id order by s) as claim_no, coalesce(lag(e) over (partition by article_id order by s), 0) as before from f where kept),
+  f as (select article_id, claim_id, s, e, k, case when s is null then 'not found' else 'kept' end as state, case when s is not null then e else 0 end as upto, coalesce(s, -1) as spot, v as seen from o where k = 1
+    union all select o.article_id, o.claim_id, o.s, o.e, o.k, case when o.s is null then 'not found' when o.s >= f.upto then 'kept' when o.s = f.spot and o.v is not distinct from f.seen then 'duplicate' else 'overlap' end,
+      case when o.s >= f.upto then o.e else f.upto end, case when o.s >= f.upto then o.s else f.spot end, case when o.s >= f.upto then o.v else f.seen end from f join o on o.article_id = f.article_id and o.k = f.k + 1),
+  lc as (select article_id, claim_id, s, e, state = 'kept' as kept, state, case when state <> 'duplicate' then row_number() over (partition by article_id order by case state when 'kept' then 0 when 'not found' then 1 when 'overlap' then 2 else 3 end, s, claim_id) end as number from f)"""
+_SEGMENTS = r"""kp as (select article_id, s, e, number as claim_no, coalesce(lag(e) over (partition by article_id order by s), 0) as before from lc where kept),
   pt as (select article_id, before as a, s as b, null as claim_no from kp union all select article_id, s, e, claim_no from kp
-    union all select x.article_id, coalesce(max(e), 0), length(any_value(x.text)), null from articles x left join kp using (article_id) group by x.article_id)
-  select article_id, row_number() over (partition by article_id order by a) as pos, claim_no, len(string_split_regex(left(text, a), '
-{2,}')) - 1 as paragraph, substr(text, a + 1, b - a) as text from pt join articles using (article_id) where b > a"""
+    union all select x.article_id, coalesce(max(e), 0), length(any_value(x.text)), null from articles x left join kp using (article_id) group by x.article_id),
+  pc as (select article_id, a, claim_no, case when claim_no is null then string_split_regex(substr(text, a + 1, b - a), '
+{2,}') else [substr(text, a + 1, b - a)] end as x from pt join articles using (article_id) where b > a),
+  pe as (select article_id, a, claim_no, unnest(x) as text, generate_subscripts(x, 1) as i from pc),
+  pp as (select *, sum(case when i > 1 then 1 else 0 end) over (partition by article_id order by a, i) as p from pe)
+  select article_id, row_number() over (partition by article_id order by a, i) as pos, claim_no, dense_rank() over (partition by article_id order by p) - 1 as paragraph, text from pp where text <> ''"""
 
 
-@query("k8_locate_claims", over(f'with {_LOCATED} select article_id, claim_id, s as start, e as "end", kept from f').replace("with ", "with recursive ", 1))
+@query("k8_locate_claims", over(f'with {_LOCATED} select article_id, claim_id, s as start, e as "end", kept, state, number from lc').replace("with ", "with recursive ", 1))
 def k8(spark, d):
     return k.locate_claims(*_marked(spark, d))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factloom.session import shared_folder as staging_dir
 
 from .readers import parsed_dims
+from .versioned import snapshot, upsert_tables
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: str, created: Column | None = None) -> DataFrame:
@@ -23,32 +24,18 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, created: Column | None
     return target.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def write_upsert(target_path: str, batch: DataFrame, key: str, buckets: int = 64) -> None:
-    """Upsert into a Parquet table partitioned by a hash of the key; only the partitions that the batch touches are rewritten.
+def write_upsert(target_path: str, batch: DataFrame, key: str, buckets: int = 64, name: str | None = None, number: int | None = None) -> int:
+    """Upsert into a versioned table; the version that holds the batch. A batch of that name and number is taken once.
 
-    Partitions not rewritten keep the columns that they have; read_upserted() gives all columns that any batch brought. The
-    result is complete in the shared folder before a partition is replaced, and a batch run again gives the same table.
+    Only the hash partitions that the batch touches are rewritten, and all of them are replaced in one step: a failure before
+    it leaves the old version whole, and readers stay on that until then.
     """
-    spark = batch.sparkSession
-    part = lambda df: df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    rows = part(batch)
-    touched = [r[0] for r in rows.select("_part").distinct().collect()]  # at most `buckets` numbers
-    try:
-        old = spark.read.option("mergeSchema", "true").parquet(target_path).filter(F.col("_part").isin(touched))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        merged = part(upsert(batch.drop("seq").limit(0), batch, key))
-    else:
-        merged = part(upsert(old.drop("_part"), batch, key))
-    staged = staging_dir(spark, "upsert")
-    merged.write.parquet(staged)
-    spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(target_path)
-
-
-def read_upserted(spark: SparkSession, target_path: str) -> DataFrame:
-    """The table that write_upsert() keeps, with every column that some batch brought."""
-    return spark.read.option("mergeSchema", "true").parquet(target_path).drop("_part")
+    return upsert_tables(batch.sparkSession, target_path, {"main": (batch, key)}, upsert, buckets, None if name is None else (name, number or 0))
+
+
+def read_upserted(spark: SparkSession, target_path: str, version: int | None = None) -> DataFrame | None:
+    """The table that write_upsert() keeps, as of a version, with every column that some batch brought."""
+    return snapshot(spark, target_path, version=version)
 
 
 def read_all(df: DataFrame, key: str) -> DataFrame:

@@ -16,12 +16,12 @@ from factloom.sources.sinks import write_upsert
 def verify_stream(stream: DataFrame, verify: Callable[[DataFrame], DataFrame], target: str, key: str, checkpoint: str, buckets: int = 64, trigger: dict | None = None):
     """A running query that verifies each micro-batch and upserts the records into the table at `target`.
 
-    verify may join the batch with static reference tables. A batch that is run again after a failure upserts the same
-    records, so the table ends up the same. Without a trigger, all that is there is processed and the query ends.
+    verify may join the batch with static reference tables. A batch that is run again after a failure is known by its
+    checkpoint and number, and is taken once. Without a trigger, all that is there is processed and the query ends.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        write_upsert(target, verify(batch).withColumn("seq", F.lit(batch_id)), key, buckets)
+        write_upsert(target, verify(batch).withColumn("seq", F.lit(batch_id)), key, buckets, checkpoint, batch_id)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

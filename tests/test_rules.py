@@ -388,3 +388,97 @@ def test_slot_state_across_batches(spark):
         slot_state(stream, ["period", "region"]).writeStream.format("parquet").option("checkpointLocation", ck).option("path", out).trigger(availableNow=True).start().awaitTermination()
     got = {(r["conv_id"], r["turn"]): (r["period"], r["region"]) for r in spark.read.parquet(out).collect()}
     assert got == {(1, 0): (None, "a"), (1, 1): ("2024", "a"), (1, 2): ("2024", "a"), (2, 0): (None, None)}
+
+
+def test_versions_change_in_one_step(spark, monkeypatch):
+    """A failure before the commit leaves the old version whole; a clash starts over; a repeated batch changes nothing."""
+    from factloom.sources import sinks, versioned
+
+    root = sinks.staging_dir(spark, "versions")
+    rows = lambda v, *ids: spark.createDataFrame([(i, v, 1) for i in ids], "id int, v string, seq int")
+    table = lambda n=None: {r["id"]: r["v"] for r in sinks.read_upserted(spark, root, n).collect()}
+    assert sinks.read_upserted(spark, root) is None and versioned.versions(spark, root) == []
+    assert sinks.write_upsert(root, rows("a", *range(20)), "id", 4, "s", 0) == 1
+    assert sinks.write_upsert(root, rows("b", 3, 4), "id", 4, "s", 1) == 2
+    assert sinks.write_upsert(root, rows("never", 3, 4), "id", 4, "s", 1) == 2 and table()[3] == "b"
+    real = versioned.commit
+
+    def fails(*_):
+        raise OSError("lost between write and commit")
+
+    monkeypatch.setattr(versioned, "commit", fails)
+    with pytest.raises(OSError):
+        sinks.write_upsert(root, rows("c", *range(20)), "id", 4)
+    monkeypatch.setattr(versioned, "commit", real)
+    assert table() == {i: "b" if i in (3, 4) else "a" for i in range(20)} and table(1) == dict.fromkeys(range(20), "a")
+
+    def late(s, path, content, once=[]):
+        if not once:  # another writer is faster
+            once.append(1)
+            sinks.write_upsert(root, rows("other", 5), "id", 4)
+        real(s, path, content)
+
+    monkeypatch.setattr(versioned, "commit", lambda s, path, content: (monkeypatch.setattr(versioned, "commit", real), late(s, path, content)))
+    assert sinks.write_upsert(root, rows("mine", 6), "id", 4) == 4
+    assert (table()[5], table()[6]) == ("other", "mine") and versioned.versions(spark, root) == [1, 2, 3, 4]
+    with pytest.raises(versioned.Clash):
+        versioned.commit(spark, root, {"version": 4, "tables": {}, "batches": {}})
+    with pytest.raises(ValueError):
+        sinks.read_upserted(spark, root, 9)
+    before = table()
+    assert versioned.vacuum(spark, root, keep=1) > 0 and table() == before and versioned.versions(spark, root) == [4]
+    assert sinks.write_upsert(root, rows("z").limit(0), "id", 4) == 5 and table() == before
+
+
+def test_article_stream_is_taken_once(spark):
+    """A micro-batch that runs again, as after a failure, changes nothing; an article that comes again replaces its records."""
+    from factloom.functions.locale import ENGLISH
+    from factloom.sources import sinks, versioned
+    from factloom.streaming import articles as st
+
+    obs = spark.createDataFrame([(1, "A", "F", "2020", 10.0, "units")], "table_id int, item_id string, dim string, period string, value double, unit string")
+    claims = spark.createDataFrame([(1, 7, "It shipped 10 units.", 10.0, "units", "level", "level", "2020"), (2, 7, "It shipped 99 units.", 99.0, "units", "level", "level", "2020"), (3, 8, "No match.", 5.0, "units", "level", "level", "2020")], "claim_id int, article_id int, sentence string, claim_value double, claim_unit string, claim_type string, value_type string, claim_period string")
+    matches = spark.createDataFrame([(1, "lookup", 1, "A", "F", "2020", "2020", "units"), (2, "lookup", 1, "A", "F", "2020", "2020", "units")], "claim_id int, calc_type string, table_id int, item_id string, dim string, period string, start_period string, computed_unit string")
+    articles = spark.createDataFrame([(7, "It shipped 10 units. It shipped 99 units."), (8, "No match. Nothing."), (8, "No match. Nothing.")], "article_id int, text string")
+
+    def chain(batch):
+        records = st.records_of(batch, claims, matches, obs)
+        return {"records": (records, "claim_id"), "articles": (st.article_export(batch, records, ENGLISH), "article_id")}
+
+    path, target, mark = (sinks.staging_dir(spark, n) for n in ("in", "out", "mark"))
+    articles.write.parquet(path)
+    source = spark.readStream.schema(articles.schema).parquet(path)
+    st.article_stream(source, chain, target, mark, 2).awaitTermination()
+    want = ({(1, "match"), (2, None), (3, None)}, {(7, 2, 2, 1), (8, 0, 1, 0)})
+    held = lambda: ({(r["claim_id"], r["verdict"]) for r in versioned.snapshot(spark, target, "records").collect()}, {tuple(r) for r in versioned.snapshot(spark, target, "articles").select("article_id", "n_expressions", "n_claims", "n_match").collect()})
+    assert held() == want and versioned.snapshot(spark, target, "records").count() == 3
+    assert versioned.upsert_tables(spark, target, chain(articles.limit(0)), sinks.upsert, 2, (mark, 0)) == 1 and held() == want
+    articles.filter("article_id = 7").write.mode("append").parquet(path)
+    st.article_stream(source, chain, target, mark, 2).awaitTermination()
+    assert held() == want and versioned.versions(spark, target) == [1, 2]
+
+
+def test_ordered_slots(spark):
+    """Turns that come late, twice and in any order; state that ends after an hour without turns."""
+    import datetime as dt
+
+    from factloom.sources.sinks import staging_dir
+    from factloom.streaming.slots import ordered_slots
+
+    path, out, mark = (staging_dir(spark, n) for n in ("turns", "slots", "mark"))
+    day = lambda minute: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+    batches = [
+        [(1, 1, day(2), "late 2024", None), (2, 0, day(1), None, None), (1, 2, day(3), "2025", "south")],
+        [(1, 0, day(0), None, "north"), (1, 1, day(2), "late 2024", None), (None, 3, day(3), "x", "x"), (2, None, day(3), "x", "x")],
+        [(3, 0, day(60), "far", None)],  # the watermark passes the first turns
+        [(1, 3, day(1), "too late", "too late"), (1, 4, day(70), None, None), (3, 1, day(200), None, None)],
+        [(1, 5, day(210), None, "new"), (9, 0, day(2000), None, None)],  # after an hour of silence nothing is known
+        [(9, 1, day(9000), None, None)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, "conv_id long, turn int, said timestamp, period string, region string").coalesce(1).write.mode("append").parquet(path)
+        source = spark.readStream.schema("conv_id long, turn int, said timestamp, period string, region string").parquet(path)
+        got = ordered_slots(source, ["period", "region"], "said")
+        got.writeStream.format("parquet").option("checkpointLocation", mark).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    rows = {(r["conv_id"], r["turn"]): (r["period"], r["region"]) for r in spark.read.parquet(out).collect() if r["conv_id"] < 9}
+    assert rows == {(1, 0): (None, "north"), (1, 1): ("late 2024", "north"), (1, 2): ("late 2024", "north"), (2, 0): (None, None), (3, 0): ("far", None), (1, 4): (None, None), (3, 1): (None, None), (1, 5): (None, "new")}
