@@ -22,6 +22,39 @@ def frontier(categories: DataFrame, visited: DataFrame) -> DataFrame:
     return categories.select("list_id").distinct().join(visited, "list_id", "left_anti")
 
 
+def crawl(items: DataFrame, roots: DataFrame, folder: str, most_levels: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """((view, table_id, level), (view, list_id, level)): all tables and categories below the roots, each at its first level.
+
+    items (view, parent_id, list_id, table_id) hold a category's children: categories by list_id, tables by table_id. roots:
+    (view, list_id). A level of categories is one join; what was visited is left out of the next, so cycles end. Every level is
+    written below folder, and a crawl that was broken off goes on after the last level that is there as a whole.
+    """
+    spark = items.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    kind = items.schema["list_id"].dataType.simpleString()
+    visited = lambda n: [f"{folder}/visited/{i:04d}" for i in range(n)]
+    read = lambda n: spark.read.schema(f"view string, list_id {kind}, level int").parquet(*visited(n))
+
+    def whole(path: str) -> bool:
+        place = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return place.getFileSystem(conf).exists(place)
+
+    level = 0
+    while whole(visited(level + 1)[-1]):
+        level += 1
+    if not level:
+        roots.select("view", "list_id").distinct().withColumn("level", F.lit(0)).write.mode("overwrite").parquet(visited(1)[-1])
+        level = 1
+    while level < most_levels and not read(level).filter(F.col("level") == level - 1).isEmpty():
+        front = read(level).filter(F.col("level") == level - 1).select("view", F.col("list_id").alias("parent_id"))
+        below = items.filter("table_id is null and list_id is not null").join(front, ["view", "parent_id"]).select("view", "list_id").distinct()
+        below.join(read(level), ["view", "list_id"], "left_anti").withColumn("level", F.lit(level)).write.mode("overwrite").parquet(visited(level + 1)[-1])
+        level += 1
+    seen = read(level)
+    tables = items.filter("table_id is not null").join(seen.withColumnRenamed("list_id", "parent_id"), ["view", "parent_id"]).groupBy("view", "table_id").agg((F.min("level") + 1).alias("level"))
+    return tables, seen
+
+
 def pick_title(rows: DataFrame, priority: dict[str, int]) -> DataFrame:
     """(table_id, name, view): one named row for each table, by the view's priority, then pos; other views come between."""
     rank = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in priority.items() for x in (F.lit(k), F.lit(v))]), F.col("view")), F.lit(50))

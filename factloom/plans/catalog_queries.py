@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import catalog as c
 from factloom.registry import query
+from factloom.session import shared_folder, written
 
 from .views import over, table
 
@@ -34,6 +35,20 @@ def b2(spark, d):
     return c.frontier(c.crawl_leaves(_crawl(spark, d))[1], visited)
 
 
+#: A tree of categories, three below each, every fourth node a table, with ways back up.
+_TREE = """select 'V' as view, cast(p_partkey div 3 as bigint) as parent_id, case when p_partkey % 4 > 0 then p_partkey end as list_id, case when p_partkey % 4 = 0 then p_partkey end as table_id from part where p_partkey > 0
+  union all select 'V', p_partkey, cast(p_partkey div 9 as bigint), null from part where p_partkey % 10 = 0"""
+
+
+@query("b2_crawl", f"""with recursive it as ({_TREE.replace(" div ", " // ")}), v as (select cast(0 as bigint) as list_id union select it.list_id from v join it on it.parent_id = v.list_id where it.list_id is not null)
+  select 'category' as kind, list_id as id from v union all select distinct 'table', table_id from it join v on it.parent_id = v.list_id where table_id is not null""")
+def b2_crawl(spark, d):
+    items = spark.sql(_TREE.replace("from part", "from {part}"), part=table(spark, d, "part"))
+    roots = spark.sql("select 'V' as view, cast(0 as bigint) as list_id")
+    tables, seen = c.crawl(written(items, "crawl-items"), roots, shared_folder(spark, "crawl"))
+    return seen.selectExpr("'category' as kind", "list_id as id").unionByName(tables.selectExpr("'table' as kind", "table_id as id"))
+
+
 _VIEWS = "vw as (select table_id, case r.k when 1 then title else case when table_id % 5 = 0 then '' else upper(title) end end as name, case when r.k = 1 then 'EN' when table_id % 2 = 0 then 'NATIVE' else 'OTHER' end as view, r.k as pos from catalog, range(1, 3) r(k))"
 
 

@@ -105,10 +105,34 @@ def load_index(meta: DataFrame, vectors: DataFrame, existing: DataFrame) -> Data
     return checked.join(existing.select("table_id"), "table_id", "left_anti")
 
 
-def stale(catalog: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    """(table_id, why): vectors to make anew or to drop, as the text or the model changed or one side lacks the table."""
-    c = cache.select("table_id", F.col("text").alias("_t"), F.col("model").alias("_m"))
-    rows = catalog.select("table_id", "text").join(c, "table_id", "full")
+def range_digests(rows: DataFrame, key: str, columns: list[str], bits: int = 12) -> DataFrame:
+    """(range, n, a, b): for each range of the key's hash how many rows it has, and two sums of the hashes of their columns.
+
+    One pass with a partial sum in every task; 2**bits rows at most come out, whatever goes in. Keep them beside a cache, and
+    only what changes has to be read again.
+    """
+    said = lambda seed: F.sum(F.xxhash64(F.lit(seed), key, *[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns]).cast("decimal(38,0)"))
+    return rows.groupBy(hash_range(key, bits).alias("range")).agg(F.count(F.lit(1)).alias("n"), said(1).alias("a"), said(2).alias("b"))
+
+
+def hash_range(key: str, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits).cast("int")
+
+
+def stale(catalog: DataFrame, cache: DataFrame, model: str, bits: int = 12) -> DataFrame:
+    """(table_id, why): vectors to make anew or to drop, as the text or the model changed or one side lacks the table.
+
+    Both sides are first compared by the digests of hash ranges, as if every cached vector were of this model; only rows of
+    ranges that differ are joined.
+    """
+    mine = range_digests(catalog.withColumn("model", F.lit(model)), "table_id", ["text", "model"], bits)
+    its = range_digests(cache, "table_id", ["text", "model"], bits)
+    both = mine.join(its.toDF("range", "_n", "_a", "_b"), "range", "full")
+    same = F.col("n").eqNullSafe(F.col("_n")) & F.col("a").eqNullSafe(F.col("_a")) & F.col("b").eqNullSafe(F.col("_b"))
+    differ = F.broadcast(both.filter(~same).select(F.col("range").alias("_range")))  # 2**bits numbers at most
+    within = lambda rows: rows.join(differ, hash_range("table_id", bits) == F.col("_range"), "left_semi")
+    c = within(cache).select("table_id", F.col("text").alias("_t"), F.col("model").alias("_m"))
+    rows = within(catalog.select("table_id", "text")).join(c, "table_id", "full")
     why = F.when(F.col("_m").isNull(), "new").when(F.col("text").isNull(), "gone").when(~F.col("_m").eqNullSafe(F.lit(model)), "model").when(~F.col("text").eqNullSafe(F.col("_t")), "text")
     return rows.select("table_id", why.alias("why")).filter("why is not null")
 

@@ -482,3 +482,33 @@ def test_ordered_slots(spark):
         got.writeStream.format("parquet").option("checkpointLocation", mark).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     rows = {(r["conv_id"], r["turn"]): (r["period"], r["region"]) for r in spark.read.parquet(out).collect() if r["conv_id"] < 9}
     assert rows == {(1, 0): (None, "north"), (1, 1): ("late 2024", "north"), (1, 2): ("late 2024", "north"), (2, 0): (None, None), (3, 0): ("far", None), (1, 4): (None, None), (3, 1): (None, None), (1, 5): (None, "new")}
+
+
+def test_stale_joins_only_what_changed(spark):
+    """A few changes among many rows: the same answer as a full join, from the rows of their ranges alone."""
+    from factloom.sources import sinks
+
+    catalog = spark.range(20_000).selectExpr("id as table_id", "concat('text ', id) as text")
+    cache = catalog.filter("table_id not in (5, 6)").selectExpr("table_id", "if(table_id = 77, 'old', text) as text", "if(table_id = 99, 'm1', 'm2') as model").unionByName(spark.sql("select cast(-4 as bigint) as table_id, 'x' as text, 'm2' as model"))
+    assert {tuple(r) for r in sinks.stale(catalog, cache, "m2").collect()} == {(5, "new"), (6, "new"), (77, "text"), (99, "model"), (-4, "gone")}
+    assert sinks.stale(catalog, catalog.selectExpr("*", "'m2' as model"), "m2").count() == 0
+    assert sinks.stale(catalog.limit(3), cache.limit(0), "m2").count() == 3 and sinks.stale(catalog.limit(0), cache.limit(3), "m2").count() == 3
+    a, b = (sinks.range_digests(x.withColumn("model", F.lit("m2")), "table_id", ["text", "model"]) for x in (catalog, cache))
+    assert a.count() <= 4096 and a.exceptAll(b).count() <= 4
+
+
+def test_crawl_goes_on_where_it_stopped(spark):
+    from factloom.operators import catalog
+    from factloom.session import shared_folder
+
+    rows = [("A", 0, 1, None), ("A", 0, 2, None), ("A", 1, 0, None), ("A", 1, 3, None), ("A", 3, 1, None), ("A", 3, None, 10), ("A", 2, None, 10), ("B", 0, None, 11), ("B", 7, None, 12), ("A", 3, 3, None), ("A", 9, 8, None)]
+    items = spark.createDataFrame(rows, "view string, parent_id long, list_id long, table_id long")
+    roots = spark.createDataFrame([("A", 0), ("B", 0), ("A", 0)], "view string, list_id long")
+    folder = shared_folder(spark, "crawl")
+    want = ({("A", 10, 2), ("B", 11, 1)}, {("A", 0, 0), ("B", 0, 0), ("A", 1, 1), ("A", 2, 1), ("A", 3, 2)})
+    catalog.crawl(items, roots, folder, most_levels=2)
+    for _ in range(2):  # goes on, then finds all done
+        tables, seen = catalog.crawl(items, roots, folder)
+        assert ({tuple(r) for r in tables.collect()}, {tuple(r) for r in seen.select("view", "list_id", "level").collect()}) == want
+    tables, seen = catalog.crawl(items, roots.limit(0), shared_folder(spark, "crawl"))
+    assert tables.count() == seen.count() == 0
