@@ -141,6 +141,109 @@ def test_op10(spark, texts):
     assert max(size.values()) <= max(max(groups.values()), 1.02 * sum(size.values()) / 24)
 
 
+def test_op7_scores_are_those_of_a_plain_model(spark, texts):
+    """The registered scores, from the features of each whole text and the same learned model."""
+    from factloom.llm import quality
+
+    model = quality.fit(q.table(spark, SF, "documents"), q.table(spark, SF, "labels"), ~q.held_out())
+    for r in rows(spark, "op7_quality"):
+        ids, w = quality.document_features(texts[r["doc_id"]])
+        z = (w @ model["vectors"][ids] @ model["out"] if len(ids) else 0) + model["bias"]
+        assert np.isclose(r["score"], 1 / (1 + np.exp(z[0] - z[1])), atol=1e-5)
+
+
+def test_op9_predictions_are_those_of_a_plain_model(spark, texts):
+    """The registered predictions of short texts, by trying every step of the path word by word."""
+    from factloom.llm import langid
+
+    model = langid.fit(q.table(spark, SF, "documents"), ~q.held_out())
+    langs, differ, seen = model["langs"], 0, 0
+    got = {r["doc_id"]: r for r in rows(spark, "op9_langid")}
+    for i, text in texts.items():
+        words = ["".join(c for c in p if c.isalpha()).lower() for p in text.split()]
+        if not 0 < len(words) <= 400:
+            continue
+        best, back = np.zeros(len(langs)), []
+        for w in words:
+            s = np.zeros(len(langs))
+            if w:
+                ids, _ = langid.grams_of([w])
+                can = np.array([langid._NAMES[langid.scripts_of([w])[0]] in used for used in model["scripts"]])
+                s = np.where(can, model["logs"][ids].sum(axis=0, dtype=np.float64), -np.inf) if can.any() else s
+                s = np.maximum(s - s.max() - np.log(np.exp(s - s.max()).sum()), langid.FLOOR) if can.any() else s
+            stay = best >= best.max() - langid.SWITCH
+            back.append(np.where(stay, np.arange(len(langs)), best.argmax()))
+            best = s + np.maximum(best, best.max() - langid.SWITCH)
+        label, letters = int(best.argmax()), np.zeros(len(langs))
+        for w, b in zip(reversed(words), reversed(back)):
+            letters[label] += len(w)
+            label = int(b[label])
+        want = (langs[int(letters.argmax())], letters.max() / letters.sum()) if letters.sum() else ("und", 0.0)
+        seen += 1
+        differ += (got[i]["lang_pred"], round(got[i]["score"], 5)) != (want[0], round(want[1], 5))
+    assert seen > 50 and differ <= 0.03 * seen  # single precision on one side: paths of equal worth
+
+
+def test_op10_is_plain_differencing(spark, texts):
+    """Shard sizes of the registered query, by Karmarkar-Karp over all groups in plain Python."""
+    import heapq
+
+    groups = Counter()
+    for t in texts.values():
+        groups[t] += len(t.encode()) + 8
+    heap = [(-n, k, (n, *[0] * 23)) for k, n in enumerate(sorted(groups.values(), reverse=True))]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        (_, k, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        total = tuple(sorted((x + y for x, y in zip(a, reversed(b))), reverse=True))
+        heapq.heappush(heap, (total[-1] - total[0], k, total))
+    size = Counter()
+    for r in rows(spark, "op10_sharding"):
+        size[r["shard"]] += r["size"]
+    plain = heap[0][2]
+    assert max(size.values()) - min(size.values()) <= 2 * (plain[0] - plain[-1]) + 64 and sum(size.values()) == sum(plain)
+
+
+@pytest.mark.parametrize("name", ["op11_clusters", "op13_variants"])
+def test_against_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    rel = c.execute(q.ORACLE_SQL[name])
+    names = [x[0] for x in rel.description]
+    got = q.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted((tuple(r[n] for n in names) for r in got.collect()), key=repr) == sorted(rel.fetchall(), key=repr)
+
+
+def test_op12(spark, texts):
+    """Pieces of all whole texts, by the library; sequences without gaps, and as full as first-fit decreasing makes them."""
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got, seqs = defaultdict(list), defaultdict(list)
+    for r in rows(spark, "op12_packing"):
+        got[r["doc_id"]].append(r)
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(got) == set(texts)
+    left = []
+    for i, pieces in got.items():
+        ids, at = [*lib.encode(texts[i], add_special_tokens=False).ids, 1], 0
+        for r in sorted(pieces, key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes()))
+            at += r["length"]
+        assert at == len(ids)
+        left += [len(ids) % 2048] if len(ids) % 2048 else []
+    for s in seqs.values():
+        s.sort()
+        assert [o for o, _ in s] == np.cumsum([0, *[n for _, n in s]])[:-1].tolist() and sum(n for _, n in s) <= 2048
+    room = []
+    for n in sorted(left, reverse=True):  # one group here
+        k = next((k for k, x in enumerate(room) if x >= n), len(room))
+        room += [2048] if k == len(room) else []
+        room[k] -= n
+    full = sum(len([1 for r in p if r["length"] == 2048]) for p in got.values())
+    assert len(seqs) == full + len(room)
+
+
 def shingles(text):
     w = words_of(text)
     k = min(5, len(w))
