@@ -21,6 +21,8 @@ from .ranking import topk
 SENT_BYTES, BLOCK_ROWS, SCORES = 32 << 20, 4096, 4_000_000
 #: Rows that the cells are learned from at most, the most cells, and steps of learning.
 SAMPLE_ROWS, MOST_CELLS, STEPS = 20_000, 1024, 8
+#: Share of the nearest rows that is to be found, and rows of the sample by which it is told how many cells that takes.
+RECALL, PROBED = 0.92, 500
 
 
 def raw(vectors, width: int) -> np.ndarray:
@@ -115,8 +117,8 @@ def index_topk(queries: DataFrame, index: DataFrame, k: int = 10, floor: float =
     return vector_topk(queries, index, k).filter(F.col("score") >= floor)
 
 
-def learn_cells(index: DataFrame, dims: str = "embedding", cells: int | None = None) -> np.ndarray:
-    """Centroids of the index's cells, learned on at most SAMPLE_ROWS rows, those with the smallest hashes of their ids.
+def learn_cells(index: DataFrame, dims: str = "embedding", cells: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids of the index's cells, the rows that they are learned on): at most SAMPLE_ROWS, those with the smallest hashes of their ids.
 
     There are about as many as the root of the number of rows. The rows are a bounded sample, and only they reach the driver.
     """
@@ -126,7 +128,7 @@ def learn_cells(index: DataFrame, dims: str = "embedding", cells: int | None = N
     x = x[np.linalg.norm(x, axis=1) > 0]
     many = min(cells or max(1, min(MOST_CELLS, int(math.sqrt(n)))), max(1, len(x)))
     if not len(x):
-        return np.zeros((1, width))
+        return np.zeros((1, width)), x
     c = x[np.random.default_rng(7).choice(len(x), many, replace=False)]
     for _ in range(STEPS):
         of = (x @ c.T).argmax(axis=1)
@@ -134,7 +136,7 @@ def learn_cells(index: DataFrame, dims: str = "embedding", cells: int | None = N
         np.add.at(sums, of, x)
         some = np.linalg.norm(sums, axis=1) > 0
         c[some] = sums[some] / np.linalg.norm(sums[some], axis=1, keepdims=True)
-    return c
+    return c, x
 
 
 class CellIndex:
@@ -147,7 +149,8 @@ class CellIndex:
     def __init__(self, index: DataFrame, dims: str = "embedding", cells: int | None = None):
         spark = index.sparkSession
         ship(spark)
-        self.dims, self.centroids = dims, learn_cells(index, dims, cells)
+        self.dims = dims
+        self.centroids, self.sample = learn_cells(index, dims, cells)
         self.width = width = self.centroids.shape[1]
         sent = spark.sparkContext.broadcast(self.centroids)
 
@@ -171,8 +174,28 @@ class CellIndex:
         placed.join(most, "cell").withColumn("b", block).groupBy("cell", "b").applyInPandas(pack, "cell long, ids binary, m binary").write.parquet(self.path)
         self.blocks = spark.read.schema("cell long, ids binary, m binary").parquet(self.path)
 
-    def topk(self, queries: DataFrame, k: int = 5, probes: int = 8) -> DataFrame:
-        """(qid, table_id, score, rank): like vector_topk, but over the rows of each query's nearest cells."""
+    def probes_for(self, recall: float, k: int = 5) -> int:
+        """How many cells find that share of the k nearest rows, by the first rows of the sample against all of it.
+
+        Rows of the sample lie further apart than those of the whole index, so this is rather too many.
+        """
+        x = self.sample
+        if len(x) <= k:
+            return len(self.centroids)
+        q = x[:PROBED]
+        near = q @ x.T
+        near[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        best = np.argpartition(-near, k, axis=1)[:, :k]
+        place = np.argsort(np.argsort(-(q @ self.centroids.T), axis=1, kind="stable"), axis=1)
+        at = np.sort(np.take_along_axis(place, (x @ self.centroids.T).argmax(axis=1)[best], axis=1).ravel())
+        return int(at[min(len(at) - 1, math.ceil(recall * len(at)))]) + 1
+
+    def topk(self, queries: DataFrame, k: int = 5, probes: int | None = None) -> DataFrame:
+        """(qid, table_id, score, rank): like vector_topk, but over the rows of each query's nearest cells.
+
+        Without a number of cells, as many are read as find RECALL of the k nearest.
+        """
+        probes = probes or self.probes_for(RECALL, k)
         width, dims = self.width, self.dims
         sent = queries.sparkSession.sparkContext.broadcast(self.centroids)
 
@@ -203,10 +226,14 @@ class CellIndex:
         return topk(met.mapInPandas(score, "qid long, table_id long, score double"), ["qid"], [F.desc("score"), "table_id"], k)
 
 
-def index_recall(queries: DataFrame, index: DataFrame, k: int = 5, probes: int = 8) -> DataFrame:
-    """(qid, k, found, recall): how many of a query's exact k nearest rows the cells give, and the share over all queries."""
+def index_recall(queries: DataFrame, index: DataFrame, k: int = 5, recall: float = RECALL) -> DataFrame:
+    """(qid, k, found, recall): how many of a query's exact k nearest rows the cells give, and the share over all queries.
+
+    As many cells are read as should find the share `recall`.
+    """
     exact = vector_topk(queries, index, k).select("qid", "table_id")
-    near = CellIndex(index).topk(queries, k, probes).select("qid", "table_id", F.lit(1).alias("hit"))
+    cells = CellIndex(index)
+    near = cells.topk(queries, k, cells.probes_for(recall, k)).select("qid", "table_id", F.lit(1).alias("hit"))
     by = exact.join(near, ["qid", "table_id"], "left").groupBy("qid").agg(F.count(F.lit(1)).alias("k"), F.count("hit").alias("found"))
     total = by.agg((F.sum("found") / F.sum("k")).alias("recall"))
     return by.crossJoin(F.broadcast(total))

@@ -11,8 +11,6 @@ from factloom.registry import query
 
 from .views import over, table
 
-#: Cells that a query of the vector index reads.
-RECALL_PROBES = 16
 _SYN = "values ('market', 'widget'), ('red', 'gear')"
 _SYNS = f"syn(term, target) as ({_SYN})"
 _KS = f"""{_SYNS}, kw as (select distinct table_id, unnest(keywords) as kw from catalog), tx as (select distinct sentence as t from topics),
@@ -104,7 +102,7 @@ def m8(spark, d):
 @query("m7_cell_recall")
 def m7_cells(spark, d):
     q, x = _vectors(spark, d)
-    return vectors.index_recall(q, x, k=5, probes=RECALL_PROBES)
+    return vectors.index_recall(q, x, k=5)
 
 
 @query("m9_hash_embed", over("""with ch as (select claim_id as id, unnest(string_split(sentence, '')) as c from topics), ct as (select id, cast('0x' || right(md5(c), 2) as int) % 64 as d, count(*) as n from ch group by 1, 2)

@@ -126,7 +126,7 @@ def test_cells_find_nine_of_ten(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 16))
     index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "table_id long, embedding array<float>")
-    got = vectors.index_recall(index.filter("table_id % 20 = 0").withColumnRenamed("table_id", "qid"), index, k=5, probes=8).collect()
+    got = vectors.index_recall(index.filter("table_id % 20 = 0").withColumnRenamed("table_id", "qid"), index, k=5).collect()
     assert len(got) == 150 and all(r["k"] == 5 for r in got)
     assert got[0]["recall"] == sum(r["found"] for r in got) / 750 and got[0]["recall"] >= 0.9
     assert vectors.index_recall(index.limit(0).withColumnRenamed("table_id", "qid"), index.limit(0)).count() == 0
