@@ -98,7 +98,8 @@ def extract_recall(gold: DataFrame, extracted: DataFrame) -> DataFrame:
 
 def rematch_numbers(missed: DataFrame, extracted: DataFrame) -> DataFrame:
     """(article_id, gold_id, claim_id): missed gold sentences matched one to one, in order, with the first unused extracted
-    claim that shares a number of two digits or more. Greedy and so sequential: one pass over each article's rows, in order."""
+    claim that shares a number of two digits or more. Greedy and so sequential: one pass over each article's rows, in order,
+    through an index of their numbers."""
     numbers = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.regexp_replace(c, ",", ""), F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda x: F.length(x) >= 2))
     g = missed.select("article_id", F.lit(0).alias("kind"), F.col("gold_id").alias("id"), F.col("gold_id").alias("pos"), numbers(F.col("sentence")).alias("n"))
     x = extracted.select("article_id", F.lit(1).alias("kind"), F.col("claim_id").alias("id"), F.col("pos").cast("long").alias("pos"), numbers(F.col("sentence")).alias("n"))
@@ -108,11 +109,23 @@ def rematch_numbers(missed: DataFrame, extracted: DataFrame) -> DataFrame:
         article, golds, free = None, [], []
 
         def match():
-            out = []
+            # by number the claims that have it, in order, and how many of the first are used: each claim is passed once
+            having, past, used, out = {}, {}, set(), []
+            for k, (_, n) in enumerate(free):
+                for x in n:
+                    having.setdefault(x, []).append(k)
             for i, n in golds:
-                k = next((k for k, (_, m) in enumerate(free) if m & n), None)
-                if k is not None:
-                    out.append((article, i, free.pop(k)[0]))
+                first = None
+                for x in n:
+                    own, at = having.get(x, ()), past.get(x, 0)
+                    while at < len(own) and own[at] in used:
+                        at += 1
+                    past[x] = at
+                    if at < len(own) and (first is None or own[at] < first):
+                        first = own[at]
+                if first is not None:
+                    used.add(first)
+                    out.append((article, i, free[first][0]))
             return out
 
         for pdf in batches:
