@@ -35,7 +35,7 @@ SEED = 42
 STRETCH = 20_000
 #: Texts on a side of a cell that close_sets() compares at a time, rows of a task's group, pairs held at a time.
 CELL, GROUP_ROWS, HELD = 300, 20_000, 1_000_000
-#: Counters of shingle frequency, and documents that are counted, about; both only order the shingles of a set.
+#: Counters of shingle frequency, and rows that a task counts, about: so many that it fills most counters, of which it gives one row each.
 COUNTERS_BITS, COUNTED = 20, 50_000
 LEAF = 12  # node pairs with at most so many fingerprints on a side are compared outright
 
@@ -254,9 +254,37 @@ def band_prints(sets: list[np.ndarray], bands: int, bits: int, chunk: int = 1 <<
     return out
 
 
-def rare_first(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The prefix of a set in the order of (counter, hash): two sets of that similarity have a hash of their prefixes in common."""
-    order = np.lexsort((h, counts[(h >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64)]))
+def counters_of(h: np.ndarray) -> np.ndarray:
+    """The counters of shingle hashes: their first bits."""
+    return (h >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64)
+
+
+def counter_ranks(texts: DataFrame, n: int, shingle: int) -> bytes:
+    """The rank of each counter, by how many shingles it counts in the sets of all rows of (text), then by number; n is about the number of rows."""
+
+    def count(batches):
+        full = np.zeros(1 << COUNTERS_BITS, np.int64)
+        for pdf in batches:
+            for t in pdf["text"]:
+                np.add.at(full, counters_of(shingle_set(t, shingle)), 1)
+        for k in np.array_split(np.flatnonzero(full), 16):
+            yield pd.DataFrame({"k": k, "n": full[k]})
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        full, ranks = np.zeros(1 << COUNTERS_BITS, np.int64), np.zeros(1 << COUNTERS_BITS, "<u4")
+        full[pdf["k"].to_numpy(np.int64)] = pdf["n"].to_numpy(np.int64)
+        ranks[np.argsort(full, kind="stable")] = np.arange(len(full))
+        return pd.DataFrame({"ranks": [ranks.tobytes()]})
+
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(n / COUNTED))
+    counted = texts.coalesce(tasks).mapInPandas(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    packed = counted.groupBy().applyInPandas(pack, "ranks binary").collect()  # one row for each counter, however many texts
+    return bytes(packed[0]["ranks"]) if packed else bytes(4 << COUNTERS_BITS)
+
+
+def rare_first(h: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The prefix of a set in the order of (rank of the counter, hash): two sets of that similarity have a hash of their prefixes in common."""
+    order = np.lexsort((h, ranks[counters_of(h)]))
     return h[order[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]] if len(h) else np.zeros(1, np.uint64)
 
 
@@ -339,24 +367,13 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     part = connected_components(check(pairs), "a", "b")
     of = cut(nodes.join(part, "node", "left").select("sha", "node", "low", F.coalesce("root", "node").alias("part")), "similar-parts")
 
-    # how often shingles occur, by counter, in every so many documents
-    every = min(64, math.ceil(max(1, nodes.count()) / COUNTED))
-    counted = docs.filter(F.pmod(F.xxhash64(text), F.lit(every)) == 0).select(F.explode(shingles(text)).alias("s"))
-    counted = counted.groupBy(F.shiftrightunsigned("s", 64 - COUNTERS_BITS).alias("k")).count()
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        full = np.zeros(1 << COUNTERS_BITS, "<u2")
-        full[pdf["k"].to_numpy(np.int64)] = np.minimum(pdf["count"].to_numpy(np.int64), 65535)
-        return pd.DataFrame({"counts": [full.tobytes()]})
-
-    packed = counted.groupBy().applyInPandas(pack, "counts binary").collect()
-    sent = spark.sparkContext.broadcast(bytes(packed[0]["counts"]) if packed else bytes(2 << COUNTERS_BITS))
+    sent = spark.sparkContext.broadcast(counter_ranks(docs.select(text.alias("text")), marked.count(), shingle))
 
     @F.pandas_udf("struct<n:int,s:array<long>>")
     def prefix(texts: pd.Series) -> pd.DataFrame:
-        counts = np.frombuffer(sent.value, "<u2")
+        ranks = np.frombuffer(sent.value, "<u4")
         sets = [shingle_set(t, shingle) for t in texts]
-        return pd.DataFrame({"n": [len(h) for h in sets], "s": [rare_first(h, counts, similarity).view(np.int64) for h in sets]})
+        return pd.DataFrame({"n": [len(h) for h in sets], "s": [rare_first(h, ranks, similarity).view(np.int64) for h in sets]})
 
     sets = keyed.select("sha", prefix("text").alias("p")).join(of, "sha").select("node", "part", "p.n", "p.s")
     more = check(close_sets(cut(sets, "similar-prefixes"), similarity))

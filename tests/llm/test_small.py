@@ -227,6 +227,35 @@ def test_similar_documents_in_a_family_of_half_similar_texts(spark):
     assert got == want
 
 
+def prefixes(spark, df, monkeypatch):
+    """Sizes and prefixes of the sets that similar_documents() hands to the exact search."""
+    seen, own = [], simhash.close_sets
+    monkeypatch.setattr(simhash, "close_sets", lambda sets, similarity: seen.extend((r["n"], frozenset(x % (1 << 64) for x in r["s"])) for r in sets.collect()) or own(sets, similarity))
+    simhash.similar_documents(df)
+    return seen
+
+
+def test_shingles_are_ordered_by_their_counts_in_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COUNTED", 10)
+    rng = random.Random(31)
+    rows = [(i, " ".join(rng.choice("aaabbc") for _ in range(rng.randint(1, 60))), "x") for i in range(400)] + [(400, None, "x")]
+    sets = [simhash.shingle_set(t, 5).tolist() for _, t, _ in rows]
+    counts = Counter(x >> 44 for s in sets for x in s)
+    want = [(len(s), frozenset(sorted(s, key=lambda x: (counts[x >> 44], x))[: len(s) + 1 - -(-8 * len(s) // 10)] or [0])) for s in sets]
+    assert Counter(prefixes(spark, docs(spark, rows), monkeypatch)) == Counter(want)
+
+
+def test_shingles_found_very_often_are_counted_to_the_end(spark, monkeypatch):
+    for last in range(100):
+        words = f"v1 v2 v3 v4 v5 w{last}".split()
+        less, more = (int(simhash.shingle_set(" ".join(w), 5)[0]) for w in (words[:5], words[1:]))
+        if less >> 44 > more >> 44:  # by their hashes alone the other would come first
+            break
+    text = F.when(F.col("doc_id") == 0, " ".join(words)).when(F.col("doc_id") <= 66_000, " ".join(words[:5])).otherwise(" ".join(words[1:]))
+    got = prefixes(spark, spark.range(136_001).select(F.col("id").alias("doc_id")).withColumn("text", text), monkeypatch)
+    assert [s for n, s in got if n == 2] == [{less}]
+
+
 def test_similar_documents_under_one_id(spark):
     """Two unlike texts share an id; each has a close copy under another id, and the copies are not linked through the id."""
     a, b = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(200)]
