@@ -46,40 +46,71 @@ def morph_match(text: Column, tokens: Column) -> Column:
     return (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(text, t))
 
 
-def keyword_scores(claims: DataFrame, catalog: DataFrame, synonyms: DataFrame, compounds: dict[str, list[str]] | None = None, kw_tokens: DataFrame | None = None) -> DataFrame:
-    """(claim_id, table_id, score) above zero: 1 for each keyword in the sentence or its stem, 0.5 for a synonym of one in
-    it, 1 for the title's first six characters; a third of the sum, at most 1.
+def table_kinds(catalog: DataFrame) -> DataFrame:
+    """(table_id, kind, keywords, heads): tables of the same keywords and title beginnings are of one kind, and score alike."""
+    head = F.substring("title", 1, 6)
+    tables = catalog.groupBy("table_id").agg(F.array_sort(F.flatten(F.collect_list("keywords"))).alias("keywords"), F.array_sort(F.collect_list(F.when(head != "", head))).alias("heads"))
+    return tables.withColumn("kind", F.sha2(F.to_json(F.struct("keywords", "heads")), 256))
 
-    Where a tagger is at hand, as kw_tokens (kw, tokens: its core nouns), all of a keyword's nouns in the sentence stand in for
-    its stem. Sentences and keywords are matched once each, however many claims and tables share them.
-    """
-    spoken = claims.select("claim_id", F.col("sentence").alias("t"))
-    texts = spoken.select("t").distinct()
+
+def kind_scores(texts: DataFrame, kinds: DataFrame, synonyms: DataFrame, compounds: dict[str, list[str]] | None = None, kw_tokens: DataFrame | None = None) -> DataFrame:
+    """(t, kind, score) above zero, of distinct texts (t) and kinds of tables (kind, keywords, heads); see keyword_scores()."""
     extra = expand_terms(texts, synonyms)
     texts = texts.join(extra, "t", "left").withColumn("n", no_space(F.col("t")))
-    words = catalog.select("table_id", F.explode("keywords").alias("kw"))
+    words = kinds.select("kind", F.explode("keywords").alias("kw"))
     norm = no_space(F.col("kw"))
     direct = F.contains("n", norm) & ~false_friend_only(norm, F.col("n"), compounds or {})
     near = stem_match(norm, F.col("n")) & ~false_friend_only(norm, F.col("n"), compounds or {}) if kw_tokens is None else morph_match(F.col("n"), F.col("tokens"))
     weight = F.when(direct, 1.0).when(F.coalesce(F.array_contains("terms", F.col("kw")), F.lit(False)), 0.5).when(near, 1.0)
-    kinds = words.select("kw").distinct()
+    terms = words.select("kw").distinct()
     if kw_tokens is None:
         # what a keyword begins with stands wherever the keyword or its stem does; synonyms name keywords that may not stand there
-        kinds = kinds.withColumn("stem", F.left(norm, F.lit(5)))
+        terms = terms.withColumn("stem", F.left(norm, F.lit(5)))
     else:
         # a keyword stands there itself, or all its nouns do, so the longest of them
         nouns = kw_tokens.groupBy("kw").agg(F.first(F.filter("tokens", lambda x: F.length(x) > 0)).alias("tokens"))
-        kinds = kinds.join(nouns, "kw", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+        terms = terms.join(nouns, "kw", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
         longest = F.get(F.sort_array(F.transform("tokens", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))), asc=False), 0)["x"]
-        kinds = kinds.withColumn("stem", F.explode(F.array_distinct(F.filter(F.array(norm, longest), lambda x: x.isNotNull()))))
-    spelled = containing(texts, "n", kinds, "stem").select("t", "kw", weight.alias("w"))
-    meant = texts.withColumn("kw", F.explode("terms")).join(kinds.drop("stem").distinct(), "kw").select("t", "kw", weight.alias("w"))
+        terms = terms.withColumn("stem", F.explode(F.array_distinct(F.filter(F.array(norm, longest), lambda x: x.isNotNull()))))
+    spelled = containing(texts, "n", terms, "stem").select("t", "kw", weight.alias("w"))
+    meant = texts.withColumn("kw", F.explode("terms")).join(terms.drop("stem").distinct(), "kw").select("t", "kw", weight.alias("w"))
     hits = spelled.unionByName(meant).filter("w is not null").distinct()
-    by_word = hits.join(words, "kw").select("t", "table_id", "w")
-    heads = catalog.select("table_id", F.substring("title", 1, 6).alias("head")).filter("head != ''")
-    by_title = containing(texts.select("t"), "t", heads.select("head").distinct(), "head").join(heads, "head").select("t", "table_id", F.lit(1.0).alias("w"))
-    score = by_word.unionByName(by_title).groupBy("t", "table_id").agg(F.least(F.lit(1.0), F.sum("w") / 3).alias("score"))
-    return spoken.join(score, "t").select("claim_id", "table_id", "score")
+    by_word = hits.join(words, "kw").select("t", "kind", "w")
+    heads = kinds.select("kind", F.explode("heads").alias("head"))
+    by_title = containing(texts.select("t"), "t", heads.select("head").distinct(), "head").join(heads, "head").select("t", "kind", F.lit(1.0).alias("w"))
+    return by_word.unionByName(by_title).groupBy("t", "kind").agg(F.least(F.lit(1.0), F.sum("w") / 3).alias("score"))
+
+
+def _scored_kinds(claims: DataFrame, catalog: DataFrame, *how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(claim_id, t) of claims, (table_id, kind) of tables, and the scores of distinct texts with distinct kinds."""
+    spoken, tables = claims.select("claim_id", F.col("sentence").alias("t")), table_kinds(catalog)
+    kinds = written(tables.select("kind", "keywords", "heads").dropDuplicates(["kind"]), "table-kinds")
+    return spoken, tables.select("table_id", "kind"), kind_scores(spoken.select("t").distinct(), kinds, *how)
+
+
+def keyword_scores(claims: DataFrame, catalog: DataFrame, synonyms: DataFrame, compounds: dict[str, list[str]] | None = None, kw_tokens: DataFrame | None = None) -> DataFrame:
+    """(claim_id, table_id, score) above zero: 1 for each keyword in the sentence or its stem, 0.5 for a synonym of one in
+    it, 1 for the title's first six characters; a third of the sum, at most 1.
+
+    Where a tagger is at hand, as kw_tokens (kw, tokens: its core nouns), all of a keyword's nouns in the sentence stand in for
+    its stem. Sentences and keywords are matched once each, however many claims and tables share them.
+    """
+    spoken, tables, scores = _scored_kinds(claims, catalog, synonyms, compounds, kw_tokens)
+    return spoken.join(scores.join(tables, "kind"), "t").select("claim_id", "table_id", "score")
+
+
+def keyword_search(claims: DataFrame, catalog: DataFrame, synonyms: DataFrame, compounds: dict[str, list[str]] | None = None, kw_tokens: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """(claim_id, table_id, score, rank): the k first tables of each claim by keyword_scores(), without scoring all pairs.
+
+    Of a kind of tables only its first k can be among a text's first k, and of the kinds only those whose first tables are; so
+    a text picks k kinds, then k of their tables, and a claim takes what its text has.
+    """
+    spoken, tables, scores = _scored_kinds(claims, catalog, synonyms, compounds, kw_tokens)
+    order = [F.desc("score"), "table_id"]
+    first = topk(tables, ["kind"], ["table_id"], k).withColumnRenamed("rank", "of_kind")
+    kinds = topk(scores.join(first.filter("of_kind = 1"), "kind"), ["t"], order, k).select("t", "kind", "score")
+    best = topk(kinds.join(first, "kind"), ["t"], order, k).select("t", "table_id", "score")
+    return topk(spoken.join(best, "t").select("claim_id", "table_id", "score"), ["claim_id"], order, k)
 
 
 def keyword_topk(scores: DataFrame, k: int = 5) -> DataFrame:

@@ -21,13 +21,13 @@ _KS = f"""{_SYNS}, kw as (select distinct table_id, unnest(keywords) as kw from
   sc as (select claim_id, table_id, least(1.0, sum(w) / 3) as score from al join topics on sentence = t group by claim_id, table_id)"""
 
 
-def _scores(spark, d):
-    return m.keyword_scores(table(spark, d, "topics"), table(spark, d, "catalog"), spark.sql(f"select * from {_SYN} as s(term, target)"), {"ring": ["redring"]})
+def _asked(spark, d):
+    return table(spark, d, "topics"), table(spark, d, "catalog"), spark.sql(f"select * from {_SYN} as s(term, target)"), {"ring": ["redring"]}
 
 
 @query("m1_keyword_scores", over(f"with {_KS} select claim_id, table_id, round(cast(score as double), 6) as score from sc"))
 def m1(spark, d):
-    return _scores(spark, d).withColumn("score", F.round("score", 6))
+    return m.keyword_scores(*_asked(spark, d)).withColumn("score", F.round("score", 6))
 
 
 #: A keyword's nouns as a tagger might give them: its first three and its last two characters, none for those of five.
@@ -77,7 +77,7 @@ def m5(spark, d):
 
 @query("m6_keyword_topk", over(f"with {_KS} select * from (select claim_id, table_id, row_number() over (partition by claim_id order by score desc, table_id) as rank from sc) where rank <= 5"))
 def m6(spark, d):
-    return m.keyword_topk(_scores(spark, d)).select("claim_id", "table_id", "rank")
+    return m.keyword_search(*_asked(spark, d)).select("claim_id", "table_id", "rank")
 
 
 _COS = """qv as (select vec_id as qid, embedding::double[64] as q from embeddings where vec_id % 20 = 0), vr as (select qid, vec_id as table_id, round(array_cosine_similarity(q, embedding::double[64]), 9) as s from qv, embeddings),
@@ -205,7 +205,7 @@ _FULL = f"""{_KS}, kt as (select claim_id, table_id, rank from (select claim_id,
 @query("m20_match", over(f"with {_FULL} select claim_id, table_id, place, kr is not null as trusted from fp where place <= 5"))
 def m20(spark, d):
     topics, catalog = table(spark, d, "topics"), table(spark, d, "catalog")
-    kw = m.keyword_topk(_scores(spark, d)).select("claim_id", "table_id", F.lit("keyword").alias("source"), "rank", "score")
+    kw = m.keyword_search(*_asked(spark, d)).select("claim_id", "table_id", F.lit("keyword").alias("source"), "rank", "score")
     lex = m.trigram_topk(topics.selectExpr("claim_id as qid", "sentence as t"), catalog.selectExpr("table_id", "title as t")).select(F.col("qid").alias("claim_id"), "table_id", F.lit("lexical").alias("source"), "rank", "score")
     fused = m.rrf(m.merge_candidates(kw.unionByName(lex), _ORDER)).filter("place <= 5")
     return fused.select("claim_id", "table_id", "place", m.trusted().alias("trusted"))
