@@ -170,8 +170,11 @@ def trigram_topk(queries: DataFrame, index: DataFrame, k: int = 30, least: float
     late = meeting(bound.withColumn("more", needed - F.col("half")).filter("more > 0"), F.col("half") + 1, F.col("more"))
     late = late.filter((most(F.least(F.col("p") - F.col("half"), F.col("nx"))) >= F.col("kth") - 1e-9)).join(near.select("qt", "xt"), ["qt", "xt"], "left_anti")
     score = first.unionByName(scored(others.select("qt", "xt").unionByName(late.select("qt", "xt")))).filter(F.col("score") >= least)
-    rows = queries.withColumnRenamed("t", "qt").join(score, "qt").join(index.withColumnRenamed("t", "xt"), "xt").select("qid", "table_id", "score")
-    return topk(rows, ["qid"], [F.desc("score"), "table_id"], k)
+    # of the rows that share a text only the first k can be among a query's first k, and queries of one text have the same
+    order = [F.desc("score"), "table_id"]
+    first = topk(index.select("table_id", F.col("t").alias("xt")), ["xt"], ["table_id"], k).drop("rank")
+    best = topk(score.join(first, "xt"), ["qt"], order, k).select("qt", "table_id", "score")
+    return topk(queries.withColumnRenamed("t", "qt").join(best, "qt").select("qid", "table_id", "score"), ["qid"], order, k)
 
 
 def hash_embed(texts: DataFrame, dims: int = 64) -> DataFrame:

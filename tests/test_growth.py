@@ -81,3 +81,29 @@ def test_keyword_topk_makes_no_pairs(spark, tmp_path):
 
     d = _many_alike(spark, tmp_path)
     assert most_rows(spark, registry.queries()["m6_keyword_topk"](spark, d)) <= 10 * 3000  # 825,750 when each claim met all its tables
+
+
+def test_trigram_topk_makes_no_pairs(spark, tmp_path):
+    from factloom import registry
+
+    d = _many_alike(spark, tmp_path)
+    assert most_rows(spark, registry.queries()["m5_trigram_topk"](spark, d)) <= 400 * 30 * 2  # a million pairs share a trigram
+
+
+def test_trigram_topk_of_many_alike(spark):
+    """Texts that many queries and many rows of the index share, ids that come twice with the same and with other texts."""
+    rng = random.Random(5)
+    say = lambda a, b: " ".join(rng.choice(WORDS) for _ in range(rng.randint(a, b)))
+    said, titles = [say(1, 3) for _ in range(6)], [say(1, 2) for _ in range(8)]
+    queries, index = [(i % 25, rng.choice(said)) for i in range(30)], [(i % 70, rng.choice(titles)) for i in range(80)]
+    got = matching.trigram_topk(spark.createDataFrame(queries, "qid int, t string"), spark.createDataFrame(index, "table_id int, t string"), k=4)
+    grams = lambda t: {f"  {w} "[i : i + 3] for w in t.split() for i in range(len(w) + 1)}
+    scores = [(q, x, len(grams(a) & grams(b)) / len(grams(a) | grams(b))) for q, a in queries for x, b in index]
+    assert sorted((r["qid"], r["table_id"], r["rank"], r["score"]) for r in got.collect()) == _plain_topk([s for s in scores if s[2] >= 0.1], 4)
+
+
+def test_match_makes_no_pairs(spark, tmp_path):
+    from factloom import registry
+
+    d = _many_alike(spark, tmp_path)
+    assert most_rows(spark, registry.queries()["m20_match"](spark, d)) <= 400 * 35 * 2
