@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import periods
 
-from .series import CELL, asked, period_at
+from .series import CELL, asked_together, period_at
 
 # What an official table prints where it has no number.
 MISSING = ("", "-", "..", "X", "n/a")
@@ -106,26 +106,25 @@ def extreme_check(series: DataFrame, highest: bool = True) -> DataFrame:
     return g.select("claim_id", st.alias("status"), F.when(st == "ok", value).alias("value"), F.when(st == "ok", F.col("b.period")).alias("period"))
 
 
-def compute(claims: DataFrame, obs: DataFrame) -> DataFrame:
+def compute(claims: DataFrame, obs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(claim_id, calc_type, status, value, period): each claim by its calc_type; unknown ones look their cell up.
 
-    claims: claim_id (distinct), calc_type, table_id, item_id, dim, period, freq, start_period. A claim asks the index of
-    series for one stretch, its cell at its period or from start_period to it, and a rate or change for its base too.
+    claims: claim_id (distinct), calc_type, table_id, item_id, dim, period, freq, start_period, and those of keep, which go out
+    as they are. A claim asks the index of series for one stretch, its cell at its period or from start_period to it, and a rate
+    or change for its base too.
     """
     kind = F.coalesce("calc_type", F.lit("lookup"))
-    rows = claims.select("claim_id", F.when(kind.isin("rate", "change", "max_check", "min_check"), kind).otherwise("lookup").alias("calc_type"), *CELL, "period", "start_period")
+    rows = claims.withColumn("calc_type", F.when(kind.isin("rate", "change", "max_check", "min_check"), kind).otherwise("lookup"))
+    rows = rows.select(*dict.fromkeys(["claim_id", "calc_type", *CELL, "period", "start_period", *keep]))
     is_pair, is_extreme, is_max = F.col("calc_type").isin("rate", "change"), F.col("calc_type").isin("max_check", "min_check"), F.col("calc_type") == "max_check"
-    base = F.when(is_pair, periods.prior_year(F.col("period")))
-    roles = F.array(F.struct(F.lit(False).alias("is_base"), F.when(is_extreme, F.col("start_period")).otherwise(F.col("period")).alias("lo"), F.col("period").alias("hi")), F.struct(F.lit(True).alias("is_base"), base.alias("lo"), base.alias("hi")))
-    asks = rows.select("claim_id", "calc_type", "period", *CELL, F.inline(F.filter(roles, lambda r: ~r.is_base | r.lo.isNotNull())))
-    met = asked(asks, obs, F.col("lo"), F.col("hi"))
-    own = lambda is_base, c: F.max(F.when(F.col("is_base") == is_base, c))
-    best, place = (F.when(is_max, F.col(f"found.hi{x}")).otherwise(F.col(f"found.lo{x}")) for x in ("", "_p"))
-    got = met.groupBy("claim_id", "calc_type", "period").agg(own(False, F.col("found.n")).alias("n"), own(False, best).alias("value"), own(False, place).alias("place"), own(False, F.col("found.mixed").cast("int")).alias("mixed"), own(False, F.col("known").cast("int")).alias("known"), own(True, F.col("found.lo")).alias("base_value"), own(True, F.col("lo")).alias("base_period"))
-    lookup = F.when(F.col("n") == 1, F.when(F.col("value").isNull(), "no_value").otherwise("ok")).when(F.col("n") > 1, "many").when(F.col("known") == 1, "other_period").otherwise("none")
+    base_period = F.when(is_pair, periods.prior_year(F.col("period")))
+    got = asked_together(rows, obs, _own=(F.when(is_extreme, F.col("start_period")).otherwise(F.col("period")), F.col("period")), _base=(base_period, base_period))
+    best, place = (F.when(is_max, F.col(f"_own.hi{x}")).otherwise(F.col(f"_own.lo{x}")) for x in ("", "_p"))
+    got = got.select("claim_id", "calc_type", "period", *keep, "known", F.col("_own.n").alias("_n"), best.alias("value"), place.alias("_place"), F.col("_own.mixed").alias("_mixed"), F.col("_base.lo").alias("base_value"))
+    lookup = F.when(F.col("_n") == 1, F.when(F.col("value").isNull(), "no_value").otherwise("ok")).when(F.col("_n") > 1, "many").when(F.col("known"), "other_period").otherwise("none")
     pair = F.when(F.col("value").isNull(), "none").when(F.col("base_value").isNull(), "no_base").when((F.col("calc_type") == "rate") & (F.col("base_value") == 0), "zero_base").otherwise("ok")
-    extreme = F.when(F.col("mixed") == 1, "mixed_units").when(F.col("value").isNull(), "empty").otherwise("ok")
+    extreme = F.when(F.col("_mixed"), "mixed_units").when(F.col("value").isNull(), "empty").otherwise("ok")
     status = F.when(is_pair, pair).when(is_extreme, extreme).otherwise(lookup)
     result = F.when(F.col("calc_type") == "change", change()).when(is_pair, change_rate()).otherwise(F.col("value"))
-    period = F.when(is_pair, F.concat_ws("~", "base_period", "period")).when(is_extreme, F.when(status == "ok", period_at(F.col("place")))).otherwise(F.col("period"))
-    return got.select("claim_id", "calc_type", status.alias("status"), F.when(status == "ok", result).alias("value"), period.alias("period"))
+    period = F.when(is_pair, F.concat_ws("~", base_period, "period")).when(is_extreme, F.when(status == "ok", period_at(F.col("_place")))).otherwise(F.col("period"))
+    return got.select("claim_id", "calc_type", status.alias("status"), F.when(status == "ok", result).alias("value"), period.alias("period"), *keep)

@@ -82,26 +82,62 @@ def asked(rows: DataFrame, obs: DataFrame, lo: Column, hi: Column) -> DataFrame:
     """
     rows = rows.withColumns({"_lo": F.coalesce(position(lo), F.lit(-1)), "_hi": F.coalesce(position(hi), F.lit(-1))})
     questions = rows.select(*CELL, "_lo", "_hi").groupBy(*CELL).agg(F.collect_set(F.struct("_lo", "_hi")).alias("q"))
+    answers = _answers(questions, obs).select(*CELL, "known", F.inline("told"))
+    return rows.join(answers, [*CELL, "_lo", "_hi"], "left").drop("_lo", "_hi").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+#: More than any place: a question is one number, its first place times this and its last.
+SPAN = 1 << 20
+
+
+def asked_together(rows: DataFrame, obs: DataFrame, **asks: tuple[Column, Column]) -> DataFrame:
+    """rows plus known and, for each name of asks, what lies from its period lo to hi in the row's cell, as asked() has it.
+
+    Rows meet all answers of their cell at once, a map by question, so they are shuffled once, whatever they ask and carry.
+    """
+    at = lambda p: F.coalesce(position(p), F.lit(-1)) + 1
+    rows = rows.withColumns({f"_{name}": at(lo).cast("long") * SPAN + at(hi) for name, (lo, hi) in asks.items()})
+    numbers = rows.select(*CELL, F.explode(F.array(*[f"_{name}" for name in asks])).alias("x")).groupBy(*CELL).agg(F.collect_set("x").alias("q"))
+    split = F.transform("q", lambda x: F.struct((F.floor(x / SPAN) - 1).cast("int").alias("_lo"), (x % SPAN - 1).cast("int").alias("_hi")))
+    told = F.filter("told", lambda x: x["found"].isNotNull())
+    number = lambda x: (x["_lo"] + 1).cast("long") * SPAN + x["_hi"] + 1
+    held = _answers(numbers.select(*CELL, split.alias("q")), obs).select(*CELL, "known", F.map_from_entries(F.transform(told, lambda x: F.struct(number(x), x["found"]))).alias("_held"))
+    met = rows.join(held, CELL, "left").withColumns({name: F.try_element_at("_held", F.col(f"_{name}")) for name in asks} | {"known": F.coalesce("known", F.lit(False))})
+    return met.drop("_held", *[f"_{name}" for name in asks])
+
+
+def _answers(questions: DataFrame, obs: DataFrame) -> DataFrame:
+    """(cell, known, told) of questions (cell, q: an array of the distinct _lo and _hi asked); told has _lo, _hi and found.
+
+    All questions of a cell are answered in its row, step by step over the array: a row for each would copy the index.
+    """
     met = questions.join(series_index(obs).withColumn("known", F.lit(True)), CELL, "left")
+    held = lambda x, *names: [x[n].alias(n) for n in names]
 
-    def answer(a: Column, b: Column, k: Column) -> Column:
-        """From place a to b, which are 2**k places or more and fewer than twice as many."""
+    def stretch(x: Column) -> Column:
+        return F.struct(*held(x, "_lo", "_hi"), F.greatest(x["_lo"] - F.col("first"), F.lit(0)).alias("a"), F.least(x["_hi"] - F.col("first"), F.size("places") - 1).alias("b"))
 
-        def best(values: str, at: str, highest: bool) -> Column:
-            over = F.get(at, k)
-            return F.nullif(_better(F.col(values), highest, F.get(over, a), F.get(over, b - F.pow(F.lit(2), k).cast("int") + 1)), F.lit(-1))
+    def level(x: Column) -> Column:
+        """With k: from place a to b there are 2**k places or more and fewer than twice as many; null if there are none."""
+        within = (x["_lo"] >= 0) & (x["_hi"] >= 0) & (x["a"] <= x["b"])
+        return F.struct(*held(x, "_lo", "_hi", "a", "b"), F.when(within, F.length(F.bin(x["b"] - x["a"] + 1)) - 1).alias("k"))
 
-        least, most = best("los", "lo_at", False), best("his", "hi_at", True)
-        here = F.slice("places", a + 1, b - a + 1)
-        mixed = (F.col("unit_lo") != F.col("unit_hi")) & (F.array_min(F.transform(here, lambda x: x["unit_lo"])) != F.array_max(F.transform(here, lambda x: x["unit_hi"])))
-        n = F.when(a == b, F.get("places", a)["n"])
-        return F.struct(n.alias("n"), F.get("los", least).alias("lo"), (least + F.col("first")).alias("lo_p"), F.get("his", most).alias("hi"), (most + F.col("first")).alias("hi_p"), F.coalesce(mixed, F.lit(False)).alias("mixed"))
+    def best(x: Column, values: str, at: str, highest: bool) -> Column:
+        over = F.get(at, x["k"])
+        return F.nullif(_better(F.col(values), highest, F.get(over, x["a"]), F.get(over, x["b"] - F.pow(F.lit(2), x["k"]).cast("int") + 1)), F.lit(-1))
 
-    asks = met.select("*", F.explode("q").alias("x")).select("*", "x._lo", "x._hi", F.greatest(F.col("x._lo") - F.col("first"), F.lit(0)).alias("_a"), F.least(F.col("x._hi") - F.col("first"), F.size("places") - 1).alias("_b"))
-    asks = asks.withColumn("_k", F.length(F.bin(F.col("_b") - F.col("_a") + 1)) - 1)
-    within = (F.col("_lo") >= 0) & (F.col("_hi") >= 0) & (F.col("_a") <= F.col("_b"))
-    answers = asks.select(*CELL, F.coalesce("known", F.lit(False)).alias("known"), "_lo", "_hi", F.when(within, answer(F.col("_a"), F.col("_b"), F.col("_k"))).alias("found"))
-    return rows.join(answers, [*CELL, "_lo", "_hi"], "left").drop("_lo", "_hi").withColumn("known", F.coalesce("known", F.lit(False)))
+    def placed(x: Column) -> Column:
+        return F.struct(*held(x, "_lo", "_hi", "a", "b", "k"), F.when(x["k"].isNotNull(), best(x, "los", "lo_at", False)).alias("least"), F.when(x["k"].isNotNull(), best(x, "his", "hi_at", True)).alias("most"))
+
+    def told(x: Column) -> Column:
+        here = F.slice("places", x["a"] + 1, x["b"] - x["a"] + 1)
+        mixed = (F.col("unit_lo") != F.col("unit_hi")) & (F.array_min(F.transform(here, lambda y: y["unit_lo"])) != F.array_max(F.transform(here, lambda y: y["unit_hi"])))
+        n = F.when(x["a"] == x["b"], F.get("places", x["a"])["n"])
+        found = F.struct(n.alias("n"), F.get("los", x["least"]).alias("lo"), (x["least"] + F.col("first")).alias("lo_p"), F.get("his", x["most"]).alias("hi"), (x["most"] + F.col("first")).alias("hi_p"), F.coalesce(mixed, F.lit(False)).alias("mixed"))
+        return F.struct(*held(x, "_lo", "_hi"), F.when(x["k"].isNotNull(), found).alias("found"))
+
+    steps = F.transform(F.transform(F.transform(F.transform("q", stretch), level), placed), told)
+    return met.select(*CELL, F.coalesce("known", F.lit(False)).alias("known"), steps.alias("told"))
 
 
 def range_extremes(requests: DataFrame, obs: DataFrame, highest: bool = True) -> DataFrame:

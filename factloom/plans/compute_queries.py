@@ -144,10 +144,12 @@ _JUDGED = f"""{COMPUTED}, jd as (select rq.claim_id, article_id, pos, rq.value a
    from (select *, claim_unit = '%' as unit_p from jd))"""
 
 
-def judged(spark, d):
-    r = reqs(spark, d).selectExpr("claim_id", "article_id", "pos", "table_id", "value as claim_value", "unit as claim_unit", "claim_type", "value_type", "period as claim_period")
-    c = computed(spark, d).selectExpr("claim_id", "calc_type", "value as computed_value", "period as computed_period")
-    return r.join(c, "claim_id").withColumn("computed_unit", F.expr("case when claim_id % 11 = 0 then '2020=100' when table_id % 4 = 0 then '%' else 'units' end"))
+def judged(spark, d, r=None, obs=None):
+    """Claims with what was computed for them; from requests and observations that are at hand, if given."""
+    asks = (reqs(spark, d) if r is None else r).withColumnsRenamed({"value": "claim_value", "unit": "claim_unit"}).withColumns({"claim_period": F.col("period"), "calc_type": F.expr(_KIND), "start_period": F.lit("199701")})
+    own = ("article_id", "pos", "table_id", "claim_value", "claim_unit", "claim_type", "value_type", "claim_period")
+    c = v.compute(asks, _obs(spark, d) if obs is None else obs, own).select("claim_id", *own, "calc_type", F.col("value").alias("computed_value"), F.col("period").alias("computed_period"))
+    return c.withColumn("computed_unit", F.expr("case when claim_id % 11 = 0 then '2020=100' when table_id % 4 = 0 then '%' else 'units' end"))
 
 
 @query("j1_is_percent", over(f"with {_JUDGED} select claim_id, case when pos % 2 = 0 then pct else computed_unit = '%' or claim_type = 'rate' end as pct from jf"))

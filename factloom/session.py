@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{full.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def spent_shuffles(spark: SparkSession):
+    """Shuffle files of a job that runs within go when it ends, not when the driver happens to collect its garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: what several steps read is worked out once and outlives executors."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with spent_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

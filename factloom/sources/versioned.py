@@ -20,6 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.session import spent_shuffles
+
 
 class Clash(RuntimeError):
     """Another writer committed this version first."""
@@ -127,10 +129,16 @@ def part_of(key: str, buckets: int) -> Column:
 
 
 def _with_batch(spark: SparkSession, root: str, held: dict, rows: DataFrame, merge) -> dict:
-    """The table's entry after a batch; its new folders are written, and nothing refers to them yet."""
+    """The table's entry after a batch; its new folders are written, and nothing refers to them yet.
+
+    The batch is worked out once, into a folder of its own that goes again; one that a failure leaves is removed by vacuum().
+    """
     key, buckets = held["key"], held["buckets"]
-    batch = rows.withColumn("_part", part_of(key, buckets))
-    touched = sorted(r[0] for r in batch.select("_part").distinct().collect())  # at most `buckets` numbers
+    staged = f"{root}/data/{uuid.uuid4().hex}"
+    with spent_shuffles(spark):
+        rows.write.parquet(staged)
+    rows = spark.read.schema(rows.schema).parquet(staged)
+    touched = sorted(r[0] for r in rows.select(part_of(key, buckets)).distinct().collect())  # at most `buckets` numbers
     old = [held["parts"][str(p)] for p in touched if str(p) in held["parts"]]
     if held["schema"] is None:
         target = rows.drop("seq").limit(0)
@@ -139,7 +147,10 @@ def _with_batch(spark: SparkSession, root: str, held: dict, rows: DataFrame, mer
         target = spark.read.schema(schema).parquet(*[f"{root}/{p}" for p in old]) if old else spark.createDataFrame([], schema)
     new = merge(target, rows, key)
     folder = f"data/{uuid.uuid4().hex}"
-    new.withColumn("_part", part_of(key, buckets)).write.partitionBy("_part").parquet(f"{root}/{folder}")
+    with spent_shuffles(spark):
+        new.withColumn("_part", part_of(key, buckets)).write.partitionBy("_part").parquet(f"{root}/{folder}")
+    fs, where = _files(spark, staged)
+    fs.delete(where, True)
     fs, where = _files(spark, f"{root}/{folder}")
     names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
     parts = {k: v for k, v in held["parts"].items() if int(k) not in touched} | {n.split("=")[1]: f"{folder}/{n}" for n in names if n.startswith("_part=")}

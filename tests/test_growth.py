@@ -2,6 +2,9 @@
 
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from factloom.operators import matching
 
@@ -135,3 +138,36 @@ def matching_scores(spark, frames, sentence):
 def joined_rows(spark, df) -> int:
     """Runs df; the most rows that any join of its plan puts out."""
     return most_rows(spark, df, "Join")
+
+
+def test_shuffle_files_of_written_steps_go(spark):
+    from factloom.session import written
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in (all_files.apply(i) for all_files in [disk.getAllFiles()] for i in range(all_files.size())) if f.getName().startswith("shuffle_")}
+    before = files()
+    got = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "grouped")
+    assert got.count() == 7
+    for _ in range(50):  # they go beside the job
+        if not (left := {f for f in files() - before if f.endswith(".data")}):
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1  # that of the count() above
+
+
+def test_batch_of_a_versioned_table_is_worked_out_once(spark):
+    from factloom.sources import sinks
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        seen.add(1)
+        return i
+
+    root = sinks.staging_dir(spark, "once")
+    for n in range(2):
+        rows = spark.range(20).select(counted("id").alias("id"), F.lit(n).alias("v"), F.lit(n).alias("seq"))
+        sinks.write_upsert(root, rows, "id", 4)
+    assert seen.value == 40
+    assert sorted(map(tuple, sinks.read_upserted(spark, root).collect())) == [(i, 1) for i in range(20)]
