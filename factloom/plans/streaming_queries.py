@@ -68,12 +68,10 @@ def r1_articles(spark, d):
         return {"records": (records, "claim_id"), "articles": (articles.article_export(batch, records, ENGLISH), "article_id")}
 
     said = _claim_articles(spark, d)
-    path = staging_dir(spark, "articles-in")
-    said.repartition(3).write.parquet(path)
+    path = _in_files(said, "articles-in", r.agg(F.count_distinct("article_id")).first()[0], 3)
     said.filter("article_id % 50 = 0").repartition(1).write.mode("append").parquet(path)  # these come once more
-    source = spark.readStream.schema(said.schema).option("maxFilesPerTrigger", 2).parquet(path)
     target = staging_dir(spark, "article-tables")
-    articles.article_stream(source, chain, target, staging_dir(spark, "articles-checkpoint"), 8).awaitTermination()
+    articles.article_stream(_in_two(spark, path), chain, target, staging_dir(spark, "articles-checkpoint"), 8).awaitTermination()
     export = snapshot(spark, target, "articles")
     return snapshot(spark, target, "records").join(export, "article_id").select("claim_id", "article_id", "calc_type", "verdict", "n_expressions", "n_claims", "n_match")
 

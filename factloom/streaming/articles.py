@@ -25,10 +25,11 @@ def records_of(articles: DataFrame, claims: DataFrame, matches: DataFrame, obs:
     claim_period). matches: claim_id, calc_type, the cell, period, start_period and computed_unit; claims without a match keep
     null verdicts. Repeated rows of an article make no repeated records.
     """
-    own = claims.join(articles.select("article_id").distinct(), "article_id", "left_semi")
-    met = matches.join(own.select("claim_id"), "claim_id", "left_semi")
-    got = compute.compute(met.drop("computed_unit"), obs).select("claim_id", "calc_type", "status", F.col("value").alias("computed_value"), F.col("period").alias("computed_period"))
-    rows = own.join(got, "claim_id", "left").join(met.select("claim_id", "computed_unit"), "claim_id", "left")
+    read = ("article_id", "claim_value", "claim_unit", "claim_type", "value_type", "claim_period")
+    own = claims.join(articles.select("article_id").distinct(), "article_id", "left_semi").select("claim_id", *read)
+    got = compute.compute(own.join(matches.withColumn("_met", F.lit(True)), "claim_id", "left"), obs, (*read, "computed_unit", "_met"))
+    of_match = {"calc_type": "calc_type", "status": "status", "value": "computed_value", "period": "computed_period"}
+    rows = got.select("claim_id", *read, "computed_unit", *[F.when(F.col("_met"), F.col(c)).alias(name) for c, name in of_match.items()])
     return verdict.rule_verdict(rows).select("claim_id", "article_id", "calc_type", "status", "computed_value", "computed_period", "verdict")
 
 

@@ -171,3 +171,21 @@ def test_batch_of_a_versioned_table_is_worked_out_once(spark):
         sinks.write_upsert(root, rows, "id", 4)
     assert seen.value == 40
     assert sorted(map(tuple, sinks.read_upserted(spark, root).collect())) == [(i, 1) for i in range(20)]
+
+
+def test_records_of_articles_in_few_shuffles(spark):
+    """Claims meet their matches once and their cells once; one without a match has nulls."""
+    from factloom.streaming import articles as st
+
+    obs = spark.sql("select 1L as table_id, 'A' as item_id, 'F' as dim, '2020' as period, 10.0D as value, 'units' as unit")
+    claims = spark.sql("select id as claim_id, 7L as article_id, 'x' as sentence, 10.0D as claim_value, 'units' as claim_unit, 'level' as claim_type, 'level' as value_type, '2020' as claim_period from range(3)")
+    matches = spark.sql("select id as claim_id, case id when 0 then 'lookup' end as calc_type, 1L as table_id, 'A' as item_id, 'F' as dim, '2020' as period, '2020' as start_period, 'units' as computed_unit from range(2)")
+    got = st.records_of(spark.sql("select 7L as article_id, 'x' as text from range(2)"), claims, matches, obs)
+    assert sorted((r["claim_id"], r["calc_type"], r["status"], r["computed_value"], r["computed_period"], r["verdict"]) for r in got.collect()) == [
+        (0, "lookup", "ok", 10.0, "2020", "match"), (1, "lookup", "ok", 10.0, "2020", "match"), (2, None, None, None, None, None)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = st.records_of(spark.range(5).selectExpr("id as article_id", "'x' as text"), claims, matches, obs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= 12
